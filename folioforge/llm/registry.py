@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, simhash
+from folioforge.llm import bpe, langid, linededup, mixing, simhash
 
-MODULES = (bpe, simhash)
+MODULES = (bpe, langid, linededup, mixing, simhash)
 
 
 def queries() -> dict:
