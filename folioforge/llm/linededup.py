@@ -93,7 +93,8 @@ def _hashed_lines(batches, text: str):
 
 
 def candidate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(grp, node)``: the different lines, by hash, that meet in a band. Groups of the same lines are one group."""
+    """``(grp, node)``: the different lines, by hash, that meet in a band. A group is named by its smallest line, so what meets the
+    same line in several bands is compared with it once."""
 
     def to_bands(batches):
         for nodes, lines in _hashed_lines(batches, text):
@@ -114,9 +115,8 @@ def candidate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
             if not len(node):
                 continue
             first = np.flatnonzero(np.diff(group, prepend=-1))
-            name = np.add.reduceat(_mix(node.view(np.uint64)), first)  # by its members
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(name, np.diff(first, append=len(node))).view(np.int64)), pa.array(node)], names=["grp", "node"]
+                [pa.array(np.repeat(node[first], np.diff(first, append=len(node)))), pa.array(node)], names=["grp", "node"]
             )
 
     pairs = docs.select(text).mapInArrow(to_bands, "key bigint, node bigint")
