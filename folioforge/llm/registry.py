@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, langid, linededup, mixing, multiindex, pii, quality_rules, simhash
+from folioforge.llm import bpe, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash
 
-MODULES = (bpe, langid, linededup, mixing, multiindex, pii, quality_rules, simhash)
+MODULES = (bpe, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash)
 
 
 def queries() -> dict:
