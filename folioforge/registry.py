@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folioforge.queries import library
+
+MODULES = (library,)
+
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
