@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import library, text
+from folioforge.queries import analysis, library, text, web
 
-MODULES = (library, text)
+MODULES = (library, text, web, analysis)
 
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
