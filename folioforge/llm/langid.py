@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.llm.batches import as_bytes, slices
+from folioforge.llm.sampling import thinned
 
 #: Bytes of a window; filter widths; filters of each width; size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 8, 8
@@ -139,7 +140,9 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     start = (F.pmod(pick, F.greatest(F.lit(1), F.length(text) - WINDOW)) + 1).cast("int")
     rows = labelled.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), pick.alias("pick"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("part"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "part"))
+    size = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).where("_lang IS NOT NULL")
+    rows = rows.join(F.broadcast(size), F.col("lang") == F.col("_lang")).where(thinned(F.col("pick"), per_lang, F.col("_n")))  # a row a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("pick", F.lit(1 << 30)), "pick", "part"))
     found = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("lang", "nth").collect()
     if not found:
         return None
