@@ -12,6 +12,8 @@ from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioforge.llm.sampling import thinned
+
 #: Bins of words and as many of shape pairs; what is added to each bin's count.
 BINS, SMOOTHING = 2048, 1.0
 
@@ -92,7 +94,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     are of all n-grams of all rows. All ratios are 0 if no trusted document has an n-gram. One row for each bin reaches the
     driver.
     """
-    keys = trusted.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct().orderBy(F.xxhash64("_key"), "_key").limit(most)
+    pick = F.xxhash64("_key")
+    keys = trusted.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
+    keys = keys.where(thinned(pick, most, keys.count())).distinct().orderBy(F.pmod(pick, F.lit(1 << 30)), "_key").limit(most)
     marked = with_bins(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", bins)
     marked = marked.join(F.broadcast(keys.withColumn("_target", F.lit(1))), F.col("key") == F.col("_key"), "left")
     # outer: an inferred filter on the arrays' sizes would be pushed into the scan and evaluate the shapes for every pair
