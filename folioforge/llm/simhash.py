@@ -120,7 +120,9 @@ def _lists(keys: np.ndarray, values: np.ndarray):
 def fingerprint_links(fps: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
     """``(src, dst)`` links between distinct fingerprints: what is reachable by links of at most ``max_bits`` differing bits
     is reachable by these. Null fingerprints take no part."""
-    index = fps.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct()
+    # a fixed number of partitions: distinct fingerprints are small, their index entries are not
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = fps.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct().repartition(parts, "fp")
     index = index.select(F.explode(posting_keys(F.col("fp"), 8 - max_bits)).alias("key"), "fp")
 
     def run(batches):
