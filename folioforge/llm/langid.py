@@ -120,11 +120,12 @@ class ByteCnn:
         return out
 
     def scores(self, texts: list[bytes], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
-        """Of each language, for each text: the mean over its windows, weighted by their bytes; zero for an empty text."""
+        """Of each language, for each text: the geometric mean over its windows, weighted by their bytes, so windows that say little
+        (one word over and over) don't outvote those that do. An empty text gives each language the same."""
         x, owner, size = windows_of(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        np.add.at(total, owner, self.probabilities(x, tables) * size[:, None])
-        return total / np.maximum(1, [[len(t)] for t in texts])
+        np.add.at(total, owner, np.log(np.maximum(self.probabilities(x, tables), 1e-4)) * size[:, None])
+        return softmax(total / np.maximum(1, [[len(t)] for t in texts]))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
