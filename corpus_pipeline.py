@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioforge.llm import bpe, langid, linededup, mixing, simhash
 from folioforge.plans.lineage import shared_folder
 
-#: Score under which a text's language counts as unknown.
-LEAST_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5. Documents without a letter, or in no language that the network is sure of, go; of the others, ``lang`` is the
-    language found. The network learns from the labelled documents outside the held-out fifth."""
+    """Operator 5. Documents in no language, those without a letter, go; of the others, ``lang`` is the language found. The network
+    learns from the labelled documents outside the held-out fifth."""
     model = langid.train(docs.where(~langid.held_out()))
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
-    found = langid.predict(docs, model, keep=rest).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = langid.predict(docs, model, keep=rest).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
 
 
