@@ -8,7 +8,6 @@ log ratio; a document's score is the mean over its n-grams, and a fixed threshol
 from __future__ import annotations
 
 from math import log
-from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,20 +22,20 @@ THRESHOLD = -0.25
 #: Trusted documents at most, chosen by a hash of their key. The raw counts are of all documents.
 TRUSTED_ROWS = 20_000
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
+BLANK_RUN, WORD_CHAR = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than x20 and x09-x0D; none for a null text."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN, -1), "")
 
 
 def shapes_text(text: Column) -> Column:
     """The text with runs of A-Z as A, of a-z as a and of digits as 0; white space and all else stay."""
-    text = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase + ascii_lowercase + digits, "A" * 26 + "a" * 26 + "0" * 10)
-    for c in "Aa0":
-        text = F.regexp_replace(text, f"{c}{{2,}}", c)
+    text = F.coalesce(text, F.lit(""))
+    for group, c in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0")):
+        text = F.regexp_replace(text, group, c)
     return text
 
 
@@ -52,14 +51,14 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sorted by hash and place, and the places of those with an equal neighbour are covered once each.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD_CHAR))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("words", words_of(F.col("text")))
     window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     rows = rows.select(
         "key", "text", "words",
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         F.transform(_up_to(F.size("words") - 2), window).alias("_windows"),
     )
