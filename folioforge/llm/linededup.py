@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.llm.batches import as_strings, slices
 from folioforge.llm.simhash import sorted_lists
@@ -209,29 +209,35 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """All rows and columns of ``docs``, with ``text`` less the lines that repeat or resemble an earlier one, and the added
     columns ``n_lines`` and ``n_removed`` (any columns of these names are replaced).
 
-    A line without a word is never removed. Rows that share a key are one document, so their lines aren't duplicates of
-    each other at the same place; null keys are one document as well and come first. A null text stays null with 0 lines;
-    a document whose lines are all elsewhere keeps its row with an empty text.
+    A line without a word is never removed. Every row is a document of its own, told apart by key and text; the key orders
+    documents, null first. Rows alike in both share their lines, so the first of them keeps what is theirs and the others only
+    lines without a word. A null text stays null with 0 lines; a document whose lines are all elsewhere keeps its row with an
+    empty text.
     """
     nodes = connected_components(line_links(docs, text, least))
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
-    lines = lines.select("doc", "pos", F.xxhash64("line").alias("node"), F.hash("line").alias("check"))
+    own = docs.withColumns({"_row": F.xxhash64(key, text), "_row2": F.hash(key, text)})  # below the explosion: once a document
+    lines = own.select(F.col(key).alias("doc"), "_row", "_row2", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
+    place = ("doc", "_row", "_row2", "pos")
+    lines = lines.select(*place, F.xxhash64("line").alias("node"), F.hash("line").alias("check"))
     lines = lines.join(nodes, "node", "left").select(
-        "doc", "pos", F.coalesce("component", "node").alias("root"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check")
+        *place, F.coalesce("component", "node").alias("root"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check")
     )
-    kept = lines.groupBy("root", "check").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    removed = lines.join(kept, ["root", "check"]).where("NOT (struct(doc, pos) <=> kept)")
-    removed = removed.groupBy("doc").agg(F.collect_set("pos").alias("_removed")).withColumnRenamed("doc", "_doc")
+    kept = lines.groupBy("root", "check").agg(F.min(F.struct(*place)).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    removed = lines.join(kept, ["root", "check"]).where("NOT (struct(doc, _row, _row2, pos) <=> kept)")
+    removed = removed.groupBy("_row", "_row2").agg(F.collect_set("pos").alias("_removed"))
+    nth = F.row_number().over(Window.partitionBy("_row", "_row2").orderBy("_all"))
+    found = own.withColumn("_all", F.xxhash64(*docs.columns)).withColumn("_nth", nth).join(removed, ["_row", "_row2"], "left")
     all_lines = F.split(text, "\n", -1)
     left = F.filter(all_lines, lambda x, i: ~F.array_contains("_removed", i))
-    found = docs.join(removed, F.col(key).eqNullSafe(F.col("_doc")), "left")
+    left = F.when(F.col("_nth") > 1, F.filter(all_lines, lambda x: ~x.rlike(HAS_WORD))).when(F.col("_removed").isNull(), all_lines).otherwise(left)
+    found = found.withColumn("_left", left)
     return found.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("bigint"),
-            "n_removed": F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("bigint"),
-            text: F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
+            "n_removed": F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines) - F.size("_left")).cast("bigint"),
+            text: F.array_join("_left", "\n"),
         }
-    ).drop("_doc", "_removed")
+    ).drop("_row", "_row2", "_all", "_nth", "_removed", "_left")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_edges(spark):
     assert by[3].text is None and by[3].n_lines == 0 and by[5].n_removed == 0
     assert by[8].n_removed == 1 and by[8].n_lines == 2
     assert ld.dedup_lines(documents(spark).limit(0)).count() == 0
+
+
+def test_rows_that_share_a_key(spark):
+    rows = [
+        (None, "said twice in here\nonly the first row says this"),
+        (None, "said twice in here\nquite another matter of the second"),
+        (None, "a third thing without a copy\nsaid twice in here"),
+        (7, "equal rows\n\nof one key"),
+        (7, "equal rows\n\nof one key"),
+        (7, "equal rows\nbut these are new words"),
+    ]
+    found = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 6
+    assert sum(r.n_removed for r in found) == 5 and all(r.n_lines - r.n_removed == len(r.text.split("\n")) for r in found if r.text)
+    left = sorted(x for r in found for x in r.text.split("\n") if x)
+    assert left == sorted({x for _, t in rows for x in t.split("\n") if x})
