@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.llm import bpe, langid, linededup, mixing, simhash
+from folioforge.llm.batches import row_hashes
 from folioforge.plans.lineage import shared_folder
 
 
@@ -29,10 +30,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4. Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    """Operator 4. Of each group of near-duplicates the document with the smallest id stays, of those with one id or none the
+    smallest by hash, and one without an id only if none has one. Rows that are equal in all columns are one document."""
+    rows = docs.withColumns(row_hashes(docs))
+    rows = rows.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_row2"))
+    kept = simhash.near_duplicates(rows, "_id").where("_id <=> component_id").select("_id._row", "_id._row2").distinct()
+    return rows.drop("_id").join(kept, ["_row", "_row2"]).dropDuplicates(["_row", "_row2"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Arrow batches inside tasks: bounded slices, and text columns as bytes or strings."""
+"""Arrow batches inside tasks: bounded slices, and text columns as bytes or strings; hashes that tell rows apart."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Text bytes worked on at once in a task; a single longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -32,3 +33,8 @@ def as_strings(batch: pa.RecordBatch, column: str) -> list[str]:
 def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 texts; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def row_hashes(docs: DataFrame) -> dict[str, Column]:
+    """Two columns, never null, that together are one value for rows equal in all columns, and else differ."""
+    return {"_row": F.xxhash64(*docs.columns), "_row2": F.hash(*docs.columns)}

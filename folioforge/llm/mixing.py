@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioforge.llm.batches import row_hashes
 from folioforge.plans.lineage import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,15 +77,16 @@ def apportion(parties: DataFrame, within: list[str], party: str, votes: str, sea
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, most: int = MOST,
     weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED,
+    row: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(key, size, source_size, target, taken, copies, head, tail)`` of every row.
+    """``(key, size, source_size, target, taken, copies, head, tail, run)`` of every row, and the columns ``row``.
 
     ``taken`` words are ``copies`` whole copies, then the first ``head`` words and those from word ``tail`` on, once more. A null,
-    empty or blank text has size 0 and gives nothing; null is a source of its own, as is each key (null included) a document; rows
-    that are alike share their places in the order. An empty table gives an empty result. Nothing depends on how rows are laid
+    empty or blank text has size 0 and gives nothing; null is a source of its own. Every row is a document: rows of one key are
+    ordered by size, then by the columns ``row`` (none of them null), which also place rows without a key. An empty table gives an empty result. Nothing depends on how rows are laid
     out, so reruns agree.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    sized = docs.select(*row, F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sized = cut_lineage(sized)
     plan = source_targets(sized, budget, most, weights)
     total = F.sum("target").over(Window.partitionBy("_all"))
@@ -92,9 +94,9 @@ def mix(
     plan = apportion(plan, ["_all"], "rank", "target", "_seats").withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs))
     plan = cut_lineage(plan.select("source", "source_size", "target", "n_shards", F.col("quota").alias("_seats")))
 
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.concat_ws(":", *[F.col(c).cast("string") for c in row]) if row else F.lit("")))
     rows = sized.alias("s").join(_small(plan).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    rows = rows.select("key", "s.source", "size", "source_size", "target", "_seats", F.md5(name).alias("_at"), (_number(F.concat(name, F.lit(":shard"))) % F.col("n_shards")).alias("shard"))
+    rows = rows.select(*row, "key", "s.source", "size", "source_size", "target", "_seats", F.md5(name).alias("_at"), (_number(F.concat(name, F.lit(":shard"))) % F.col("n_shards")).alias("shard"))
 
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), *[F.first(c).alias(c) for c in ("source_size", "target", "_seats")])
     shards = shards.withColumn("_votes", F.coalesce(F.try_divide(F.col("target") * F.col("shard_size"), F.col("source_size")), F.lit(0.0)))
@@ -109,30 +111,31 @@ def mix(
         F.greatest(F.lit(0), (F.col("start") + F.col("extra") - F.col("n")) * block).alias("wrap_to"),
     )
     shards = _small(cut_lineage(shards))
-    order = Window.partitionBy("source", "shard").orderBy("_at", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "shard").orderBy("_at", "key", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("b", F.sum("size").over(order)).withColumn("a", F.col("b") - F.col("size"))
     found = rows.alias("r").join(shards.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard")))
     inside = lambda lo, hi: F.greatest(F.lit(0), F.least(hi, F.col("b")) - F.greatest(lo, F.col("a")))
     head, run = inside(F.lit(0), F.col("wrap_to")), inside(F.col("run_from"), F.col("run_to"))
     tail = F.greatest(F.lit(0), F.col("run_from") - F.col("a"))  # the run's words in this document: from here, ``run`` of them
     return found.select(
-        F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size") + head + run).alias("taken"),
+        *row, F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size") + head + run).alias("taken"),
         "copies", head.alias("head"), F.when(run > 0, tail).otherwise(F.col("size")).alias("tail"), run.alias("run"),
     )
 
 
 def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as taken, and for a document at the end of a run a row with the part of
-    its text that was taken (of a part in two pieces, the later follows on a line of its own). Rows with one key should be
-    alike; of them one is mixed."""
-    plan = mix(docs.dropDuplicates([key]), key, text, **settings).where("taken > 0").withColumnRenamed(key, "_key")
-    rows = docs.dropDuplicates([key]).join(plan, F.col(key).eqNullSafe(F.col("_key")))
+    its text that was taken (of a part in two pieces, the later follows on a line of its own). Every row is mixed, whatever its
+    key; of rows equal in all columns one stands for each in turn."""
+    docs, columns = docs.withColumns(row_hashes(docs)), docs.columns
+    plan = mix(docs, key, text, row=("_row", "_row2"), **settings).where("taken > 0").drop(key)
+    rows = docs.dropDuplicates(["_row", "_row2"]).join(plan, ["_row", "_row2"])
     part, whole = F.col("head") + F.col("run"), F.col("size")
     rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), (F.col("copies") + F.when(part > 0, 1).otherwise(0)).cast("int"))))
     words = F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     piece = lambda a, n: F.rtrim(F.array_join(F.slice(words, (a + 1).cast("int"), n.cast("int")), ""))
     cut = F.concat_ws("\n", F.when(F.col("head") > 0, piece(F.lit(0), F.col("head"))), F.when(F.col("run") > 0, piece(F.col("tail"), F.col("run"))))
-    return rows.withColumn(text, F.when((F.col("_nth") <= F.col("copies")) | (part >= whole), F.col(text)).otherwise(cut)).select(*docs.columns)
+    return rows.withColumn(text, F.when((F.col("_nth") <= F.col("copies")) | (part >= whole), F.col(text)).otherwise(cut)).select(*columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

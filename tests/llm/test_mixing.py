@@ -37,3 +37,10 @@ def test_edges(spark):
     assert not any(math.isnan(r.target) for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mx.mix(documents(spark).repartition(3)).collect()))
     assert mx.mix(documents(spark).limit(0)).count() == 0
+
+
+def test_rows_that_share_a_key_are_all_mixed(spark):
+    rows = [(None, f"without key {i} " * (i + 1), "a") for i in range(20)] + [(5, f"one key {i} " * (i + 1), "a") for i in range(20)] + [(6, "equal rows", "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = sorted(r.text for r in mx.mixed_texts(docs, budget=1.0, most=1).collect())
+    assert texts == sorted(t for _, t, _ in rows)

@@ -40,3 +40,14 @@ def test_run(spark, data):
     rows = cp.run(spark, data).collect()
     assert rows and all(r.exact and r.n_tokens == len(r.ids) for r in rows)
     assert all(enc.encode_ordinary(enc.decode(r.ids)) == r.ids for r in rows[:50])
+
+
+def test_dedup_keeps_rows_that_share_an_id(spark, data):
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 10007}" for j in range(60)) for i in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(3, t) for t in texts[5:9]] + [(9, texts[0]), (3, texts[8]), (8, texts[9]), (8, texts[9])]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.text, r.doc_id) for r in cp.dedup_documents(spark, docs, data).collect())
+    want = [(t, None) for t in texts[1:5]] + [(t, 3) for t in texts[5:9]] + [(texts[0], 9), (texts[9], 8)]
+    assert kept == sorted(want)
+    mixed = {r.text.split()[0] for r in cp.mix_sources(spark, cp.dedup_documents(spark, docs, data), data).collect()}
+    assert len(mixed) == 10
