@@ -29,11 +29,12 @@ PROPOSERS = (
 )
 
 #: Fixed lists of the gazetteer labeler: endings of e-mail domains; first digits of issuers; calling codes; first parts of
-#: addresses that are not given to hosts.
+#: addresses that are not given to hosts; area codes of North America, which are written without a calling code.
 DOMAIN_ENDS = "com|org|net|edu|gov|int|info|io|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|mx|ar"
 ISSUERS = "3[4-7]|4|5[1-5]|2[2-7]|6"
 CALLING_CODES = "1|7|20|27|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 RESERVED = "0|22[4-9]|23[0-9]|24[0-9]|25[0-5]"
+AREA_CODES = "(?!.11|37|96)[2-9][0-8][0-9]"
 
 #: Cues of the context labeler, in the 40 characters before a span: for, and against.
 CUES = {
@@ -74,12 +75,22 @@ def _candidate(i: int, hit: Column) -> Column:
     return F.length(_digits(hit)).between(13, 19) if i == 2 else F.lit(True) if i > 3 else _base(i, hit)
 
 
+def _format(i: int, hit: Column) -> Column:
+    """Whether a span has the form of what its own proposer looks for; whether the base rules hold it doesn't count. A card's form
+    is its check digit; an obfuscated address has a closed bracket and ends in letters; a plain number has alike or bracketed parts."""
+    if i == 4:
+        return hit.rlike(r"(?:\(at\)|\[at\]).*[A-Za-z]{2}$")
+    if i == 5:
+        return hit.rlike(r"^(?:\([0-9]{3}\)[ .-][2-9][0-9]{2}[ .-]|[0-9]{3}([ .-])[2-9][0-9]{2}\1)[0-9]{4}$")
+    return _base(i, hit)  # the first four look for what the base rules describe
+
+
 def _gazetteer(kind: str, hit: Column) -> Column:
     known = {
         "email": hit.rlike(rf"(?i)(?:\.|[)\]]) ?(?:{DOMAIN_ENDS})$"),
         "ip": ~hit.rlike(rf"^0*(?:{RESERVED})\."),
         "card": _digits(hit).rlike(f"^(?:{ISSUERS})"),
-        "phone": hit.rlike(rf"^\+(?:{CALLING_CODES})"),
+        "phone": hit.rlike(rf"^(?:\+(?:{CALLING_CODES})|\(?{AREA_CODES})"),
     }[kind]
     return F.when(known, 1).otherwise(-1)
 
@@ -117,7 +128,7 @@ def labelled_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             base = _base(i, x["hit"])
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"),
-                F.when(base, 1).otherwise(-1).alias("format"), _gazetteer(kind, x["hit"]).alias("gazetteer"),
+                F.when(_format(i, x["hit"]), 1).otherwise(-1).alias("format"), _gazetteer(kind, x["hit"]).alias("gazetteer"),
                 _context(kind, "text", x["start"]).alias("context"),
                 F.least(F.lit(3), (x["end"] - x["start"]) / 8).cast("int").alias("size"),
             )

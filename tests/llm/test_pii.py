@@ -65,6 +65,19 @@ def test_more_spans_where_labelers_agree(spark):
     assert all(not s.base for i in range(5) for s in found[100 + i])
 
 
+def test_plain_numbers_and_obfuscated_addresses_are_found(spark):
+    rows = [(i, f"write to jane.doe{i}@mail.org or call +1 212 555 12{i:02d}") for i in range(60)]
+    rows += [(100 + i, f"please call (212) 555-12{i:02d} or phone 646-555-13{i:02d}") for i in range(5)]
+    rows += [(200 + i, f"contact mail: jane.doe{i} (at) mail (dot) org") for i in range(5)]
+    rows += [(300 + i, f"serial 911-155.12{i:02d} or 111-055-12{i:02d}") for i in range(5)]
+    text = dict(rows)
+    found = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if not s.base] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(5):
+        assert found[100 + i] == [f"(212) 555-12{i:02d}", f"646-555-13{i:02d}"]
+        assert found[200 + i] == [f"jane.doe{i} (at) mail (dot) org"]
+        assert found[300 + i] == []
+
+
 def test_edges_and_plan(spark, data):
     rows = pii.detect(documents(spark)).collect()
     assert len(rows) == 12 and all(r.spans == [] for r in rows if r.doc_id != 7)
