@@ -11,17 +11,12 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioforge.llm.sampling import thinned
-
 #: Bins of words and as many of shape pairs; what is added to each bin's count.
 BINS, SMOOTHING = 2048, 1.0
 
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.25
 
-#: Trusted documents at most, chosen by a hash of their key. The raw counts are of all documents.
-TRUSTED_ROWS = 20_000
-
 SYMBOLS = r"[#*$%&|<>]"
 BLANK_RUN, WORD_CHAR = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
@@ -86,18 +81,18 @@ def with_bins(docs: DataFrame, text: str = "text", bins: int = BINS) -> DataFram
     return rows.withColumn("_bins", bins_of(F.col("words"), F.col("_shapes"), bins)).drop("_shapes")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS, most: int = TRUSTED_ROWS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS) -> list[float]:
     """Each bin's log ratio between the target and the raw multinomial, words and pairs each by themselves.
 
-    ``trusted`` has the keys of target documents; at most ``most`` distinct ones are used, and sent to all tasks. The raw counts
-    are of all n-grams of all rows. All ratios are 0 if no trusted document has an n-gram. One row for each bin reaches the
-    driver.
+    ``trusted`` has the keys of target documents, all of which count; the raw counts are of all n-grams of all rows. Rows without
+    a key are never trusted and are dealt out by their text. All ratios are 0 if no trusted document has an n-gram. One row for
+    each bin reaches the driver.
     """
-    pick = F.xxhash64("_key")
-    keys = trusted.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
-    keys = keys.where(thinned(pick, most, keys.count())).distinct().orderBy(F.pmod(pick, F.lit(1 << 30)), "_key").limit(most)
-    marked = with_bins(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", bins)
-    marked = marked.join(F.broadcast(keys.withColumn("_target", F.lit(1))), F.col("key") == F.col("_key"), "left")
+    keys = trusted.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct().withColumns({"_of": F.lit(0).cast("bigint"), "_target": F.lit(1)})
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.withColumn("_part", F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(0))
+    rows = rows.join(keys, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
+    marked = with_bins(rows.select("text", "_target"), "text", bins)
     # outer: an inferred filter on the arrays' sizes would be pushed into the scan and evaluate the shapes for every pair
     grams = marked.select(F.explode_outer("_bins").alias("bin"), F.coalesce("_target", F.lit(0)).alias("target"))
     raw, target = [0] * (2 * bins), [0] * (2 * bins)

@@ -46,3 +46,8 @@ def test_edges(spark):
     assert len(rows) == 12 and {(r.n_words, r.kept) for r in rows if r.doc_id in (3, 4, 5)} == {(0, False)}
     assert qr.judge(docs, docs.select("doc_id").limit(0)).where("score <> 0").count() == 0
     assert qr.judge(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id % 50) AS text")
+    assert set(qr.log_ratios(docs, docs.select("doc_id"))) == {0.0}  # all are trusted, so both multinomials are the same
