@@ -30,6 +30,12 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` computed once a row: a generator's output is never copied into the filters, projections and lambdas above
+    it, where an array named in a lambda would be made again for each element."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def strip_ws(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(c, f"{WS}+", "")
