@@ -1,9 +1,13 @@
 import hashlib
+import itertools
+import math
 import re
+import time
 
 import pytest
 from edge import documents
 from folioforge.llm import pii
+from pyspark.sql import functions as F
 
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -49,33 +53,67 @@ def test_odd_texts(spark, tmp_path):
 
 
 def test_beliefs_find_the_reliable_labeler():
-    counts = {(0, 1, 1, 1, 1): 50, (0, 1, 1, 0, 1): 40, (0, 1, -1, 0, 1): 5, (0, -1, -1, 0, 1): 40, (0, -1, -1, -1, 1): 20, (0, -1, 1, 1, 1): 6}
+    rest = (1, 0, 3, 3, 1)
+    votes = {(0, 1, 1, 1): 50, (0, 1, 1, 0): 40, (0, 1, -1, 0): 5, (0, -1, -1, 0): 40, (0, -1, -1, -1): 20, (0, -1, 1, 1): 6}
+    counts = {(*p, *rest): n for p, n in votes.items()}
     belief, accuracy = pii.beliefs(counts)
-    assert belief[0, 1, 1, 1, 1] > 0.95 > 0.05 > belief[0, -1, -1, -1, 1] and accuracy[0, 0] > 0.8
+    assert belief[0, 1, 1, 1] > 0.95 > 0.05 > belief[0, -1, -1, -1] and accuracy[0, 0] > 0.8
     w = pii.train_classifier(counts, belief)
-    p = lambda x: sum(a * b for a, b in zip(w, pii.features(x)))
-    assert p((0, 1, 1, 1, 1)) > 0 > p((0, -1, -1, -1, 1))
+    p = lambda x: sum(w[k] for k in pii.features(x))
+    assert p((0, 1, 1, 1, *rest)) > 0 > p((0, -1, -1, -1, *rest))
     assert pii.beliefs({}) == ({}, {})
 
 
-def test_more_spans_where_labelers_agree(spark):
-    rows = [(i, f"write to jane.doe{i}@mail.org or call +1 212 555 12{i:02d}") for i in range(60)]
-    rows += [(100 + i, f"contact mail: jane.doe{i} (at) mail (dot) org") for i in range(5)]
-    found = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(not s.base for i in range(5) for s in found[100 + i])
+def test_classifier_sees_more_than_the_votes():
+    counts = {(3, 1, 1, 0, 1, 5, 3, 3, 2): 100, (3, 1, -1, -1, 1, 5, 5, 5, 2): 100, (3, 1, 1, 1, 1, 5, 3, 3, 2): 50, (3, -1, -1, -1, 1, 5, 5, 5, 2): 50, (3, 1, -1, 0, 1, 5, 3, 3, 2): 1, (3, 1, -1, 0, 1, 5, 5, 5, 2): 1}
+    belief, _ = pii.beliefs(counts)
+    w = pii.train_classifier(counts, belief)
+    p = lambda x: sum(w[k] for k in pii.features(x))
+    assert p((3, 1, -1, 0, 1, 5, 3, 3, 2)) > p((3, 1, -1, 0, 1, 5, 5, 5, 2)) + 0.5  # the same votes, other neighbours
+
+
+def test_features_are_the_column_alike(spark):
+    rows = [(0, 1, -1, 0, 1, 4, 3, 2, 1), (4, -1, 1, 1, 3, 6, 0, 5, 2), (2, 1, 1, -1, 0, 2, 1, 1, 3)]
+    w = [((i * 37) % 11 - 5) / 7 for i in range(pii.OFFSETS[""])]
+    names = ("kind", *pii.LEVELS)
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    got = df.select(*names, pii._probability({n: F.col(n) for n in names}, w).alias("p")).collect()
+    for r in got:
+        assert abs(r.p - 1 / (1 + math.exp(-sum(w[k] for k in pii.features(tuple(r)[:-1]))))) < 1e-9
 
 
 def test_plain_numbers_and_obfuscated_addresses_are_found(spark):
     rows = [(i, f"write to jane.doe{i}@mail.org or call +1 212 555 12{i:02d}") for i in range(60)]
     rows += [(100 + i, f"please call (212) 555-12{i:02d} or phone 646-555-13{i:02d}") for i in range(5)]
     rows += [(200 + i, f"contact mail: jane.doe{i} (at) mail (dot) org") for i in range(5)]
+    rows += [(400 + i, f'api token = "{hashlib.sha1(bytes([i])).hexdigest()}" and key = "placeholder{i}"') for i in range(5)]
     rows += [(300 + i, f"serial 911-155.12{i:02d} or 111-055-12{i:02d}") for i in range(5)]
     text = dict(rows)
     found = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if not s.base] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == [] for i in range(60))
     for i in range(5):
         assert found[100 + i] == [f"(212) 555-12{i:02d}", f"646-555-13{i:02d}"]
         assert found[200 + i] == [f"jane.doe{i} (at) mail (dot) org"]
         assert found[300 + i] == []
+        assert found[400 + i] == [hashlib.sha1(bytes([i])).hexdigest()]
+
+
+def test_many_spans_in_one_text(spark, tmp_path):
+    rows = [(1, "a@b.co " * 50_000), (2, "12a ," * 200_000), (3, "call (212) 555-1234 or +1 212 555 1234 " * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    began = time.time()
+    found = {r.doc_id: r for r in pii.detect(spark.read.parquet(str(tmp_path / "d"))).where("size(spans) >= 0").collect()}
+    assert time.time() - began < 90
+    assert [(s.start, s.end) for s in found[1].spans] == [(7 * i, 7 * i + 6) for i in range(50_000)]
+    assert found[2].spans == [] and sum(s.base for s in found[3].spans) == 20_000
+
+
+def test_places_by_doubling_and_search(spark):
+    a = [[], [5], [3, 0, 4], list(range(100)), [7] * 64]
+    rows = spark.createDataFrame([(x,) for x in a], "a array<int>").select(pii.running_sums("a").alias("s")).collect()
+    assert [r.s for r in rows] == [list(itertools.accumulate(x)) for x in a]
+    starts = spark.createDataFrame([([(s,) for s in x], e) for x in ([], [1], [1, 4, 9], list(range(0, 200, 3))) for e in (0, 1, 2, 5, 100, 300)], "b array<struct<start:int>>, e int")
+    assert all(r.n == sum(x.start < r.e for x in r.b) for r in starts.select("b", "e", pii._starting_before("b", F.col("e")).alias("n")).collect())
 
 
 def test_edges_and_plan(spark, data):
@@ -85,6 +123,6 @@ def test_edges_and_plan(spark, data):
     assert not re.search("Python|Arrow|Pandas", pii.op3_pii(spark, data)._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("kind", range(4))
+@pytest.mark.parametrize("kind", range(pii.N_BASE))
 def test_kinds_have_rules(kind):
     assert pii.PROPOSERS[kind][0] == pii.KINDS[kind]
