@@ -2,13 +2,17 @@
 
 The two halves of a vector are quantised separately, so that ``k`` centroids a half make ``k * k`` cells. A query goes through
 pairs of centroids by summed distance with a heap, until the cells it has seen hold enough entries; those entries are
-reranked by the exact distance. Entries and queries meet in blocks of bounded size, dealt by hash, so that neither a full
-cell nor a very common vector makes a large task.
+reranked by the exact distance.
+
+The inverted lists are dealt by their first centroid: entries lie by (first centroid, part), where a large list has several
+parts, and a query goes only to the first centroids it visits, with a bit for each second centroid. Queries that visit one
+first centroid meet it in blocks. So no task holds more than one part of a list and one block of queries.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,8 +26,8 @@ CENTROIDS, SAMPLE_ROWS = 32, 20_000
 #: nearest of 50,000 are spread over a third to half of all cells; see README for recall by share.
 SHARE, LEAST = 0.6, 2_000
 
-#: Entries and queries of a block, about.
-ENTRY_BLOCK, QUERY_BLOCK = 16_384, 8_192
+#: Entries of a part, and queries of a block, about; different lengths of vectors in one table at most.
+ENTRY_BLOCK, QUERY_BLOCK, LENGTHS = 16_384, 4_096, 32
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,6 +37,8 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
     """Lloyd's centroids from distinct starting rows; fewer than ``k`` if there are fewer different rows."""
+    if not x.shape[1]:  # half of a vector of one component
+        return np.zeros((1, 0))
     x_unique = np.unique(x, axis=0)
     c = x_unique[np.random.default_rng(seed).permutation(len(x_unique))[:k]].copy()
     for _ in range(rounds):
@@ -87,20 +93,17 @@ def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
-    """``(key, v array<double>)`` of the rows that take part, and their length. Left out: null keys and vectors, zero vectors,
-    vectors with a component that is null or not finite, and lengths other than the most common one (the longest of these)."""
+def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``(key, v array<double>)`` of the rows that take part. Left out: null keys and vectors, zero vectors, and vectors with a
+    component that is null or not finite."""
     v = F.col("v")
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & v.isNotNull() & good)
-    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = most.n if most else 0
-    return rows.where(F.size("v") == dim), dim
+    return vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & v.isNotNull() & good)
 
 
 def fit(rows: DataFrame, dim: int, centroids: int = CENTROIDS, sample: int = SAMPLE_ROWS) -> MultiIndex:
     """An index for ``rows`` (of :func:`usable`): centroids from at most ``sample`` rows by a hash of the key, sizes from all."""
-    x = _vectors(rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow()["v"], dim)
+    x = _vectors(rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow()["v"], dim) if dim else np.zeros((0, 0))
     index = MultiIndex(k_means(x[:, : dim // 2], centroids), k_means(x[:, dim // 2 :], centroids))
     index.sizes = np.zeros(len(index.first) * len(index.second), np.int64)
     for r in with_cells(rows, index, dim).groupBy("cell").count().collect():
@@ -123,39 +126,43 @@ def with_cells(rows: DataFrame, index: MultiIndex, dim: int) -> DataFrame:
 
 
 def with_visits(queries: DataFrame, index: MultiIndex, enough: int, dim: int) -> DataFrame:
-    """Queries with ``cells``: a bit for each cell that the query visits."""
+    """``(key, v, first, seen)``: for each first centroid that a query visits a row, with a bit for each second centroid."""
 
     def run(batches):
+        n = len(index.second)
         for batch in batches:
-            seen = []
-            for q in _vectors(batch.column("v"), dim):
-                bits = np.zeros(len(index.sizes), bool)
-                bits[index.visit(q, enough)] = True
-                seen.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), pa.array(seen, pa.binary())], names=["key", "v", "cells"])
+            for i, q in enumerate(_vectors(batch.column("v"), dim)):  # a query's visits are a batch: bounded by the centroids
+                bits = np.zeros((len(index.first), n), bool)
+                bits.reshape(-1)[index.visit(q, enough)] = True
+                first = np.flatnonzero(bits.any(1))
+                seen = [np.packbits(x).tobytes() for x in bits[first]]
+                at = pa.array(np.full(len(first), i))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("v").take(at), pa.array(first.astype(np.int32)), pa.array(seen, pa.binary())], names=["key", "v", "first", "seen"])
 
-    return queries.mapInArrow(run, f"key {queries.schema['key'].dataType.simpleString()}, v array<double>, cells binary")
+    return queries.mapInArrow(run, f"key {queries.schema['key'].dataType.simpleString()}, v array<double>, first int, seen binary")
 
 
 def nearest_in_block(x_ids, x, x_cells, q_ids, q, visits, k: int) -> tuple[list, list, list]:
-    """The ``k`` nearest entries of each query among the cells it visits: a product of matrices for each cell finds those up to
-    rounding, their exact distances rank them; ties go to the smaller id."""
+    """The ``k`` nearest entries of each query among the cells it visits (a row of flags each): a product of matrices for each cell
+    finds those up to rounding, their exact distances rank them; ties go to the smaller id."""
     order = np.argsort(x_cells, kind="stable")
     x_ids, x, x_cells = x_ids[order], x[order], x_cells[order]
     starts = np.flatnonzero(np.diff(x_cells, prepend=-1))
     ends = np.append(starts[1:], len(x))
     x2, out = (x**2).sum(1), ([], [], [])
+    rounding = 4e-16 * (x.shape[1] + 8)  # of a squared distance, by the size of what it is the difference of
     for i in range(0, len(q), 64):
-        part, bits = q[i : i + 64], np.unpackbits(visits[i : i + 64], axis=1)
+        part, bits = q[i : i + 64], visits[i : i + 64]
+        q2 = (part**2).sum(1)
         far = np.full((len(part), len(x)), np.inf)
         for a, b in zip(starts, ends):
             who = np.flatnonzero(bits[:, x_cells[a]])
             if len(who):
-                far[who, a:b] = (part[who] ** 2).sum(1)[:, None] + x2[a:b] - 2 * part[who] @ x[a:b].T
+                far[who, a:b] = q2[who, None] + x2[a:b] - 2 * part[who] @ x[a:b].T
         far[x_ids[None] == q_ids[i : i + 64, None]] = np.inf
         for j, row in enumerate(far):
             edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= edge + 1e-9 * (1 + abs(edge))) & np.isfinite(row)) if np.isfinite(edge) else np.flatnonzero(np.isfinite(row))
+            near = np.flatnonzero(row <= edge + 4 * rounding * (x2.max() + q2[j])) if np.isfinite(edge) else np.flatnonzero(np.isfinite(row))
             d = np.sqrt(((x[near] - part[j]) ** 2).sum(1))
             best = np.lexsort((x_ids[near], d))[:k]
             out[0].extend([q_ids[i + j]] * len(best))
@@ -166,41 +173,55 @@ def nearest_in_block(x_ids, x, x_cells, q_ids, q, visits, k: int) -> tuple[list,
 
 def search(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10,
-    centroids: int = CENTROIDS, sample: int = SAMPLE_ROWS, share: float = SHARE, least: int = LEAST,
+    centroids: int = CENTROIDS, sample: int = SAMPLE_ROWS, share: float = SHARE, least: int = LEAST, entry_block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` found, nearest first.
 
     Keys are integers; rows with the query's own key are no candidates. Rows that :func:`usable` leaves out take no part on either
-    side; repeated rows are candidates each. An empty side gives an empty result; extra columns are left out.
+    side; repeated rows are candidates each. Between vectors of different lengths there is no distance: each length is a search of
+    its own, with an index of its own (a table may have up to LENGTHS lengths, else this raises). An empty side gives an empty result;
+    extra columns are left out.
     """
-    spark = vectors.sparkSession
+    rows, wanted = usable(vectors, key, vector), usable(queries, key, vector)
+    dims = sorted(r.n for r in wanted.select(F.size("v").alias("n")).distinct().limit(LENGTHS + 1).collect())
+    if len(dims) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
+    found = [_search(rows.where(F.size("v") == n), wanted.where(F.size("v") == n), n, k, centroids, sample, share, least, entry_block, query_block) for n in dims]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    best = reduce(DataFrame.union, found)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, wanted: DataFrame, dim: int, k: int, centroids: int, sample: int, share: float, least: int, entry_block: int, query_block: int) -> DataFrame:
     schema = "query_id bigint, vec_id bigint, score double"
-    rows, dim = usable(vectors, key, vector)
-    wanted = usable(queries, key, vector)[0].where(F.size("v") == dim)
-    if not dim:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if dim == 1:
-        raise ValueError("vectors of one component have no second half")
     index = fit(rows, dim, centroids, sample)
-    n, n_queries = int(index.sizes.sum()), wanted.count()
-    n_x, n_q = -(-n // ENTRY_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    seen = with_visits(wanted.repartition("key"), index, max(least, int(share * n)), dim)
-    block = lambda m: F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")
-    left = with_cells(rows, index, dim).select("*", block(n_x).alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    right = seen.select("*", block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("xb"))
+    if not index.sizes.sum():
+        return rows.sparkSession.createDataFrame([], schema)
+    n_second = len(index.second)
+    lists = index.sizes.reshape(-1, n_second).sum(1)  # entries by first centroid
+    parts = [max(1, -(-int(n) // entry_block)) for n in lists]
+    blocks = max(1, -(-wanted.count() // query_block))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    of_first = lambda c: F.get(F.array(*map(F.lit, parts)), c)
+
+    entries = with_cells(rows, index, dim).withColumn("first", F.floor(F.col("cell") / n_second).cast("int"))
+    left = entries.select("key", "v", "cell", "first", dealt(of_first("first")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    seen = with_visits(wanted.repartition("key"), index, max(least, int(share * index.sizes.sum())), dim)
+    right = seen.select("key", "v", "seen", "first", F.explode(F.sequence(F.lit(0), of_first("first") - 1)).alias("part"), dealt(F.lit(blocks)).alias("block"))
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         found = ([], [], [])
         if x.num_rows and q.num_rows:
-            visits = np.array([np.frombuffer(b, np.uint8) for b in q["cells"].to_pylist()])
+            visits = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in q["seen"].to_pylist()]), axis=1).astype(bool)
             found = nearest_in_block(
-                x["key"].to_numpy(), _vectors(x["v"], dim), x["cell"].to_numpy(), q["key"].to_numpy(), _vectors(q["v"], dim), visits, k
+                x["key"].to_numpy(), _vectors(x["v"], dim), x["cell"].to_numpy() % n_second, q["key"].to_numpy(), _vectors(q["v"], dim), visits, k
             )
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    best = left.groupBy("xb", "qb").cogroup(right.groupBy("xb", "qb")).applyInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by = ("first", "part", "block")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
 
 
 def op7_multi_index(spark, sf_dir: str) -> DataFrame:
