@@ -10,38 +10,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.llm import bpe, langid, linededup, mixing, simhash
-from folioforge.llm.batches import row_hashes
+from folioforge.llm.batches import identified, unpacked
 from folioforge.plans.lineage import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5. Documents in no language, those without a letter, go; of the others, ``lang`` is the language found. The network
-    learns from the labelled documents outside the held-out fifth."""
+    learns from the labelled documents outside the held-out fifth; if there are none, nothing is known and all rows stay as they are."""
     model = langid.train(docs.where(~langid.held_out()))
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
-    found = langid.predict(docs, model, keep=rest).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
+    if model is None:
+        return docs
+    return unpacked(langid.predicted(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNKNOWN), docs, lang=F.col("lang_pred"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6. Of lines that repeat or resemble each other one stays; documents stay, with what is left of their text."""
     found = linededup.dedup_lines(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[n_chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4. Of each group of near-duplicates the document with the smallest id stays, of those with one id or none the
     smallest by hash, and one without an id only if none has one. Rows that are equal in all columns are one document."""
-    rows = docs.withColumns(row_hashes(docs))
-    rows = rows.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_row2"))
-    kept = simhash.near_duplicates(rows, "_id").where("_id <=> component_id").select("_id._row", "_id._row2").distinct()
-    return rows.drop("_id").join(kept, ["_row", "_row2"]).dropDuplicates(["_row", "_row2"]).select(*docs.columns)
+    rows = identified(docs)
+    own = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "_row", "_row2").alias("id")
+    kept = simhash.near_duplicates(rows.select(own, "row.text"), "id").where("id <=> component_id").select("id._row", "id._row2").distinct()
+    return unpacked(rows.join(kept, ["_row", "_row2"]).dropDuplicates(["_row", "_row2"]), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8. Documents repeat, go, or are cut at the end of a run, as the targets of their sources ask."""
-    found = mixing.mixed_texts(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return mixing.mixed_texts(docs).select(*[n_chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between them rows are kept as Parquet in the folder of ``spark.checkpoint.dir``."""
+    """All stages over ``documents``; between them rows are kept as Parquet in the folder of ``spark.checkpoint.dir``. What a stage has
+    read is deleted once its own rows are written; the last stage's stay for the caller to read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    base, last = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        at = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if last:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        last = at
     return docs
-

@@ -35,6 +35,12 @@ def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def row_hashes(docs: DataFrame) -> dict[str, Column]:
-    """Two columns, never null, that together are one value for rows equal in all columns, and else differ."""
-    return {"_row": F.xxhash64(*docs.columns), "_row2": F.hash(*docs.columns)}
+def identified(docs: DataFrame) -> DataFrame:
+    """``(row, _row, _row2)``: each row in one struct, so that none of its columns' names can clash, and two hashes, never null, that
+    together are one value for rows equal in all columns, and else differ."""
+    return docs.select(F.struct("*").alias("row"), F.xxhash64("*").alias("_row"), F.hash("*").alias("_row2"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``row``, with ``new`` values for some."""
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from folioforge.llm.batches import as_bytes, slices
 from folioforge.llm.sampling import thinned
@@ -19,8 +20,11 @@ from folioforge.llm.sampling import thinned
 #: Bytes of a window; filter widths; filters of each width; size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 8, 8
 
-#: Training rows of each language at most, one window of each.
-SAMPLE_PER_LANG = 800
+#: Training rows of each language at most, one window of each; languages at most, those with the most rows.
+SAMPLE_PER_LANG, LANGS = 800, 256
+
+#: Bytes of text whose windows are worked on at once; longer texts come in pieces.
+PIECE = WINDOW << 13
 
 UNKNOWN = "und"
 
@@ -122,9 +126,17 @@ class ByteCnn:
     def scores(self, texts: list[bytes], tables: dict[int, list[np.ndarray]]) -> np.ndarray:
         """Of each language, for each text: the geometric mean over its windows, weighted by their bytes, so windows that say little
         (one word over and over) don't outvote those that do. An empty text gives each language the same."""
-        x, owner, size = windows_of(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        np.add.at(total, owner, np.log(np.maximum(self.probabilities(x, tables), 1e-4)) * size[:, None])
+        pieces = [(i, t[j : j + PIECE]) for i, t in enumerate(texts) for j in range(0, len(t), PIECE)]
+        group, held = [], 0
+        for n, (i, piece) in enumerate(pieces, 1):
+            group.append((i, piece))
+            held += len(piece)
+            if held >= PIECE or n == len(pieces):
+                x, owner, size = windows_of([p for _, p in group])
+                at = np.array([i for i, _ in group])[owner]
+                np.add.at(total, at, np.log(np.maximum(self.probabilities(x, tables), 1e-4)) * size[:, None])
+                group, held = [], 0
         return softmax(total / np.maximum(1, [[len(t)] for t in texts]))
 
 
@@ -136,13 +148,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> ByteCnn | None:
     """A network for the languages of ``labelled``, from at most ``per_lang`` rows of each, chosen by a hash of the key and
     the text; of each, one window that starts anywhere in the text. Null texts, keys and languages take no part; None if
-    nothing is left."""
+    nothing is left. Of more than LANGS languages the smallest aren't learned."""
     pick = F.xxhash64(key, text)
     start = (F.pmod(pick, F.greatest(F.lit(1), F.length(text) - WINDOW)) + 1).cast("int")
     rows = labelled.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), pick.alias("pick"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("part"))
-    size = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).where("_lang IS NOT NULL")
-    rows = rows.join(F.broadcast(size), F.col("lang") == F.col("_lang")).where(thinned(F.col("pick"), per_lang, F.col("_n")))  # a row a language
+    size = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).where("_lang IS NOT NULL").orderBy(F.desc("_n"), "_lang").limit(LANGS)
+    rows = rows.join(F.broadcast(size), F.col("lang") == F.col("_lang")).where(thinned(F.col("pick"), per_lang, F.col("_n")))  # LANGS rows at most
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("pick", F.lit(1 << 30)), "pick", "part"))
     found = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("lang", "nth").collect()
     if not found:
@@ -150,29 +162,35 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return ByteCnn(sorted({r.lang for r in found})).fit([r.part.encode() for r in found], [r.lang for r in found])
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, *keep, lang_pred, score)`` of every row, from all bytes of its text.
+def predicted(docs: DataFrame, model: ByteCnn | None, columns: list[str], text: str = "text") -> DataFrame:
+    """``(row, lang_pred, score)`` of every row, from all bytes of its text; ``row`` is a struct of ``columns``, so no name can clash.
 
     A null text, one without a letter, and every text if there is no model get language ``und`` and score 0. Repeated rows
     stay; there is no shuffle.
     """
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]
-    source = docs.select(key, *keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    inside = text in columns  # then the text travels once
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    source = docs.select(F.struct(*columns).alias("row"), letters, *([] if inside else [F.col(text).alias("text")]))
 
     def run(batches):
         tables = model.tables() if model else {}
-        for batch in slices(batches, "_text"):
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+        whole = (pa.RecordBatch.from_arrays([b.column("row"), b.column("letters"), b.column("row").field(columns.index(text)) if inside else b.column("text")], names=["row", "letters", "text"]) for b in batches)
+        for batch in slices(whole, "text"):
+            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model:
-                p = model.scores(as_bytes(batch, "_text"), tables)
+                p = model.scores(as_bytes(batch, "text"), tables)
                 best = p.argmax(1)
                 lang = [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
                 score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            cols = [batch.column(c) for c in (key, *keep)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[key, *keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+
+    return source.mapInArrow(run, StructType([source.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+def predict(docs: DataFrame, model: ByteCnn | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, lang_pred, score)`` of every row: see :func:`predicted`."""
+    return predicted(docs, model, [key], text).select(F.col("row").getField(key).alias(key), "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioforge.llm.batches import row_hashes
+from folioforge.llm.batches import identified, unpacked
 from folioforge.plans.lineage import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,15 +127,16 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
     """The mix itself: the rows of ``docs`` as often as taken, and for a document at the end of a run a row with the part of
     its text that was taken (of a part in two pieces, the later follows on a line of its own). Every row is mixed, whatever its
     key; of rows equal in all columns one stands for each in turn."""
-    docs, columns = docs.withColumns(row_hashes(docs)), docs.columns
-    plan = mix(docs, key, text, row=("_row", "_row2"), **settings).where("taken > 0").drop(key)
-    rows = docs.dropDuplicates(["_row", "_row2"]).join(plan, ["_row", "_row2"])
+    rows = identified(docs)
+    own = {name: F.col("row").getField(c).alias(name) for name, c in (("key", key), ("text", text), ("source", settings.pop("source", "source")))}
+    plan = mix(rows.select("_row", "_row2", *own.values()), "key", row=("_row", "_row2"), **settings).where("taken > 0").drop("key")
+    rows = rows.dropDuplicates(["_row", "_row2"]).join(plan, ["_row", "_row2"]).withColumn("text", own["text"])
     part, whole = F.col("head") + F.col("run"), F.col("size")
     rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), (F.col("copies") + F.when(part > 0, 1).otherwise(0)).cast("int"))))
-    words = F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     piece = lambda a, n: F.rtrim(F.array_join(F.slice(words, (a + 1).cast("int"), n.cast("int")), ""))
     cut = F.concat_ws("\n", F.when(F.col("head") > 0, piece(F.lit(0), F.col("head"))), F.when(F.col("run") > 0, piece(F.col("tail"), F.col("run"))))
-    return rows.withColumn(text, F.when((F.col("_nth") <= F.col("copies")) | (part >= whole), F.col(text)).otherwise(cut)).select(*columns)
+    return unpacked(rows, docs, **{text: F.when((F.col("_nth") <= F.col("copies")) | (part >= whole), F.col("text")).otherwise(cut)})
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

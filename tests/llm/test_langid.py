@@ -1,3 +1,4 @@
+import numpy as np
 from edge import documents
 from folioforge.llm import langid
 
@@ -18,6 +19,71 @@ def test_windows_hold_every_byte():
     assert x[3][:4].tolist() == [120, 121, 122, 0] and (x[:3] == 97).sum() == 300
 
 
+def plain_pooled(model, window):
+    """Filter maxima by the definition of a convolution."""
+    p, found = model.params, []
+    for w in langid.WIDTHS:
+        for f in range(langid.FILTERS):
+            at = [sum(p["emb"][window[i + k]] @ p[f"conv{w}"][k][:, f] for k in range(w)) + p[f"off{w}"][f] for i in range(len(window) - w + 1)]
+            found.append(max(0.0, max(at)))
+    return np.array(found)
+
+
+def loss(model, x, y):
+    z = np.array([plain_pooled(model, row) for row in x]) @ model.params["out"] + model.params["bias"]
+    return -np.log(langid.softmax(z)[np.arange(len(y)), y]).mean()
+
+
+def small_model():
+    texts = [b"the cat sat on the mat and the dog", "der Hund über die Straße geht nicht".encode(), "le chat est sur la table à côté".encode()] * 4
+    return langid.ByteCnn(["a", "b", "c"]).fit(texts, ["a", "b", "c"] * 4, epochs=2), texts
+
+
+def test_forward_pass_against_a_plain_convolution():
+    model, texts = small_model()
+    x, _, _ = langid.windows_of(texts[:3], 40)
+    got = model.probabilities(x, model.tables())
+    want = langid.softmax(np.array([plain_pooled(model, row) for row in x]) @ model.params["out"] + model.params["bias"])
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_gradients_against_finite_differences():
+    model, texts = small_model()
+    model.params = {k: v.astype(np.float64) for k, v in model.params.items()}
+    x, _, _ = langid.windows_of(texts[:3], 24)
+    x, y = x[:3], np.array([0, 1, 2])
+    grads = model._gradients(x, y)
+    rng = np.random.default_rng(0)
+    for name, g in grads.items():
+        flat = model.params[name].reshape(-1)
+        some = np.flatnonzero(g.reshape(-1)) if name == "emb" else np.arange(len(flat))
+        for i in rng.choice(some, 4, replace=len(some) < 4):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss(model, x, y)
+            flat[i] = old - 1e-5
+            down = loss(model, x, y)
+            flat[i] = old
+            assert abs((up - down) / 2e-5 - g.reshape(-1)[i]) < 1e-4
+
+
+def test_long_texts_come_in_pieces():
+    model, texts = small_model()
+    long = b" ".join(texts) * 40
+    whole = model.scores([b"", long, texts[0]], model.tables())
+    piece, langid.PIECE = langid.PIECE, 256
+    try:
+        assert np.abs(model.scores([b"", long, texts[0]], model.tables()) - whole).max() < 1e-9
+    finally:
+        langid.PIECE = piece
+
+
+def test_names_that_clash(spark):
+    docs = documents(spark)
+    every = langid.predicted(docs.withColumn("lang_pred", docs.lang), langid.train(docs), [*docs.columns, "lang_pred"]).collect()
+    assert len(every) == 12 and {r.row.score for r in every} == {1.0} and {r.row.text for r in every} == {r.text for r in docs.collect()}
+
+
 def test_edges(spark):
     docs = documents(spark)
     model = langid.train(docs)
