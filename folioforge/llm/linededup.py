@@ -305,8 +305,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """
     nodes = connected_components(line_links(docs, text, least))
     # the caller's columns stay in one, so that none of their names can clash
-    own = docs.select(F.struct("*").alias("row"), F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(key, text).alias("row1"), F.hash(key, text).alias("row2"))
-    lines = own.select("doc", "row1", "row2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(key, text).alias("row1"), F.hash(key, text).alias("row2"))
+    body = F.col("row").getField(text)
+    lines = own.select(F.col("row").getField(key).alias("doc"), "row1", "row2", F.posexplode(F.split(body, "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
     place = ("doc", "row1", "row2", "pos")
     lines = lines.select(*place, F.xxhash64("line").alias("node"), F.hash("line").alias("check"))
     lines = lines.join(nodes, "node", "left").select(
@@ -317,12 +318,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     removed = removed.groupBy("row1", "row2").agg(F.collect_set("pos").alias("removed"))
     nth = F.row_number().over(Window.partitionBy("row1", "row2").orderBy("every"))
     found = own.withColumn("every", F.xxhash64("row.*")).withColumn("nth", nth).join(removed, ["row1", "row2"], "left")
-    found = pinned(found.select("row", "text", "nth", "removed"), lines=F.split("text", "\n", -1))
+    found = pinned(found.select("row", "nth", "removed"), lines=F.split(body, "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")  # by hash, in order: linear
     left = F.transform(places, lambda i: F.get("lines", i))
     left = F.when(F.col("nth") > 1, F.filter("lines", lambda x: ~x.rlike(HAS_WORD))).when(F.col("removed").isNull(), F.col("lines")).otherwise(left)
     found = found.withColumn("left", left)
-    none = F.col("text").isNull()
+    none = F.col("lines").isNull()
     new = {
         "n_lines": F.when(none, 0).otherwise(F.size("lines")).cast("bigint"),
         "n_removed": F.when(none, 0).otherwise(F.size("lines") - F.size("left")).cast("bigint"),
