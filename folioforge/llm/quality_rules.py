@@ -78,7 +78,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     keys = trusted.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct().withColumns({"_of": F.lit(0).cast("bigint"), "_target": F.lit(1)})
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.withColumn("_part", F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(0))
-    rows = rows.join(keys, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
+    # by a shuffle at every size: the trusted keys grow with the corpus, so no broadcast holds them
+    rows = rows.join(keys.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
     marked = pinned(rows.select("_target", "text"), words=words_of(F.col("text"))).select("_target", bins_of("words", bins).alias("_bins"))
     # outer: an inferred filter on the arrays' sizes would evaluate them once more
     grams = marked.select(F.explode_outer("_bins").alias("bin"), F.coalesce("_target", F.lit(0)).alias("target"))
