@@ -46,10 +46,8 @@ def trim_ws(c: Column) -> Column:
 
 
 def pairs(c: Column) -> Column:
-    """Neighbouring character pairs, repeats kept; none for fewer than two characters. One pass over the characters."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    both = F.arrays_zip(F.slice(chars, 1, F.greatest(F.lit(0), F.size(chars) - 1)), F.slice(chars, 2, F.greatest(F.lit(0), F.size(chars) - 1)))
-    return F.when(F.length(c) >= 2, F.transform(both, lambda x: F.concat(x["0"], x["1"]))).otherwise(none())
+    """Neighbouring character pairs, repeats kept, those from even places first; none for fewer than two characters."""
+    return F.concat(*[F.regexp_extract_all(F.substring(c, i, 2**31 - 1) if i > 1 else c, F.lit("(?s).."), F.lit(0)) for i in (1, 2)])
 
 
 def bigrams(c: Column) -> Column:
@@ -177,22 +175,40 @@ def expand_terms(terms: Column, hints: dict[str, Sequence[str]] | None = None) -
 
 def matches_exact(text: Column, terms: Column) -> Column:
     """Whether the text without white space contains a whole term."""
-    bare = strip_ws(F.coalesce(text, F.lit("")))
-    return (bare != "") & F.exists(terms, lambda t: (t != "") & F.contains(bare, t))
+    return bound(strip_ws(F.coalesce(text, F.lit(""))), lambda bare: (bare != "") & F.exists(terms, lambda t: (t != "") & F.contains(bare, t)))
 
 
 def matches_any(text: Column, terms: Column) -> Column:
     """As :func:`matches_exact`, or a pair of a term is enough."""
-    bare = strip_ws(F.coalesce(text, F.lit("")))
-    grams = F.flatten(F.transform(terms, lambda t: bigrams(t)))
-    return matches_exact(text, terms) | ((bare != "") & F.exists(grams, lambda g: F.contains(bare, g)))
+    parts = F.array_union(F.filter(terms, lambda t: t != ""), F.flatten(F.transform(terms, lambda t: bigrams(t))))
+    return bound(strip_ws(F.coalesce(text, F.lit(""))), lambda bare: (bare != "") & F.exists(parts, lambda g: F.contains(bare, g)))
 
 
-def fuzzy_match(name: Column, needle: str) -> Column:
-    """Whether ``name`` contains the needle, or its characters in order; case aside."""
-    low = F.lower(name)
-    in_order = ".*".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in needle.lower())
-    return F.contains(low, F.lit(needle.lower())) | low.rlike(f"(?s){in_order}")
+def fuzzy_match(name: Column, needle: str, tags: Column | None = None, content: Column | None = None) -> Column:
+    """Whether the name or a tag contains the needle, or has its characters in order, or the content contains it; case aside."""
+    low, part = needle.lower(), F.lit(needle.lower())
+    in_order = ".*".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in low)
+    one = lambda c: F.contains(F.lower(c), part) | F.lower(c).rlike(f"(?s){in_order}")
+    found = one(name)
+    if tags is not None:
+        found = found | F.coalesce(F.exists(tags, one), F.lit(False))
+    return found if content is None else found | F.coalesce(F.contains(F.lower(content), part), F.lit(False))
+
+
+def markdown_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, ordering, heading, content)``: a line of one to six ``#`` opens a segment; three or more line feeds become two; what has
+    neither heading nor content goes. A text is cut in front of its heading lines, in one pass and without a shuffle."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n(?=#[^\n])", -1)
+
+    def segment(x):
+        opens = x.rlike("^#[^\n]")
+        first = F.regexp_extract(x, "^[^\n]*", 0)
+        rest = F.when(opens, F.substring(x, F.length(first) + 2, F.length(x))).otherwise(x)
+        heading = F.nullif(F.when(opens, trim_ws(F.regexp_extract(first, "^(#{1,6})\\s*(.+)", 2))), F.lit(""))
+        return F.struct(heading.alias("heading"), trim_ws(F.regexp_replace(rest, "\n{3,}", "\n\n")).alias("content"))
+
+    kept = F.filter(F.transform(parts, segment), lambda s: (s["content"] != "") | s["heading"].isNotNull())
+    return docs.select(key, F.posexplode(kept).alias("_i", "s")).select(key, F.col("_i").cast("bigint").alias("ordering"), "s.heading", "s.content")
 
 
 def markdown_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -226,6 +242,16 @@ def replace_first(text: Column, anchor: Column, replacement: Column) -> Column:
     return F.when((at > 0) & (anchor != ""), F.concat(F.substring(text, F.lit(1), at - 1), replacement, F.substring(text, at + F.length(anchor), F.length(text))))
 
 
+def apply_edits(text: Column, edits: Column) -> Column:
+    """An ordered array of struct(anchor, replacement) applied one after another, each to its first occurrence; null if one isn't found."""
+    return F.aggregate(edits, text, lambda t, e: replace_first(t, e["anchor"], e["replacement"]))
+
+
+def tag_list(text: Column) -> Column:
+    """Tags as typed: cut at commas of either width, enumeration commas and the letter ``s`` (as the original has it), trimmed."""
+    return F.filter(F.transform(F.split(text, "[,，、s]+", -1), trim_ws), lambda t: t != "")
+
+
 def marker(seq: Column) -> Column:
     return F.concat(F.lit("【矛盾#"), seq.cast("string"), F.lit("】"))
 

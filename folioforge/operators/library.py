@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioforge.functions import text as tx
+from folioforge.plans.sizes import broadcast_if_small
+
 
 def library_scan(sources: DataFrame, cached: DataFrame, key: str, newest: str) -> DataFrame:
     """Long-lived rows, newest first: those that aren't in the per-task cache."""
@@ -84,8 +87,9 @@ def insert_ignore(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def batch_tag(existing: DataFrame, sources: DataFrame, tags: DataFrame) -> DataFrame:
-    """Associations that are missing of every given tag with every given source. ``tags`` is a caller's short list."""
-    pairs = sources.distinct().join(F.broadcast(tags.distinct()), F.lit(True))
+    """Associations that are missing of every given tag with every given source. ``tags`` is a caller's list, as many as its result
+    repeats each source."""
+    pairs = sources.distinct().crossJoin(broadcast_if_small(tags.distinct()))
     return pairs.join(existing, [*sources.columns, *tags.columns], "left_anti")
 
 
@@ -146,15 +150,70 @@ def cascade(tables: dict[str, DataFrame], edges: Sequence[tuple[str, str, str, s
     return left
 
 
-def save_next(df: DataFrame, path: str) -> None:
-    """Write a table's next state beside it and swap it in by renames of the file system that holds it."""
-    spark = df.sparkSession
+def append(base: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """``base`` and the new rows; columns that they lack are null, ``created_at`` and ``updated_at`` are ``now`` where the base has them."""
+    stamped = new.withColumns({c: F.current_timestamp() if now is None else now for c in ("created_at", "updated_at") if c in base.columns and c not in new.columns})
+    return base.unionByName(stamped.select(*[c for c in stamped.columns if c in base.columns]), allowMissingColumns=True)
+
+
+def seed_if_untouched(table: DataFrame, presets: DataFrame, preset: str) -> DataFrame:
+    """Presets replace a table that is empty or holds presets only; any row of a user's own keeps the table as it is. Which of both is
+    decided by one number, joined to either side."""
+    own = table.agg(F.count_if(~F.coalesce(F.col(preset), F.lit(False))).alias("_own"))  # one row
+    kept = table.crossJoin(F.broadcast(own)).where("_own > 0").drop("_own")
+    return kept.unionByName(presets.crossJoin(F.broadcast(own)).where("_own = 0").drop("_own"))
+
+
+def match_skills(titles: DataFrame, skills: DataFrame, title: str, name: str, tags: str) -> DataFrame:
+    """Pairs of a title and a skill whose name, or one of whose tags, the title without white space contains."""
+    bare = titles.withColumn("_bare", tx.strip_ws(F.col(title)))
+    hit = F.contains("_bare", F.col(name)) | F.exists(tags, lambda t: F.contains("_bare", t))
+    return bare.join(broadcast_if_small(skills), hit).drop("_bare")
+
+
+def valid_ids(rows: DataFrame, valid: DataFrame, key: str, ids: str, id_col: str) -> DataFrame:
+    """``(key, ids)``: the ids that exist, each once, in order of first appearance."""
+    each = rows.select(key, F.posexplode(ids).alias("_at", id_col)).groupBy(key, id_col).agg(F.min("_at").alias("_at"))
+    good = each.join(valid.select(id_col).distinct(), id_col, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", id_col))).alias("_ids"))
+    return rows.select(key).join(good, key, "left").select(key, F.coalesce(F.transform("_ids", lambda x: x[id_col]), F.array().cast(rows.schema[ids].dataType)).alias(ids))
+
+
+def apply_settings(changes: DataFrame, key: str, value: str, order: str, valid: Column) -> DataFrame:
+    """``(key, value)`` after all changes: the last valid one of each key; a null value clears the key."""
+    last = latest_per_key(changes.where(F.col(value).isNull() | valid), key, F.desc(order))
+    return last.where(F.col(value).isNotNull()).select(key, value)
+
+
+def legacy_files(sources: DataFrame) -> DataFrame:
+    """Imported files that lie outside the workspace and still have a place."""
+    return sources.where((F.col("kind") == "file") & ~F.coalesce(F.col("workspace"), F.lit(False)) & F.col("file_path").isNotNull())
+
+
+def _swap_paths(spark, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     here, fresh, old = (hadoop.Path(path + end) for end in ("", "._next", "._old"))
+    return here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), here, fresh, old
+
+
+def recover(spark, path: str) -> bool:
+    """Finish or undo a swap that was interrupted, and say whether there is a table. Between both renames the table lies beside its
+    place, under the old name."""
+    fs, here, _, old = _swap_paths(spark, path)
+    if not fs.exists(here) and fs.exists(old) and not fs.rename(old, here):
+        raise OSError(f"cannot restore {path}")
+    return fs.exists(here)
+
+
+def save_next(df: DataFrame, path: str) -> None:
+    """Write a table's next state beside it and swap it in by renames of the file system that holds it. A crash leaves the old state or
+    the new one, after :func:`recover`."""
+    spark = df.sparkSession
+    fs, here, fresh, old = _swap_paths(spark, path)
+    there = recover(spark, path)
     df.write.mode("overwrite").parquet(fresh.toString())
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(old, True)
-    if fs.exists(here):
-        fs.rename(here, old)
-    fs.rename(fresh, here)
+    if there and not fs.rename(here, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(fresh, here):
+        raise OSError(f"cannot move the next state of {path} in")
     fs.delete(old, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioforge.functions import text as tx
 
@@ -38,6 +38,44 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm == 0, d).otherwise(F.transform(d, lambda x: x / norm))
 
 
+def float_bytes(v: Column) -> Column:
+    """A binary of little-endian 32-bit floats from a vector without nulls. Zero, infinities and values below the normal range included."""
+
+    def one(x):
+        size = F.abs(x.cast("double"))
+        power = F.greatest(F.lit(-126.0), F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))))
+        power = F.when(size >= F.pow(F.lit(2.0), power + 1), power + 1).when((size < F.pow(F.lit(2.0), power)) & (power > -126), power - 1).otherwise(power)
+        fraction = F.round(size * F.pow(F.lit(2.0), 23.0 - power)).cast("bigint")
+        word = F.when(size == 0, 0).when(F.isnan(x), 2143289344).when(size == float("inf"), 2139095040).otherwise(F.when(fraction < 8388608, fraction).otherwise(fraction + (power.cast("bigint") + 126) * 8388608))
+        word = word + F.when(x < 0, 2147483648).otherwise(0)
+        hexed = F.lpad(F.hex(word.cast("bigint")), 8, "0")
+        return F.concat(*[F.substring(hexed, k, 2) for k in (7, 5, 3, 1)])
+
+    return F.unhex(F.array_join(F.transform(v, one), ""))
+
+
+def float_vector(data: Column) -> Column:
+    """``array<float>`` of a binary of little-endian 32-bit floats, put together from sign, exponent and fraction; null unless the length
+    is a multiple of four. Infinities and NaN come as such."""
+    hexed = F.hex(data)
+
+    def one(i):
+        b = lambda k: F.conv(F.substring(hexed, i * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("bigint")
+        word = b(0) + b(1) * 256 + b(2) * 65536 + b(3) * 16777216
+        return tx.bound(word, lambda w: _float_of(w))
+
+    return F.when(F.octet_length(data) % 4 == 0, F.when(F.octet_length(data) == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(data) / 4) - 1).cast("int")), one)))
+
+
+def _float_of(w: Column) -> Column:
+    sign = F.when(F.shiftright(w, 31) > 0, -1.0).otherwise(1.0)
+    exponent, fraction = F.shiftright(w, 23).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit(8388607))
+    small = fraction * F.pow(F.lit(2.0), F.lit(-149.0))
+    normal = (fraction + 8388608) * F.pow(F.lit(2.0), exponent - 150.0)
+    special = F.when(fraction == 0, float("inf")).otherwise(float("nan"))
+    return (sign * F.when(exponent == 0, small).when(exponent == 255, special).otherwise(normal)).cast("float")
+
+
 def vector_search(chunks: DataFrame, query: Sequence[float], vector: str, least: float | None = None, limit: int | None = None, tie: str | None = None) -> DataFrame:
     """``chunks`` with ``cosine`` to the query vector, over ``least`` if given, the best ``limit`` if given. The vector is a constant of the
     scan, so there is no join."""
@@ -68,19 +106,20 @@ def suggest_tags(tags: DataFrame, name: str, query: str, limit: int = 5, least:
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), name).limit(limit)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(term, key, tf, n_terms)``: words of letters and digits, lower-cased."""
-    terms = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = docs.select(key, F.size(terms).cast("bigint").alias("n_terms"), terms.alias("_terms"))
-    return rows.select(key, "n_terms", F.explode("_terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
+def _occurrences(terms: str, word: str) -> Column:
+    return F.size(F.filter(terms, lambda t: t == word)).cast("double")
 
 
 def full_text(docs: DataFrame, query: str, key: str, text: str, limit: int = 50) -> DataFrame:
-    """Documents with every bare word of the query, best BM25 first, ties by key. Only the query's words are exploded; lengths and counts
-    are of all documents, in two numbers and one number a word."""
+    """Documents with every bare word of the query, best BM25 first, ties by key; none for a query without a word. A text is cut into
+    words once; lengths and counts are of all documents, in two numbers and one number a word."""
     words = list(dict.fromkeys(w for w in query.lower().split() if w))
+    if not words:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     terms = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = docs.select(key, F.size(terms).cast("double").alias("n_terms"), *[F.size(F.filter(terms, lambda t: t == w)).cast("double").alias(f"_tf{i}") for i, w in enumerate(words)])
+    cut = tx.pinned(docs.select(key, text), _terms=terms)
+    counted = {f"_tf{i}": _occurrences("_terms", w) for i, w in enumerate(words)}
+    rows = tx.pinned(cut, n_terms=F.size("_terms").cast("double"), **counted).drop(text, "_terms")
     stats = rows.agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg_terms"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
     found = rows.where(" AND ".join(f"_tf{i} > 0" for i in range(len(words)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -97,9 +136,3 @@ def overlap_top(chunks: DataFrame, selection: str, text: str, order: Sequence[st
     known = F.array(*map(F.lit, grams)) if grams else tx.none()
     hits = F.size(F.filter(tx.bigrams(F.col(text)), lambda g: F.array_contains(known, g))).cast("bigint")
     return chunks.withColumn("hits", hits).orderBy(F.desc("hits"), *order).limit(limit)
-
-
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct keys numbered from 1 by first appearance."""
-    first = df.groupBy(key).agg(F.min(order).alias("_at"))
-    return first.select(key, F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("index"))

@@ -6,29 +6,16 @@ from pyspark.sql import Window, functions as F
 
 from folioforge.functions import text as tx
 from folioforge.operators import cluster, provenance, retrieval, telemetry
-from folioforge.queries.tables import table, values
+from folioforge.queries.tables import table
 from folioforge.queries.text import LEXICAL, W, _bare, _p
 
-REPLIES = """(1, '```json\n{"a": 1}\n```'), (2, 'so {"b": "x"} it is'), (3, 'no json'), (4, '{"c": [1, 2]}')"""
-STREAM = """(1, 0, 'data: {"choices":[{"delta":{"content":"Hel"}}]}'), (1, 1, 'data: {"choices":[{"delta":{"content":"lo"}}]}'), (1, 2, 'data: [DONE]'), (2, 0, ': ping'), (2, 1, 'data: {"choices":[{"delta":{"content":"x"}}]}')"""
-STATUS = "(1, 401), (2, 403), (3, 429), (4, 500), (5, 404), (6, cast(null as int))"
-SECRETS = """(1, '{"apiKey": "abc", "n": 1}'), (2, '{"x": {"auth_token":"t\\\\"q", "y": 2}}'), (3, '{"note": "key"}')"""
-GROUPS = """(1, 'pupils', 'data', array(struct('a', array('#1')), struct('b', array('#2', '#2')))), (2, 'roads', 'odd', array(struct('c', array('#1')), struct('d', array('#1')))), (3, 'year', 'odd', array(struct('e', array('#3')), struct('f', array('#1', '#99')), struct('g', array('#99')))), (4, 'one', 'time', array(struct('h', array('#1')), struct('  ', array('#2')))), (5, ' ', 'time', array(struct('h', array('#1')), struct('i', array('#2'))))"""
-REFS = "('#1', 's1'), ('#2', 's2'), ('#3', 's3')"
-GROUP_KIND = "array<struct<text:string,sourceRefs:array<string>>>"
-LOCATED = """(1, '[{"seq": 1, "variantIndex": 1, "text": "x"}, {"seq": 2, "variantIndex": 0, "text": "y"}]'), (2, '[{"seq": 3, "variantIndex": 2, "text": ""}]'), (3, 'broken')"""
-ATTEMPTS = "(1, 0, ''), (1, 1, 'b'), (1, 2, 'c'), (2, 0, 'a'), (3, 0, '')"
-REFTEXT = "(1, 'see #1 and #2', array(1L, 2L)), (2, '【矛盾#3】', array(1L)), (3, '#12 #1', array(1L))"
-CLUSTER_DOCS, LEAST = 200, 0.9
+#: Dice of the cluster queries; the operator's own is lower, which on tables of one language links all documents to all.
+LEAST = 0.9
 
 
-def _groups(spark):
-    return values(spark, GROUPS, "id, topic, kind, variants").withColumn("variants", F.col("variants").cast(GROUP_KIND))
-
 
 def _cluster_source(spark, d):
-    """Documents of one source stand for what retrieval has found."""
-    return table(spark, d, "documents").where("source = 'src1' AND lang = 'en'").select("doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def gram_sets(spark, d):
@@ -38,19 +25,19 @@ def gram_sets(spark, d):
 
 def topic_edges(spark, d):
     grams = cluster.gram_sets(_cluster_source(spark, d).withColumn("i", F.lit(0)), "doc_id", ["i"], "text")
-    return cluster.topic_edges(grams, "doc_id", LEAST).select("a", "b", F.round("dice", 6).alias("dice"))
+    return cluster.class_edges(grams, "doc_id", LEAST).select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 def topic_clusters(spark, d):
     docs = _cluster_source(spark, d)
     grams = cluster.gram_sets(docs.withColumn("i", F.lit(0)), "doc_id", ["i"], "text")
-    return cluster.topic_clusters(docs, cluster.topic_edges(grams, "doc_id", LEAST), "doc_id")
+    return cluster.topic_clusters(docs, cluster.class_edges(grams, "doc_id", LEAST), "doc_id")
 
 
 def scan_windows(spark, d):
     docs = _cluster_source(spark, d)
     grams = cluster.gram_sets(docs.withColumn("i", F.lit(0)), "doc_id", ["i"], "text")
-    c = cluster.topic_clusters(docs, cluster.topic_edges(grams, "doc_id", LEAST), "doc_id").join(docs, "doc_id")
+    c = cluster.topic_clusters(docs, cluster.class_edges(grams, "doc_id", LEAST), "doc_id").join(docs, "doc_id")
     big = c.groupBy("cluster").agg(F.count("*").alias("n")).where("n >= 2").select("cluster")
     blocks = c.join(big, "cluster").select("cluster", "doc_id", F.length("text").alias("size"))
     w = cluster.greedy_windows(blocks, "cluster", ["doc_id"], "size", 4000)
@@ -62,25 +49,8 @@ def greedy_windows(spark, d):
     return cluster.greedy_windows(p, "doc_id", ["paragraph"], "size", 1500).select("doc_id", "paragraph", "window")
 
 
-def scan_validate(spark, d):
-    g = cluster.valid_groups(_groups(spark))
-    return g.select(F.col("id").cast("bigint").alias("id"), "topic", F.size("variants").cast("bigint").alias("n"))
-
-
-def contradiction_groups(spark, d):
-    g = cluster.contradiction_groups(cluster.valid_groups(_groups(spark)), values(spark, REFS, "ref, source_id"), "id")
-    return g.select("seq", "topic", "kind", "variant", "text", F.array_join("sources", ",").alias("sources"))
-
-
-def merge_groups(spark, d):
-    g = _groups(spark).union(spark.sql(f"SELECT 6, 'pupils', '', cast(array(struct('a', array('#3')), struct('z', array('#1'))) AS {GROUP_KIND})")).withColumn("task", F.lit(1))
-    return cluster.merge_groups(g, "task", "id").select("task", "nr", "topic", F.to_json("variants").alias("variants"))
 
 
-def locate_validate(spark, d):
-    items = F.from_json("j", "array<struct<seq:bigint,variantIndex:bigint,text:string>>")
-    good = F.filter(items, lambda x: x["seq"].isNotNull() & (x["variantIndex"] >= 1) & (x["text"] != ""))
-    return values(spark, LOCATED, "id, j").select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.size(good), F.lit(0)).cast("bigint").alias("n"))
 
 
 def locate_apply(spark, d):
@@ -106,60 +76,44 @@ def exact_trace(spark, d):
     return provenance.exact_matches(table(spark, d, "documents"), _selection(spark, d), "doc_id", "text")
 
 
+def _paragraphs(spark, d):
+    """Every paragraph stands for a chunk that was given to a model."""
+    return tx.paragraphs(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("paragraph").alias("position"), F.col("text").alias("chunk"))
+
+
 def overlap_top10(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(400)).alias("t"))
-    return retrieval.overlap_top(docs, "tion and the erinth", "t", ["doc_id"]).select("doc_id", "hits")
+    return retrieval.overlap_top(_paragraphs(spark, d), "tion and the erinth", "chunk", ["doc_id", "position"]).select("doc_id", "position", "hits")
 
 
 def trace_fallback5(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", "text")
-    lex = retrieval.lexical(docs, "tion and the", "doc_id", "source", "text")
-    return lex.orderBy("doc_id", "paragraph", "piece").limit(5).select("doc_id", "paragraph", "score")
+    lex = retrieval.lexical(table(spark, d, "documents").select("doc_id", "source", "text"), "tion and the", "doc_id", "source", "text")
+    return lex.orderBy("doc_id", "paragraph", "piece").limit(5).select("doc_id", "paragraph", "piece", "score")
 
 
 def trace_cascade(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    context = docs.where("doc_id % 50 = 0").select("doc_id", F.lit(1).alias("position"), F.left("text", F.lit(200)).alias("chunk"))
-    return provenance.trace(docs, context, _selection(spark, d), "doc_id", "source", "text")
+    return provenance.trace(docs, _paragraphs(spark, d), _selection(spark, d), "doc_id", "source", "text")
 
 
-def source_ref_list(spark, d):
-    ev = table(spark, d, "events").where("event_id < 500").select("event_id", "user_id")
-    return cluster.ordered_refs(ev, "user_id", "event_id")
+def trace_context(spark, d):
+    """A selection that no document holds, so that the second stage answers."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return provenance.trace(docs, _paragraphs(spark, d), "tionqq xandz thez erinth", "doc_id", "source", "text")
 
 
-def resolve_refs(spark, d):
-    t = values(spark, REFTEXT, "id, t, valid")
-    return t.select(F.col("id").cast("bigint").alias("id"), F.array_join(F.transform(provenance.ref_tokens(F.col("t"), F.col("valid")), lambda x: x.cast("string")), ",").alias("refs"))
+def source_ref_list(spark, d):
+    return cluster.ordered_refs(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id")
 
 
-def json_repair(spark, d):
-    return values(spark, REPLIES, "id, t").select(F.col("id").cast("bigint").alias("id"), telemetry.json_candidate(F.col("t")).alias("json"))
 
 
 def json_lists(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.to_json(F.slice(F.split("text", " "), 1, 3)).alias("j"))
-    return rows.select("doc_id", F.array_join(F.from_json("j", "array<string>"), "|").alias("words"))
+    rows = table(spark, d, "documents").select("doc_id", F.to_json(F.split("text", " ")).alias("j"))
+    return rows.select("doc_id", F.sha2(F.array_join(F.from_json("j", "array<string>"), " "), 256).alias("hash"))
 
 
-def parse_outputs(spark, d):
-    v = values(spark, """(1, '{"title": "T", "content": "C"}'), (2, '{"error": "none"}'), (3, 'x')""", "id, t")
-    j = telemetry.json_candidate(F.col("t"))
-    kind = F.when(j.isNull(), "null").when(F.get_json_object(j, "$.error").isNotNull(), "error").otherwise("draft")
-    return v.select(F.col("id").cast("bigint").alias("id"), kind.alias("kind"), F.get_json_object(j, "$.title").alias("title"))
 
 
-def sse_extract(spark, d):
-    return telemetry.delta_text(values(spark, STREAM, "id, n, line"), "id", "n", "line").withColumn("id", F.col("id").cast("bigint"))
-
-
-def error_classify(spark, d):
-    v = values(spark, STATUS, "id, s")
-    return v.select(F.col("id").cast("bigint").alias("id"), telemetry.error_code(F.col("s")).alias("code"), telemetry.retryable(F.col("s")).alias("retry"))
-
-
-def mask_secrets(spark, d):
-    return values(spark, SECRETS, "id, j").select(F.col("id").cast("bigint").alias("id"), tx.masked(F.col("j")).alias("j"))
 
 
 def event_props(spark, d):
@@ -167,8 +121,8 @@ def event_props(spark, d):
 
 
 def recent5_eta(spark, d):
-    ev = table(spark, d, "events")
-    return telemetry.recent_estimate(ev, "event_type", F.col("event_id"), F.col("event_type") != "error", "value")
+    ev = table(spark, d, "events").withColumn("ms", F.col("value") * 1000)
+    return telemetry.recent_estimate(ev, "event_type", F.col("event_id"), F.col("event_type") != "error", "ms", {"error": 30, "generate": 180, "click": 60})
 
 
 def chat_last20(spark, d):
@@ -189,38 +143,29 @@ def progress_curve(spark, d):
 
 
 def conv_chars(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_chars"))
+    """Characters of each conversation's messages as JSON."""
+    m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.length(F.to_json(m)).cast("bigint").alias("n_chars"))
 
 
 def log_report(spark, d):
-    ev = table(spark, d, "events").where("event_id < 200")
-    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), "event_type", F.col("user_id").cast("string"))
-    rows = ev.select("event_type", "event_id", line.alias("line"))
-    text = rows.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("report"))
-    return text.select("event_type", F.sha2("report", 256).alias("hash"))
+    """Reports by type and hour, pages of a bounded size: a header, a line for each call, and its payload."""
+    ev = table(spark, d, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit("\n"), "props").alias("line"))
+    text = ev.groupBy("event_type", "hour").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    report = F.concat(F.lit("# "), "event_type", F.lit(" "), F.date_format("hour", "yyyy-MM-dd HH"), F.lit(": "), F.col("n").cast("string"), F.lit("\n"), "lines")
+    return text.select("event_type", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.sha2(report, 256).alias("hash"))
 
 
-def first_nonempty(spark, d):
-    return telemetry.first_non_empty(values(spark, ATTEMPTS, "id, n, r"), "id", "n", "r").withColumn("id", F.col("id").cast("bigint"))
-
-
-def prompt_render(spark, d):
-    c = table(spark, d, "conversations")
-    part = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.left("text", F.lit(50)))
-    rows = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("prompt"))
-    return rows.select("conv_id", F.sha2("prompt", 256).alias("hash"))
-
 
-def model_calls(spark, d):
-    """A stub client in place of a model: the second attempt answers."""
-    prompts = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(20)).alias("p"))
-    return telemetry.call_model(prompts, "item_id", "p", lambda p, t: p.upper() if t > 0 else "")
 
 
-QUERIES = {f.__name__: f for f in (gram_sets, topic_edges, topic_clusters, scan_windows, greedy_windows, scan_validate, contradiction_groups, merge_groups, locate_validate, locate_apply, status_fold, exact_trace, overlap_top10, trace_fallback5, trace_cascade, source_ref_list, resolve_refs, json_repair, json_lists, parse_outputs, sse_extract, error_classify, mask_secrets, event_props, recent5_eta, chat_last20, ring_buffer, progress_curve, conv_chars, log_report, first_nonempty, prompt_render, model_calls)}
+QUERIES = {f.__name__: f for f in (gram_sets, topic_edges, topic_clusters, scan_windows, greedy_windows, locate_apply, status_fold, exact_trace, overlap_top10, trace_fallback5, trace_cascade, trace_context, source_ref_list, json_lists, event_props, recent5_eta, chat_last20, ring_buffer, progress_curve, conv_chars, log_report)}
 
-_sets = f"SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2))) AS g FROM (SELECT doc_id, {_bare('text')} AS b FROM documents WHERE source = 'src1' AND lang = 'en')"
-_edges = f"s AS ({_sets}), e AS (SELECT x.doc_id AS a, y.doc_id AS b, 2.0::DOUBLE * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS dice FROM s x JOIN s y ON x.doc_id < y.doc_id WHERE len(x.g) > 0 AND len(y.g) > 0 AND 2.0::DOUBLE * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) >= {LEAST})"
+_sets = f"SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2))) AS g FROM (SELECT doc_id, {_bare('text')} AS b FROM documents)"
+_edges = f"""s AS ({_sets}), kl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(list_sort(g), chr(0))) AS first FROM s WHERE len(g) > 0),
+w AS (SELECT doc_id, unnest(g) AS gram, len(g) AS n FROM s JOIN kl USING (doc_id) WHERE doc_id = first),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b, 2.0::DOUBLE * count(*) / (x.n + y.n) AS dice FROM w x JOIN w y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 2.0::DOUBLE * count(*) / (x.n + y.n) >= {LEAST}
+  UNION ALL SELECT first, doc_id, 1.0 FROM kl WHERE doc_id <> first)"""
 _cc = f"{_edges}, l AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), r(n, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.v, r.m FROM r JOIN l ON l.u = r.n WHERE r.m < l.v), c AS (SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY n)"
 _sel = "(SELECT trim(substring(text, 101, 60)) FROM documents WHERE doc_id = 3)"
 
@@ -235,30 +180,20 @@ ORACLES = {
     "topic_clusters": f"WITH RECURSIVE {_cc} SELECT doc_id, cluster FROM c",
     "scan_windows": f"WITH RECURSIVE {_cc}, k AS (SELECT cluster, doc_id, length(text) AS size FROM c JOIN documents USING (doc_id) WHERE cluster IN (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 2)), {_windows('SELECT * FROM k', 'cluster', 'doc_id', 4000)} SELECT cluster, max(w) AS n_windows, sum(size)::BIGINT AS size FROM f GROUP BY cluster",
     "greedy_windows": f"WITH RECURSIVE p AS ({_p()}), {_windows('SELECT doc_id, paragraph, length(t) AS size FROM p', 'doc_id', 'paragraph', 1500)} SELECT doc_id, paragraph, w AS \"window\" FROM f",
-    "scan_validate": "SELECT * FROM (VALUES (1::BIGINT, 'pupils', 2::BIGINT), (2, 'roads', 2), (3, 'year', 3)) t(id, topic, n)",
-    "contradiction_groups": "SELECT * FROM (VALUES (1::BIGINT, 'pupils', 'data', 1::BIGINT, 'a', 's1'), (1, 'pupils', 'data', 2, 'b', 's2'), (2, 'year', 'other', 1, 'e', 's3'), (2, 'year', 'other', 2, 'f', 's1')) t(seq, topic, kind, variant, \"text\", sources)",
-    "locate_validate": "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 0), (3, 0)) t(id, n)",
     "locate_apply": "SELECT seq, variant, line FROM (SELECT l_orderkey AS seq, l_linenumber::BIGINT AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS variant FROM lineitem) WHERE variant = 2 AND seq IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)",
     "status_fold": "WITH v AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'adopt' WHEN 'error' THEN 'ignore' ELSE 'revert' END AS a, event_id % 3 AS variant FROM events), l AS (SELECT user_id, arg_max(a, event_id) AS a, arg_max(variant, event_id) AS variant FROM v WHERE a <> 'adopt' OR variant < 2 GROUP BY user_id) SELECT user_id, CASE a WHEN 'adopt' THEN 'adopted' WHEN 'ignore' THEN 'ignored' ELSE 'pending' END AS status, CASE WHEN a = 'adopt' THEN variant END AS variant FROM l",
     "exact_trace": f"SELECT doc_id, '第 ' || (len(regexp_extract_all(left(text, (instr(text, {_sel}) - 1)::BIGINT), '\\n{{2,}}')) + 1) || ' 段' AS position FROM documents WHERE contains(text, {_sel})",
-    "overlap_top10": f"WITH s AS (SELECT doc_id, {_bare('left(text, 400)')} AS b FROM documents) SELECT doc_id, len(list_filter(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2)), lambda g: contains('tionandtheerinth', g)))::BIGINT AS hits FROM s ORDER BY hits DESC, doc_id LIMIT 10",
-    "trace_fallback5": f"SELECT doc_id, CAST(regexp_extract(position, '第([0-9]+)段', 1) AS BIGINT) AS paragraph, score FROM ({LEXICAL}) JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY doc_id, paragraph LIMIT 5",
+    "overlap_top10": f"WITH s AS (SELECT doc_id, paragraph, {_bare('t')} AS b FROM ({_p()})) SELECT doc_id, paragraph AS position, len(list_filter(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2)), lambda g: contains('tionandtheerinth', g)))::BIGINT AS hits FROM s ORDER BY hits DESC, doc_id, paragraph LIMIT 10",
+    "trace_fallback5": f"SELECT doc_id, paragraph, piece, score FROM (SELECT doc_id, CAST(regexp_extract(position, '第([0-9]+)段', 1) AS BIGINT) AS paragraph, coalesce(try_cast(regexp_extract(position, '片段([0-9]+)', 1) AS BIGINT), 1) AS piece, score FROM ({LEXICAL})) ORDER BY doc_id, paragraph, piece LIMIT 5",
+    "trace_context": f"WITH s AS (SELECT doc_id, paragraph, {_bare('t')} AS b FROM ({_p()})), h AS (SELECT doc_id, paragraph, len(list_filter(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2)), lambda g: contains('tionqqxandzthezerinth', g))) AS n FROM s ORDER BY n DESC, doc_id, paragraph LIMIT 10) SELECT DISTINCT doc_id, 'context' AS stage FROM h WHERE n > 0",
     "trace_cascade": f"SELECT doc_id, 'exact' AS stage FROM documents WHERE contains(text, {_sel})",
-    "source_ref_list": "SELECT row_number() OVER (ORDER BY min(event_id)) AS index, user_id FROM events WHERE event_id < 500 GROUP BY user_id",
-    "resolve_refs": "SELECT * FROM (VALUES (1::BIGINT, '1,2'), (2, ''), (3, '1')) t(id, refs)",
-    "json_repair": """SELECT * FROM (VALUES (1::BIGINT, '{"a": 1}'), (2, '{"b": "x"}'), (3, NULL), (4, '{"c": [1, 2]}')) t(id, json)""",
-    "json_lists": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], '|') AS words FROM documents",
-    "parse_outputs": "SELECT * FROM (VALUES (1::BIGINT, 'draft', 'T'), (2, 'error', NULL), (3, 'null', NULL)) t(id, kind, title)",
-    "sse_extract": "SELECT * FROM (VALUES (1::BIGINT, 'Hello'), (2, 'x')) t(id, content)",
-    "error_classify": "SELECT id::BIGINT AS id, CASE WHEN s IN (401, 403) THEN 'LLM_UNAUTHORIZED' WHEN s = 429 THEN 'LLM_RATE_LIMIT' WHEN s IS NULL THEN 'LLM_NETWORK' WHEN s >= 400 THEN 'LLM_PROVIDER_ERROR' END AS code, coalesce(s = 429 OR s >= 500, true) AS retry FROM (VALUES (1, 401), (2, 403), (3, 429), (4, 500), (5, 404), (6, NULL)) t(id, s)",
-    "mask_secrets": """SELECT * FROM (VALUES (1::BIGINT, '{"apiKey": "***", "n": 1}'), (2, '{"x": {"auth_token":"***", "y": 2}}'), (3, '{"note": "key"}')) t(id, j)""",
+    "source_ref_list": "SELECT row_number() OVER (ORDER BY min(event_id)) AS index, user_id FROM events GROUP BY user_id",
+    "json_lists": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "event_props": "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
-    "recent5_eta": "SELECT event_type, greatest(5, floor(avg(value) + 0.5))::BIGINT AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n <= 5 GROUP BY event_type",
+    "recent5_eta": "WITH k AS (SELECT event_type, greatest(5, floor(avg(value) + 0.5))::BIGINT AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n <= 5 GROUP BY event_type) SELECT * FROM k UNION ALL SELECT * FROM (VALUES ('error', 30::BIGINT), ('generate', 180), ('click', 60)) f(event_type, seconds) WHERE event_type NOT IN (SELECT event_type FROM k)",
     "chat_last20": f"SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND regexp_replace(text, '{W}+', '', 'g') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
     "ring_buffer": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000",
     "progress_curve": "SELECT conv_id, turn, round(100.0::DOUBLE * count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY conv_id), 6) AS percent FROM conversations",
-    "conv_chars": "SELECT conv_id, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
-    "log_report": "SELECT event_type, sha256(string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || event_type || ' ' || user_id, chr(10) ORDER BY event_id)) AS hash FROM events WHERE event_id < 200 GROUP BY event_type",
-    "first_nonempty": "SELECT * FROM (VALUES (1::BIGINT, 'b'), (2, 'a')) t(id, r)",
-    "prompt_render": "SELECT conv_id, sha256(string_agg('[' || turn || '] ' || role || ': ' || left(text, 50), chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id",
+    "conv_chars": "SELECT conv_id, length(to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR) AS n_chars FROM conversations GROUP BY conv_id",
+    "log_report": "SELECT event_type, hour, sha256('# ' || event_type || ' ' || hour || ': ' || count(*) || chr(10) || string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || event_type || ' ' || user_id || chr(10) || props, chr(10) ORDER BY event_id)) AS hash FROM (SELECT *, strftime(ts, '%Y-%m-%d %H') AS hour FROM events) GROUP BY event_type, hour",
 }

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from folioforge.functions.text import pinned
 from folioforge.operators import library as lib
 from folioforge.queries.tables import table, values
 
-TAGS = "('t1', 'a'), ('t1', 'b'), ('t1', 'a'), ('t2', 'c'), ('t2', 'a')"
-SKILLS = "('style', 'general', array('clear', 'plain')), ('schools', 'section', array('school', 'pupil')), ('roads', 'section', array('road')), ('tone', 'general', array('calm'))"
-SKILLS_DUCK = SKILLS.replace("array(", "list_value(")
-TITLES = "(1, 'history of the school'), (2, 'plain words'), (3, 'rivers')"
-VARIANTS = "(1, array('s1', 's9', 's2')), (2, array('s3')), (3, array('s2', 's2', 's1'))"
-URLS = "(1, 'http://a.org/'), (2, ' http://a.org'), (3, 'http://b.org/x//'), (4, 'http://a.org//'), (5, 'http://b.org/x')"
 
 
 def library_scan(spark, d):
@@ -32,12 +27,6 @@ def lookup_in_order(spark, d):
     return lib.lookup_in_order(table(spark, d, "documents").select("doc_id", "lang"), [9, 3, 9, 1, -1], "doc_id")
 
 
-def lookup_url_scope(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 1, F.lit("task")).alias("task_id"))
-    url = F.min("url")
-    first = pages.where("page_id = 4").agg(url.alias("url"))
-    return pages.join(F.broadcast(first), "url").where("task_id IS NULL").select("page_id", "url")
-
 
 def ordered_lists(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("nth"))
@@ -59,11 +48,6 @@ def segment_enrich(spark, d):
     return lib.enrich(table(spark, d, "documents").select("doc_id", "source"), labels, "doc_id")
 
 
-def array_fk_titles(spark, d):
-    rows = values(spark, VARIANTS, "id, ids")
-    titles = values(spark, "('s1', 'One'), ('s2', 'Two'), ('s3', null)", "sid, title")
-    return lib.array_titles(rows, titles, "id", "ids", "sid", "title").select(F.col("id").cast("bigint").alias("id"), F.array_join("titles", "|").alias("titles"))
-
 
 def pending_summaries(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
@@ -78,22 +62,8 @@ def chunks_per_source(spark, d):
     return docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"))
 
 
-def scope_resolve(spark, d):
-    bridge = values(spark, TAGS, "tag_id, source_id")
-    sources = values(spark, "('a1'), ('b2'), ('b2')", "source_id")
-    found = [lib.resolve_scope(sources, bridge, s).select(F.lit(n).alias("scope"), "source_id") for n, s in (("all", {"all": True}), ("ids", {"sourceIds": ["x", "y", "x"]}), ("tags", {"tagIds": ["t1", "t2"]}))]
-    return found[0].union(found[1]).union(found[2])
-
-
-def skill_match(spark, d):
-    skills, titles = values(spark, SKILLS, "name, category, tags"), values(spark, TITLES, "id, title")
-    hit = F.expr("contains(replace(title, ' ', ''), name) OR exists(tags, t -> contains(replace(title, ' ', ''), t))")
-    return titles.join(F.broadcast(skills), hit).select(F.col("id").cast("bigint").alias("id"), "name")
 
 
-def skill_counts(spark, d):
-    return values(spark, SKILLS, "name, category, tags").groupBy("category").agg(F.count("*").alias("n"))
-
 
 def insert_ignore(spark, d):
     base = table(spark, d, "labels").select("doc_id", F.lit("labelled").alias("origin"))
@@ -103,12 +73,8 @@ def insert_ignore(spark, d):
 
 def batch_tag_cross(spark, d):
     existing = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("toxic").alias("tag"))
-    return lib.batch_tag(existing, table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id"), values(spark, "('toxic'), ('clean')", "tag"))
-
+    return lib.batch_tag(existing, table(spark, d, "documents").select("doc_id"), values(spark, "('toxic'), ('clean')", "tag"))
 
-def idempotent_create(spark, d):
-    rows = values(spark, URLS, "id, url")
-    return lib.create_once(rows, lib.normalised_url(F.col("url")), "id").select(F.col("id").cast("bigint").alias("id"), "name_key")
 
 
 def delete_anti(spark, d):
@@ -177,43 +143,31 @@ def dup_hash_count(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def settings_map(spark, d):
-    rows = values(spark, "('limit', '5'), ('model', 'a'), ('theme', 'dark')", "key, value")
-    return rows.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).select(F.col("m")["limit"].alias("limit_value"), F.col("m")["model"].alias("model"), F.col("m")["none"].alias("missing"))
-
 
 def array_ops(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 12).alias("w"))
-    return rows.select("doc_id", F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"), F.array_join(F.array_union(F.slice("w", 1, 2), F.slice("w", 2, 2)), "|").alias("both"))
-
+    w, half = F.split("text", " "), F.ceil(F.size(F.split("text", " ")) / 2).cast("int")
+    rows = pinned(table(spark, d, "documents").select("doc_id", "text"), w=w, a=F.slice(w, F.lit(1), half), b=F.slice(w, half + 1, F.size(w)))
+    size = lambda x: F.size(x).cast("bigint")
+    return rows.select("doc_id", size(F.array_distinct("w")).alias("n_distinct"), size(F.array_union("a", "b")).alias("n_union"), size(F.array_intersect("a", "b")).alias("n_both"), size(F.array_except("a", "b")).alias("n_first"))
 
-def valid_ids(spark, d):
-    rows = values(spark, "(1, array('a', 'x', 'a', 'b')), (2, array('y')), (3, array('b', 'a'))", "id, ids")
-    return rows.select(F.col("id").cast("bigint").alias("id"), F.array_join(F.array_intersect(F.array_distinct("ids"), F.array(F.lit("a"), F.lit("b"))), ",").alias("valid"))
 
 
-QUERIES = {f.__name__: f for f in (library_scan, point_lookup, scope_filter, lookup_in_order, lookup_url_scope, ordered_lists, tag_division, tags_of_source, segment_enrich, array_fk_titles, pending_summaries, semi_exists, chunks_per_source, scope_resolve, skill_match, skill_counts, insert_ignore, batch_tag_cross, idempotent_create, delete_anti, replace_children, upsert_merge, upsert_new_count, patch_update, cascade_delete, contradiction_nested, latest_draft, workspace_status, pending_split, dup_hash_count, settings_map, array_ops, valid_ids)}
+QUERIES = {f.__name__: f for f in (library_scan, point_lookup, scope_filter, lookup_in_order, ordered_lists, tag_division, tags_of_source, segment_enrich, pending_summaries, semi_exists, chunks_per_source, insert_ignore, batch_tag_cross, delete_anti, replace_children, upsert_merge, upsert_new_count, patch_update, cascade_delete, contradiction_nested, latest_draft, workspace_status, pending_split, dup_hash_count, array_ops)}
 
 ORACLES = {
     "library_scan": "SELECT doc_id, source, lang FROM documents WHERE doc_id % 7 <> 0",
     "point_lookup": "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 5",
     "scope_filter": "SELECT doc_id, lang FROM documents WHERE doc_id IN (1, 3, 9, 27)",
     "lookup_in_order": "WITH w AS (SELECT id, min(at_) AS place FROM (SELECT unnest([9, 3, 9, 1, -1]) AS id, generate_subscripts([9, 3, 9, 1, -1], 1) AS at_) GROUP BY id) SELECT doc_id, lang, row_number() OVER (ORDER BY place) - 1 AS position FROM documents JOIN w ON doc_id = id",
-    "lookup_url_scope": "SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages WHERE page_id = 4) AND page_id % 2 <> 1",
     "ordered_lists": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations",
     "tag_division": "SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id HAVING count(DISTINCT event_type) = 3",
     "tags_of_source": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "segment_enrich": "SELECT doc_id, source, quality FROM documents LEFT JOIN labels USING (doc_id)",
-    "array_fk_titles": f"WITH v(id, ids) AS (VALUES {VARIANTS.replace('array(', 'list_value(')}), t(sid, title) AS (VALUES ('s1', 'One'), ('s2', 'Two'), ('s3', NULL)), e AS (SELECT id, unnest(ids) AS sid, generate_subscripts(ids, 1) AS place FROM v) SELECT id::BIGINT AS id, string_agg(coalesce(title, sid), '|' ORDER BY place) AS titles FROM e LEFT JOIN t USING (sid) GROUP BY id",
     "pending_summaries": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "semi_exists": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "chunks_per_source": "SELECT source, count(*) AS n_docs, count(quality) AS n_labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
-    "scope_resolve": f"SELECT * FROM (VALUES ('all', 'a1'), ('all', 'b2'), ('ids', 'x'), ('ids', 'y'), ('ids', 'x')) t(scope, source_id) UNION ALL SELECT DISTINCT 'tags', source_id FROM (VALUES {TAGS}) b(tag_id, source_id)",
-    "skill_match": f"WITH s(name, category, tags) AS (VALUES {SKILLS_DUCK}), t(id, title) AS (VALUES {TITLES}) SELECT id::BIGINT AS id, name FROM t, s WHERE contains(replace(title, ' ', ''), name) OR len(list_filter(tags, lambda g: contains(replace(title, ' ', ''), g))) > 0",
-    "skill_counts": f"SELECT category, count(*) AS n FROM (VALUES {SKILLS_DUCK}) s(name, category, tags) GROUP BY category",
     "insert_ignore": "SELECT doc_id, 'labelled' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
-    "batch_tag_cross": "SELECT doc_id, tag FROM documents, (VALUES ('toxic'), ('clean')) t(tag) WHERE doc_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1 AND tag = 'toxic')",
-    "idempotent_create": f"SELECT min(id)::BIGINT AS id, regexp_replace(trim(url), '/+$', '') AS name_key FROM (VALUES {URLS}) t(id, url) GROUP BY 2",
+    "batch_tag_cross": "SELECT doc_id, tag FROM documents, (VALUES ('toxic'), ('clean')) t(tag) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1 AND tag = 'toxic')",
     "delete_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "replace_children": "SELECT l_orderkey, count(*) AS n, round(sum(qty), 6) AS qty FROM (SELECT l_orderkey, l_quantity::DOUBLE AS qty FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderkey % 5 = 0) GROUP BY l_orderkey",
     "upsert_merge": "SELECT c_custkey, c_name, round(c_acctbal::DOUBLE + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 6) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
@@ -225,7 +179,5 @@ ORACLES = {
     "workspace_status": "SELECT count_if(doc_id % 2 = 0)::BIGINT AS workspace, count_if(lang = 'en' AND doc_id % 2 = 1)::BIGINT AS legacy FROM documents",
     "pending_split": "SELECT source, count_if(coalesce(toxic = 1, true))::BIGINT AS contradictions, count_if(NOT coalesce(toxic = 1, true))::BIGINT AS warnings FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "dup_hash_count": "SELECT sha256(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "settings_map": "SELECT '5' AS limit_value, 'a' AS model, NULL::VARCHAR AS missing",
-    "array_ops": "WITH w AS (SELECT doc_id, string_split(text, ' ')[1:12] AS w FROM documents) SELECT doc_id, len(list_distinct(w))::BIGINT AS n_distinct, array_to_string(list_transform(list_filter(list_zip(w[1:3], range(len(w[1:3]))), lambda x: NOT list_contains(w[1:3][1:x[2]], x[1])), lambda x: x[1]), '|') AS both FROM w",
-    "valid_ids": "SELECT * FROM (VALUES (1::BIGINT, 'a,b'), (2, ''), (3, 'b,a')) t(id, valid)",
+    "array_ops": "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), h AS (SELECT doc_id, w, w[1:ceil(len(w) / 2)::INT] AS a, w[ceil(len(w) / 2)::INT + 1:] AS b FROM w) SELECT doc_id, len(list_distinct(w))::BIGINT AS n_distinct, len(list_distinct(w))::BIGINT AS n_union, len(list_distinct(list_intersect(a, b)))::BIGINT AS n_both, (len(list_distinct(a)) - len(list_distinct(list_intersect(a, b))))::BIGINT AS n_first FROM h",
 }

@@ -6,15 +6,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.operators import retrieval
-from folioforge.queries.tables import table, values
+from folioforge.queries.tables import table
 
 QUERY = "tion and the"
-TOPICS = "(1, '请撰写，标题为“学前教育”，包括“教育与保育”和“园所设置”'), (2, '标题为“学前教育“，要求详实'), (3, '  写一段 教育 发展  ')"
-TEXTS = "(1, '幼儿园 新闻：学前 教育'), (2, '政治学习教育活动'), (3, '   '), (4, 'abc')"
-MARKED = "(1, '【矛盾#3】与【矛盾#12】并存'), (2, '【矛盾#0】'), (3, 'x'), (4, 'abc【矛盾#1】【矛盾#2】d')"
-EDITS = "(1, 'a b a', 'a', 'X'), (2, 'a b', 'c', 'X'), (3, 'cc', 'c', '')"
-MD = "(1, '## One\ntext\n\n\n\nmore\n### Two\nlast'), (2, 'lead\n# A\nx'), (3, ''), (4, '## Only')"
-TAGGED = "(1, '[tag:a] [tag:b] Title'), (2, 'plain [tag:x]'), (3, '[tag:c]Rest')"
+RELEVANT = "the nation and its 12 rivers"
 
 
 def title_like_lines(spark, d):
@@ -39,7 +34,7 @@ def bigram_explode(spark, d):
 
 
 def dice_score(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("a"), F.substring("text", 41, 80).alias("b"))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substring(text, 41)").alias("b"))
     return b.select("item_id", F.round(tx.dice(tx.bigrams(F.col("a")), tx.bigrams(F.col("b"))), 6).alias("dice"))
 
 
@@ -49,41 +44,26 @@ def lexical_retrieve(spark, d):
 
 
 def summary_relevance(spark, d):
-    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    q = b.where("item_id < 5").select("item_id", F.left("text", F.lit(60)).alias("query"))
-    s = docs.select("doc_id", F.left("text", F.lit(200)).alias("summary"), F.slice(F.split("text", " "), 1, 5).alias("keywords"), F.slice(F.split("text", " "), 6, 2).alias("entities"))
-    return s.join(F.broadcast(q)).select("item_id", "doc_id", tx.summary_relevance(F.col("query"), F.col("summary"), F.col("keywords"), F.col("entities")).alias("score"))
+    """Whole texts stand for summaries."""
+    words = F.split("text", " ")
+    score = tx.summary_relevance(F.lit(RELEVANT), F.col("text"), F.slice(words, 1, 10), F.slice(words, 11, 10))
+    return table(spark, d, "documents").select("doc_id", score.alias("score"))
 
 
 def summary_prefilter(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    summaries = labels.join(docs.select("doc_id", F.left("text", F.lit(40)).alias("summary"), F.slice(F.split("text", " "), 1, 3).alias("keywords")), "doc_id").select("doc_id", "summary", "keywords", F.array().cast("array<string>").alias("entities"))
+    summaries = labels.join(docs.select("doc_id", F.col("text").alias("summary"), F.slice(F.split("text", " "), 1, 3).alias("keywords")), "doc_id").select("doc_id", "summary", "keywords", F.array().cast("array<string>").alias("entities"))
     return retrieval.summary_prefilter(docs.select("doc_id"), summaries, "zuenzz qqer xx", "doc_id")
 
 
-def topic_terms(spark, d):
-    return values(spark, TOPICS, "id, q").select(F.col("id").cast("bigint").alias("id"), F.array_join(tx.topic_terms(F.col("q")), "|").alias("terms"))
 
 
-def term_expand(spark, d):
-    t = values(spark, TOPICS, "id, q").withColumn("terms", tx.topic_terms(F.col("q")))
-    return t.select(F.col("id").cast("bigint").alias("id"), F.array_join(F.array_union("terms", tx.expand_terms(F.col("terms"))), "|").alias("terms"))
-
-
-def match_any(spark, d):
-    terms = F.array(F.lit("学前教育"), F.lit("入园"))
-    return values(spark, TEXTS, "id, t").select(F.col("id").cast("bigint").alias("id"), tx.matches_any(F.col("t"), terms).alias("hit"))
-
 
 def match_exact(spark, d):
     terms = F.array(F.lit("ofthe"), F.lit("denein"), F.lit(""))
     return table(spark, d, "documents").where(tx.matches_exact(F.left("text", F.lit(12000)), terms)).select("doc_id")
 
 
-def article_prefilter(spark, d):
-    terms = F.array(F.lit("xq zk"), F.lit("ñáb"))
-    return table(spark, d, "documents").where(tx.matches_any(F.left("text", F.lit(60)), terms)).select("doc_id")
-
 
 def tag_suggest(spark, d):
     tags = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
@@ -91,16 +71,13 @@ def tag_suggest(spark, d):
 
 
 def fuzzy_subsequence(spark, d):
-    return table(spark, d, "part").where(tx.fuzzy_match(F.col("p_name"), "rdgt")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(tx.fuzzy_match(F.col("p_name"), "Rdgt", F.array("p_brand", "p_type"), F.concat_ws(" ", "p_type", "p_name"))).select("p_partkey", "p_name")
 
 
 def truncate_probe(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.truncated(F.col("text"), 300), 256).alias("hash"))
 
 
-def md_segments(spark, d):
-    return tx.markdown_segments(values(spark, MD, "id, t"), "id", "t").withColumn("id", F.col("id").cast("bigint"))
-
 
 def render_markdown(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", tx.render_segment(F.when(F.col("role") != "system", F.col("role")), F.col("text")).alias("part"))
@@ -108,24 +85,11 @@ def render_markdown(spark, d):
     return whole.select("conv_id", F.sha2("md", 256).alias("hash"))
 
 
-def apply_edit(spark, d):
-    return values(spark, EDITS, "id, t, a, r").select(F.col("id").cast("bigint").alias("id"), tx.replace_first(F.col("t"), F.col("a"), F.col("r")).alias("edited"))
-
-
-def marker_extract(spark, d):
-    return values(spark, MARKED, "id, t").select(F.col("id").cast("bigint").alias("id"), F.array_join(F.transform(tx.marker_numbers(F.col("t")), lambda x: x.cast("string")), ",").alias("seqs"))
-
-
-def marker_remove(spark, d):
-    return values(spark, MARKED, "id, t").select(F.col("id").cast("bigint").alias("id"), F.replace("t", tx.marker(F.lit(1)), F.lit("")).alias("t"))
 
 
-def strip_tag_prefix(spark, d):
-    t = values(spark, TAGGED, "id, t")
-    return t.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("t").like("[tag:%"), F.regexp_replace("t", r"^(?:\[tag:[^\]\r\n]+\]\s*)+", "")).otherwise(F.col("t")).alias("t"))
 
 
-QUERIES = {f.__name__: f for f in (title_like_lines, chunk_paragraphs, chunk_pack, bigram_explode, dice_score, lexical_retrieve, summary_relevance, summary_prefilter, topic_terms, term_expand, match_any, match_exact, article_prefilter, tag_suggest, fuzzy_subsequence, truncate_probe, md_segments, render_markdown, apply_edit, marker_extract, marker_remove, strip_tag_prefix)}
+QUERIES = {f.__name__: f for f in (title_like_lines, chunk_paragraphs, chunk_pack, bigram_explode, dice_score, lexical_retrieve, summary_relevance, summary_prefilter, match_exact, tag_suggest, fuzzy_subsequence, truncate_probe, render_markdown)}
 
 W = tx.WS
 PARAGRAPHS = f"""SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS paragraph, t FROM (
@@ -175,22 +139,13 @@ ORACLES = {
     "chunk_paragraphs": f"SELECT doc_id, paragraph, length(t) AS n, sha256(t) AS hash FROM ({_p()}) WHERE NOT {TITLE}",
     "chunk_pack": _pack.replace("{p}", _p("(SELECT doc_id, source, replace(text, '.', '。') AS text FROM documents)")),
     "bigram_explode": f"SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2))) AS gram FROM (SELECT {_bare('text')} AS b FROM documents)) GROUP BY gram",
-    "dice_score": f"WITH x AS (SELECT item_id, {_grams('left(text, 80)')} AS a, {_grams('substring(text, 41, 80)')} AS b FROM benchmark) SELECT item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_filter(a, lambda x: list_contains(b, x))) / (len(a) + len(b)) END, 6) AS dice FROM x",
+    "dice_score": f"WITH x AS (SELECT item_id, {_grams('text')} AS a, {_grams('substring(text, 41)')} AS b FROM benchmark) SELECT item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_filter(a, lambda x: list_contains(b, x))) / (len(a) + len(b)) END, 6) AS dice FROM x",
     "lexical_retrieve": LEXICAL,
-    "summary_relevance": f"WITH s AS (SELECT item_id, doc_id, {_bare('left(b.text, 60)')} AS q, string_split(d.text, ' ')[1:5] AS keywords, string_split(d.text, ' ')[6:7] AS entities, left(d.text, 200) AS summary FROM documents d, benchmark b WHERE item_id < 5), t AS (SELECT *, {_bare(chr(34) + 'summary' + chr(34) + " || ' ' || array_to_string(keywords, ' ')")} AS tt FROM s) SELECT item_id, doc_id, {_rel} AS score FROM t",
-    "summary_prefilter": f"WITH s AS (SELECT doc_id, quality, 'zuenzzqqerxx' AS q, string_split(text, ' ')[1:3] AS keywords, []::VARCHAR[] AS entities, {_bare("left(text, 40) || ' ' || array_to_string(string_split(text, ' ')[1:3], ' ')")} AS tt FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id FROM s WHERE quality IS NULL OR {_rel} > 0",
-    "topic_terms": "SELECT * FROM (VALUES (1::BIGINT, '学前教育|教育与保育|园所设置'), (2, '学前教育'), (3, '写一段教育发展')) t(id, terms)",
-    "term_expand": "SELECT id, terms || '|学前|幼儿园|幼儿|保育|托育|入园|幼教' AS terms FROM (VALUES (1::BIGINT, '学前教育|教育与保育|园所设置'), (2, '学前教育'), (3, '写一段教育发展')) t(id, terms)",
-    "match_any": "SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, false)) t(id, hit)",
+    "summary_relevance": f"WITH s AS (SELECT doc_id, {_bare(chr(39) + RELEVANT + chr(39))} AS q, string_split(text, ' ')[1:10] AS keywords, string_split(text, ' ')[11:20] AS entities, {_bare("text || ' ' || array_to_string(string_split(text, ' ')[1:10], ' ')")} AS tt FROM documents) SELECT doc_id, {_rel} AS score FROM s",
+    "summary_prefilter": f"WITH s AS (SELECT doc_id, quality, 'zuenzzqqerxx' AS q, string_split(text, ' ')[1:3] AS keywords, []::VARCHAR[] AS entities, {_bare("text || ' ' || array_to_string(string_split(text, ' ')[1:3], ' ')")} AS tt FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id FROM s WHERE quality IS NULL OR {_rel} > 0",
     "match_exact": f"SELECT doc_id FROM documents WHERE contains({_bare('left(text, 12000)')}, 'ofthe') OR contains({_bare('left(text, 12000)')}, 'denein')",
-    "article_prefilter": f"SELECT doc_id FROM (SELECT doc_id, {_bare('left(text, 60)')} AS b FROM documents) WHERE contains(b, 'xq zk') OR contains(b, 'xq') OR contains(b, 'qz') OR contains(b, 'zk') OR contains(b, 'ñá') OR contains(b, 'áb')",
     "tag_suggest": "WITH t AS (SELECT DISTINCT p_type AS name, lower(trim(p_type)) AS n, 'promo small' AS q FROM part), g AS (SELECT *, list_transform(range(1, length(n)), lambda i: substring(n, i::BIGINT, 2)) AS a, list_transform(range(1, length(q)), lambda i: substring(q, i::BIGINT, 2)) AS b FROM t), h AS (SELECT *, len(list_filter(a, lambda x: list_contains(b, x))) AS c FROM g), s AS (SELECT name, CASE WHEN n = q THEN 1000.0::DOUBLE WHEN contains(n, q) THEN 500.0 + length(n) WHEN contains(q, n) THEN 300.0 + length(n) ELSE c * 100.0::DOUBLE / (len(a) + len(b) - c) END AS score FROM h) SELECT name, round(score, 6) AS score FROM s WHERE score >= 40 ORDER BY s.score DESC, name LIMIT 5",
-    "fuzzy_subsequence": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g.*t')",
+    "fuzzy_subsequence": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g.*t') OR regexp_matches(lower(p_brand), 'r.*d.*g.*t') OR regexp_matches(lower(p_type), 'r.*d.*g.*t') OR contains(lower(p_type || ' ' || p_name), 'rdgt')",
     "truncate_probe": "SELECT doc_id, sha256(CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END) AS hash FROM documents",
-    "md_segments": "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'One', 'text' || chr(10) || chr(10) || 'more'), (1, 1, 'Two', 'last'), (2, 0, NULL, 'lead'), (2, 1, 'A', 'x'), (4, 0, 'Only', '')) t(id, ordering, heading, content)",
     "render_markdown": "SELECT conv_id, sha256(string_agg(CASE WHEN role = 'system' THEN text ELSE '## ' || role || chr(10) || chr(10) || text END, chr(10) || chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id",
-    "apply_edit": "SELECT * FROM (VALUES (1::BIGINT, 'X b a'), (2, NULL), (3, 'c')) t(id, edited)",
-    "marker_extract": f"SELECT id::BIGINT AS id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: x::BIGINT), lambda x: x > 0), ',') AS seqs FROM (VALUES {MARKED}) v(id, t)",
-    "marker_remove": f"SELECT id::BIGINT AS id, replace(t, '【矛盾#1】', '') AS t FROM (VALUES {MARKED}) v(id, t)",
-    "strip_tag_prefix": "SELECT * FROM (VALUES (1::BIGINT, 'Title'), (2, 'plain [tag:x]'), (3, 'Rest')) t(id, t)",
 }

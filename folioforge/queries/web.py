@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from folioforge.functions import html as hx
-from folioforge.functions.text import lexical_score, trim_ws
-from folioforge.operators import cdc, crawl, retrieval
-from folioforge.queries.tables import table, values
-from folioforge.queries.text import W, _bare
+from folioforge.functions.text import trim_ws
+from folioforge.operators import cdc, retrieval
+from folioforge.queries.tables import table
+from folioforge.queries.text import LEXICAL, W
 
-PATHS = "(1, 'a/b.TXT'), (2, 'x/.git/c.md'), (3, '~$d.docx'), (4, 'e.pdf'), (5, 'f/g.tmp'), (6, 'h'), (7, 'i/j.jpeg'), (8, 'node_modules/k.txt')"
-NAMES = "(1, 'a:b?.txt'), (2, 'a_b_.txt'), (3, '   '), (4, 'A_B_.TXT'), (5, 'ok')"
-HEADS = "(1, '504B030414'), (2, 'D0CF11E0A1'), (3, '25504446'), (4, '')"
-GRAPH = "('r', 'a', 0), ('r', 'b', 1), ('a', 'c', 0), ('a', 'r', 1), ('b', 'c', 0), ('b', 'd', 1), ('c', 'e', 0), ('r', 'f', 2), ('f', 'g', 0)"
 
 
 def _query_vector(spark, d):
@@ -31,15 +27,16 @@ def vector_threshold(spark, d):
 
 
 def l2_normalize(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", retrieval.l2_normalised(F.transform("embedding", lambda x: x * F.lit(3))).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", retrieval.l2_normalised(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
     return e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
 def hybrid_retrieve(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", F.element_at(F.split("text", "\n"), 1).alias("text"))
-    lex = docs.withColumn("score", lexical_score("tion and the", F.col("text"), F.col("source"))).where("score > 10")
-    vec = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
-    return retrieval.hybrid(lex, retrieval.vector_search(vec, _query_vector(spark, d), "embedding", least=0.2), ["doc_id"])
+    """Chunks of all documents by words, and the stored vectors of first paragraphs, in one list by document and place."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    lex = retrieval.lexical(docs, "tion and the", "doc_id", "source", "text")
+    vec = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("position", F.lit("第1段"))
+    return retrieval.hybrid(lex, retrieval.vector_search(vec, _query_vector(spark, d), "embedding", least=0.2), ["doc_id", "position"])
 
 
 def fts_search(spark, d):
@@ -50,20 +47,8 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("bigint").alias("size"))
 
 
-def ext_dispatch(spark, d):
-    return values(spark, PATHS, "id, path").select(F.col("id").cast("bigint").alias("id"), F.coalesce(cdc.parser_of(F.col("path")), F.lit("PARSE_UNSUPPORTED")).alias("parser"))
 
 
-def magic_dispatch(spark, d):
-    return values(spark, HEADS, "id, head").select(F.col("id").cast("bigint").alias("id"), cdc.container_of(F.unhex("head")).alias("kind"))
-
-
-def ignored_paths(spark, d):
-    return values(spark, PATHS, "id, path").select(F.col("id").cast("bigint").alias("id"), cdc.ignored(F.col("path")).alias("ignored"))
-
-
-def safe_rename(spark, d):
-    return cdc.safe_names(values(spark, NAMES, "id, name"), "name", "id").select(F.col("id").cast("bigint").alias("id"), "safe_name")
 
 
 def _snapshots(spark, d):
@@ -88,8 +73,7 @@ def ingest_status(spark, d):
 
 
 def strip_tags(spark, d):
-    t = hx.strip_tags(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1))
-    return table(spark, d, "pages").select("page_id", t.alias("title"))
+    return table(spark, d, "pages").select("page_id", F.sha2(hx.strip_tags(F.col("html")), 256).alias("hash"))
 
 
 def clean_html(spark, d):
@@ -115,13 +99,9 @@ def article_urls(spark, d):
     return pages.where(hx.article_url(F.col("url"))).select("page_id")
 
 
-def url_validate(spark, d):
-    urls = values(spark, "(1, ' HTTP://a.b '), (2, 'ftp://a'), (3, 'https://'), (4, ''), (5, 'http://x')", "id, url")
-    return urls.select(F.col("id").cast("bigint").alias("id"), hx.valid_url(F.col("url")).alias("valid"))
-
 
 def page_size_cap(spark, d):
-    return table(spark, d, "pages").where(F.octet_length("html") <= 5000).select("page_id", F.octet_length("html").cast("bigint").alias("size"))
+    return table(spark, d, "pages").where(F.octet_length("html") <= 5 * 1024 * 1024).select("page_id", F.octet_length("html").cast("bigint").alias("size"))
 
 
 def import_pages(spark, d):
@@ -129,17 +109,9 @@ def import_pages(spark, d):
     return pages.select("page_id", trim_ws(F.col("url")).alias("title"), F.length(hx.clean_html(F.col("html"))).cast("bigint").alias("n_chars"))
 
 
-def crawl_bfs(spark, d):
-    links = values(spark, GRAPH, "src, dst, position")
-    return crawl.discover(links, values(spark, "('r', 0)", "node, rank"), depth=2, pages=6)
-
-
-def web_recall(spark, d):
-    pages = table(spark, d, "pages").withColumn("title", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    return crawl.recall(pages, F.array(F.lit("enthe"), F.lit("chder")), "title", "html").select("page_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, fts_search, content_hash, ext_dispatch, magic_dispatch, ignored_paths, safe_rename, cdc_diff, cdc_moves, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, url_validate, page_size_cap, import_pages, crawl_bfs, web_recall)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, fts_search, content_hash, cdc_diff, cdc_moves, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
 
 _v = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _cos = f"list_cosine_similarity(embedding::DOUBLE[], {_v})"
@@ -161,9 +133,6 @@ def _clean(x: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{W}+|{W}+$', '', 'g')"
 
 
-_q = "tion and the"
-_all = [_q.replace(" ", "")[i : i + 2] for i in range(len(_q.replace(" ", "")) - 1)]
-_hits = " + ".join(f"contains(b, '{g}')::INT" for g in _all)
 _old = "SELECT 'dir/' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0"
 _new = "SELECT CASE WHEN doc_id % 17 = 0 THEN 'new/' ELSE 'dir/' END || doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0"
 _anchor = r"""<a\b[^>]*href\s*=\s*["''']([^"''']+)["'''][^>]*>(.*?)</a>""".replace("'''", "''")
@@ -172,25 +141,18 @@ _terms = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 ORACLES = {
     "vector_topk": f"SELECT vec_id, round({_cos}, 6) AS cosine FROM embeddings WHERE vec_id <> 0 ORDER BY {_cos} DESC, vec_id LIMIT 10",
     "vector_threshold": f"SELECT vec_id, round({_cos}, 6) AS cosine FROM embeddings WHERE {_cos} >= 0.2",
-    "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm, round((embedding[1] * 3)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: (x * 3)::DOUBLE * (x * 3)::DOUBLE))), 6) AS first FROM embeddings",
-    "hybrid_retrieve": f"WITH c AS (SELECT doc_id, source, lower(regexp_replace(string_split(text, chr(10))[1], '^{W}+|{W}+$', '', 'g')) AS t FROM documents), x AS (SELECT *, {_bare('t')} AS b FROM c), l AS (SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE floor(CASE WHEN contains(t, '{_q}') THEN {100 + len(_q)} ELSE 0 END + CASE WHEN contains(t, 'tion') THEN 20 ELSE 0 END + CASE WHEN contains(t, 'and') THEN 20 ELSE 0 END + CASE WHEN contains(t, 'the') THEN 20 ELSE 0 END + CASE WHEN length(b) < 2 THEN 0.0 ELSE 60 * (2.0::DOUBLE * ({_hits}) / ({len(_all)} + length(b) - 1)) END + 0.5)::BIGINT END AS score FROM x), k AS (SELECT doc_id, score FROM l WHERE score > 10) SELECT doc_id, score, 'lexical' AS route FROM k UNION ALL SELECT vec_id, floor({_cos} * 100 + 0.5)::BIGINT, 'vector' FROM embeddings WHERE {_cos} >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) AND vec_id NOT IN (SELECT doc_id FROM k)",
+    "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))), 6) AS first FROM embeddings",
+    "hybrid_retrieve": f"WITH k AS ({LEXICAL}) SELECT doc_id, position, score, 'lexical' AS route FROM k UNION ALL SELECT vec_id, '第1段', floor({_cos} * 100 + 0.5)::BIGINT, 'vector' FROM embeddings WHERE {_cos} >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) AND vec_id NOT IN (SELECT doc_id FROM k WHERE position = '第1段')",
     "fts_search": f"WITH t AS (SELECT doc_id, list_filter({_terms}, lambda x: x <> '') AS l FROM documents), c AS (SELECT doc_id, len(l)::DOUBLE AS n, len(list_filter(l, lambda x: x = 'the'))::DOUBLE AS a, len(list_filter(l, lambda x: x = 'and'))::DOUBLE AS b FROM t), s AS (SELECT count(*) AS docs, avg(n) AS avgn, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c), r AS (SELECT doc_id, ln((docs - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE) + 1) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avgn)) + ln((docs - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE) + 1) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avgn)) AS score FROM c, s WHERE a > 0 AND b > 0) SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 50",
     "content_hash": "SELECT doc_id, sha256(text) AS hash, strlen(text) AS size FROM documents",
-    "ext_dispatch": "SELECT * FROM (VALUES (1::BIGINT, 'text'), (2, 'text'), (3, 'docx'), (4, 'pdf'), (5, 'PARSE_UNSUPPORTED'), (6, 'PARSE_UNSUPPORTED'), (7, 'image'), (8, 'text')) t(id, parser)",
-    "magic_dispatch": f"SELECT id::BIGINT AS id, CASE WHEN left(head, 8) = '504B0304' THEN 'docx' WHEN left(head, 8) = 'D0CF11E0' THEN 'ole' ELSE 'PARSE_UNSUPPORTED' END AS kind FROM (VALUES {HEADS}) t(id, head)",
-    "ignored_paths": "SELECT * FROM (VALUES (1::BIGINT, false), (2, true), (3, true), (4, false), (5, true), (6, false), (7, false), (8, true)) t(id, ignored)",
-    "safe_rename": "SELECT * FROM (VALUES (1::BIGINT, 'a_b_.txt'), (2, 'a_b_ (1).txt'), (3, '未命名'), (4, 'A_B_ (2).TXT'), (5, 'ok')) t(id, safe_name)",
     "cdc_diff": f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM ({_old}) o FULL JOIN ({_new}) n ON o.path = n.path",
     "cdc_moves": f"WITH g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_old}) WHERE path NOT IN (SELECT path FROM ({_new}))), c AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_new}) WHERE path NOT IN (SELECT path FROM ({_old}))) SELECT g.h AS hash, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.h = c.h AND g.n = c.n",
     "ingest_status": "SELECT source, count_if(length(text) >= 40)::BIGINT AS ok, count_if(length(text) < 40)::BIGINT AS failed FROM documents GROUP BY source",
-    "strip_tags": f"SELECT page_id, {_strip('h')} AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages)",
+    "strip_tags": f"SELECT page_id, sha256({_strip('html')}) AS hash FROM pages",
     "clean_html": f"SELECT page_id, sha256({_clean('html')}) AS hash FROM pages",
     "crawl_links": f"WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is){_anchor}', 1) AS h, regexp_extract_all(html, '(?is){_anchor}', 2) AS x FROM pages), e AS (SELECT page_id, generate_subscripts(h, 1) - 1 AS position, trim(unnest(h)) AS href, unnest(x) AS x FROM a) SELECT page_id, position, href, {_strip('x')} AS link_text FROM e WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')",
     "url_dedupe": "SELECT regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '/+$', '') AS key, count(*) AS n FROM pages GROUP BY 1",
     "article_urls": "SELECT page_id FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.htm?page=2' WHEN 1 THEN '.xml' ELSE '.ASPX' END AS url FROM pages) WHERE regexp_matches(regexp_extract(url, '^[^?#]*'), '(?i)\\.(htm|html|shtml|aspx?)\\b')",
-    "url_validate": "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false), (4, false), (5, true)) t(id, valid)",
-    "page_size_cap": "SELECT page_id, strlen(html) AS size FROM pages WHERE strlen(html) <= 5000",
+    "page_size_cap": "SELECT page_id, strlen(html) AS size FROM pages WHERE strlen(html) <= 5242880",
     "import_pages": f"SELECT page_id, url AS title, length({_clean('html')}) AS n_chars FROM pages WHERE regexp_matches(url, '(?i)^https?://.+')",
-    "crawl_bfs": "SELECT * FROM (VALUES ('r', 0::BIGINT, 1::BIGINT), ('a', 1, 2), ('b', 1, 3), ('f', 1, 4), ('c', 2, 5), ('d', 2, 6)) t(node, depth, visited)",
-    "web_recall": f"SELECT page_id FROM (SELECT page_id, html, {_bare('t')} AS b FROM (SELECT page_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)) WHERE b <> '' AND ({' OR '.join(f'contains(b, {chr(39)}{g}{chr(39)})' for g in ('en', 'nt', 'th', 'he', 'ch', 'hd', 'de', 'er'))}) AND (contains({_bare(f'left({_clean('html')}, 12000)')}, 'enthe') OR contains({_bare(f'left({_clean('html')}, 12000)')}, 'chder'))",
 }

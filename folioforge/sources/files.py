@@ -35,9 +35,12 @@ def parse_xlsx(data: bytes) -> str:
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{m}si")]
     out = []
+    r = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    target = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in book.namelist() else {}
     for i, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{m}sheet"), 1):
         out.append(f"【工作表：{sheet.get('name')}】")
-        for c in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{m}c"):
+        place = target.get(sheet.get(r), f"worksheets/sheet{i}.xml")  # a book without relationships has its sheets in order
+        for c in ElementTree.fromstring(book.read(place.lstrip("/") if place.startswith("/") else f"xl/{place}")).iter(f"{m}c"):
             value = c.find(f"{m}v")
             text = "".join(t.text or "" for t in c.iter(f"{m}t")) if value is None else value.text or ""
             if c.get("t") == "s" and text:

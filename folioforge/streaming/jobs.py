@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioforge.operators import cdc, library
+from folioforge.plans.lineage import cut_lineage
 
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -20,19 +21,28 @@ def watch_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(~cdc.ignored(F.col("path"))).select("path", F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
 
 
-def merge_batches(changes: DataFrame, table: str, key: str, order: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None):
-    """Each micro-batch of changes, the last of a key, is merged into the Parquet table; a repeated batch gives the same table."""
+def merge_batches(changes: DataFrame, table: str, key: str, order: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, deleted: str | None = None, content: str | None = None):
+    """Each micro-batch of changes, the last of a key, is merged into the Parquet table; a repeated batch gives the same table.
+
+    With ``deleted``, a flag, what exists is merged first and what is gone is removed then. With ``content``, a hash, a new key whose
+    content another key of the table has already isn't added. ``then`` gets the rows that were merged, each key once: what to index.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = library.latest_per_key(batch, key, F.desc(order))
-        try:
-            base = spark.read.parquet(table)
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            base = last.limit(0)
-        library.save_next(library.upsert(base, last, [key]), table)
+        gone = last.where(F.col(deleted)) if deleted else last.limit(0)
+        live = last.where(~F.col(deleted)).drop(deleted) if deleted else last
+        base = spark.read.parquet(table) if library.recover(spark, table) else live.limit(0)
+        base = library.delete_keys(base, gone, key)
+        if content:
+            known = live.join(base.select(key), key, "left_semi")
+            fresh = library.latest_per_key(live.join(base.select(key), key, "left_anti"), content, F.asc(key))
+            live = known.unionByName(fresh.join(base.select(content), content, "left_anti").select(*live.columns))
+        live = cut_lineage(live)  # it may come from the files that the swap replaces
+        library.save_next(library.upsert(base, live, [key]), table)
         if then:
-            then(last)
+            then(live)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,7 +6,7 @@ import zipfile
 
 from folioforge.functions import html as hx
 from folioforge.functions import text as tx
-from folioforge.operators import cdc, cluster, library, retrieval, telemetry
+from folioforge.operators import cdc, cluster, library, provenance, retrieval, telemetry
 from folioforge.operators.components import connected_components
 from folioforge.sources import files
 from folioforge.streaming import jobs
@@ -101,8 +101,130 @@ def test_model_calls_retry_and_keep_errors(spark):
             raise ValueError("no")
         return "ok" if temperature >= 0.3 else ""
 
-    rows = telemetry.call_model(spark.createDataFrame([(1, "a"), (2, "bad")], "id int, p string"), "id", "p", client).collect()
-    assert [(r.reply, r.attempts, r.error) for r in sorted(rows)] == [("ok", 2, None), (None, 3, "no")]
+    rows = telemetry.call_model(spark.createDataFrame([(1, "a"), (2, "bad")], "id int, p string"), "id", "p", client, sleep=lambda s: None).collect()
+    assert [(r.reply, r.attempts, r.error, r.input_chars, r.output_chars, r.status) for r in sorted(rows)] == [("ok", 2, None, 1, 2, "ok"), (None, 3, "no", 3, 0, "error")]
+
+
+def test_waits_between_failed_calls(spark, tmp_path):
+    log = str(tmp_path / "waits")
+
+    def client(prompt, temperature):
+        raise ValueError("no")
+
+    def sleep(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds}\n")
+
+    telemetry.call_model(spark.createDataFrame([(1, "a")], "id int, p string"), "id", "p", client, (0, 0, 0, 0, 0), sleep=sleep).collect()
+    assert open(log).read().split() == ["0.8", "2.0", "4.0", "4.0"]
+
+
+def test_interrupted_swaps_are_recovered(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), lambda: sorted(r.id for r in spark.read.parquet(path).collect())
+    assert not library.recover(spark, path)
+    library.save_next(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t._old")  # a crash between both renames
+    spark.range(9).write.parquet(path + "._next")
+    assert library.recover(spark, path) and rows() == [0, 1, 2]
+    library.save_next(spark.range(5), path)
+    assert rows() == [0, 1, 2, 3, 4] and not (tmp_path / "t._old").exists() and not (tmp_path / "t._next").exists()
+
+
+def test_merge_with_deletes_and_known_content(spark, tmp_path):
+    src, table, cp = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    schema, seen = "path string, hash string, n int, gone boolean", []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(src)
+    for batch in (
+        [("a", "h1", 1, False), ("b", "h2", 1, False), ("c", "h2", 1, False)],
+        [("a", "h9", 2, False), ("b", "h2", 2, True), ("d", "h9", 2, False), ("e", "h5", 2, False), ("e", "h6", 3, False)],
+    ):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.merge_batches(stream, table, "path", "n", cp, lambda d: seen.append(sorted(r.path for r in d.collect())), "gone", "hash").awaitTermination(120)
+    assert {r.path: r.hash for r in spark.read.parquet(table).collect()} == {"a": "h9", "d": "h9", "e": "h6"}
+    assert seen == [["a", "b"], ["a", "d", "e"]]
+
+
+def test_bursts_are_one_row(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("a", "2024-01-01 00:00:00.0"), ("a", "2024-01-01 00:00:00.3"), ("a", "2024-01-01 00:00:02"), ("b", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "path string, at string").selectExpr("path", "to_timestamp(at) AS at").coalesce(1).write.parquet(src)
+    bursts = jobs.debounced(spark.readStream.schema("path string, at timestamp").parquet(src), "path", "at")
+    bursts.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.path, r.n) for r in spark.sql("SELECT * FROM bursts").collect())[:3] == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_full_text_without_a_word(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "one"), (3, None)], "id int, text string")
+    assert retrieval.full_text(docs, "  ", "id", "text").count() == 0
+    assert [r.id for r in retrieval.full_text(docs, "two ONE", "id", "text").collect()] == [1]
+
+
+def test_later_stages_of_a_trace(spark):
+    docs = spark.createDataFrame([(1, "t", "alpha beta 1."), (2, "t", "gamma delta 2.")], "id int, title string, text string")
+    context = spark.createDataFrame([(2, 1, "gamma delta")], "id int, position int, chunk string")
+    stages = lambda sel, **k: [tuple(r) for r in provenance.trace(docs, context, sel, "id", "title", "text", **k).collect()]
+    assert stages("beta 1") == [(1, "exact")] and stages("ga mm") == [(2, "context")]
+    assert stages("beta alph") == [(2, "context")] or stages("beta alph") == [(1, "retrieval")]
+    assert stages("zz") == [] and stages("zz", client=lambda s: [7]) == [(7, "model")]
+
+
+def test_references_and_text(spark):
+    valid = F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))
+    cut = lambda t: [(x.ref, x.text) for x in one(spark, provenance.split_refs(F.lit(t), valid))]
+    assert cut("来源 #1 与 #2。") == [(None, "来源 "), (1, "#1"), (None, " 与 "), (2, "#2"), (None, "。")]
+    assert cut("【矛盾#3】#99999999999999999999") == [(None, "【矛盾#3】#99999999999999999999")] and cut("") == []
+
+
+def test_edits_are_all_or_nothing(spark):
+    edits = lambda *e: F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(b).alias("replacement")) for a, b in e])
+    assert one(spark, tx.apply_edits(F.lit("a b a"), edits(("a", "X"), ("b a", "Y")))) == "X Y"
+    assert one(spark, tx.apply_edits(F.lit("a b a"), edits(("a", "X"), ("zz", "Y")))) is None
+
+
+def test_fuzzy_names_tags_and_content(spark):
+    hit = lambda name, tags, content: one(spark, tx.fuzzy_match(F.lit(name), "A.c", F.array(*map(F.lit, tags)) if tags else F.array().cast("array<string>"), F.lit(content)))
+    assert hit("xa.cx", [], "") and hit("xaz.zzC", [], "") and hit("x", ["n", "a.bc"], "") and hit("x", [], "Xa.C")
+    assert not hit("x", ["abc"], "a. c")
+
+
+def test_sheets_by_relationship(tmp_path):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    path = tmp_path / "b.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="First" r:id="r9"/><sheet name="Second" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r9" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for i, v in ((1, "one"), (2, "two")):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="B3" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>')
+    assert files.parse_xlsx(path.read_bytes()) == "【工作表：First】\n第3行第2列：two\n【工作表：Second】\n第3行第2列：one"
+
+
+def test_floats_from_bytes(spark):
+    import struct
+
+    values = [0.0, -0.0, 1.5, -3.25e-20, 3.4028234663852886e38, 1e-45, 1.17549435e-38, float("inf"), float("-inf"), 0.1]
+    data = struct.pack(f"<{len(values)}f", *values)
+    got = one(spark, retrieval.float_vector(F.lit(bytearray(data))))
+    assert struct.pack(f"<{len(values)}f", *got).replace(b"\x00\x00\x00\x80", bytes(4)) == data.replace(b"\x00\x00\x00\x80", bytes(4))
+    assert one(spark, retrieval.float_vector(F.lit(bytearray()))) == [] and one(spark, retrieval.float_vector(F.lit(bytearray(b"abc")))) is None
+    back = one(spark, retrieval.float_bytes(F.array(*[F.lit(v).cast("float") for v in values])))
+    assert bytes(back).replace(b"\x00\x00\x00\x80", bytes(4)) == data.replace(b"\x00\x00\x00\x80", bytes(4))
+
+
+def test_equal_sets_are_one_class(spark):
+    grams = spark.createDataFrame([(i, g) for i in range(50) for g in ("ab", "bc")] + [(90, "ab"), (90, "bc"), (90, "cd"), (91, "zz")], "id int, gram string")
+    edges = cluster.class_edges(grams, "id", 0.7).collect()
+    assert len(edges) == 50 and {(r.a, r.b) for r in edges} == {(0, i) for i in [*range(1, 50), 90]}
+    found = cluster.topic_clusters(grams, spark.createDataFrame(edges), "id").collect()
+    assert {r.id: r.cluster for r in found} == {**{i: 0 for i in range(50)}, 90: 0, 91: 91}
+
+
+def test_windows_stream_in_order(spark):
+    rows = spark.createDataFrame([(1, i, 200) for i in range(3)] + [(2, 0, 900), (2, 1, 1), (3, 0, None)], "k int, i int, n int")
+    found = {(r.k, r.i): r.window for r in cluster.greedy_windows(rows, "k", ["i"], "n", 500).collect()}
+    assert found == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (2, 0): 1, (2, 1): 2, (3, 0): 1}
+    big = spark.range(200_000).selectExpr("1 AS k", "id AS i", "1 AS n")
+    assert cluster.greedy_windows(big, "k", ["i"], "n", 10).agg(F.max("window")).first()[0] == 20_000
 
 
 def test_json_field_in_pieces():
