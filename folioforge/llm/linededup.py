@@ -318,16 +318,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     removed = removed.groupBy("row1", "row2").agg(F.collect_set("pos").alias("removed"))
     nth = F.row_number().over(Window.partitionBy("row1", "row2").orderBy("every"))
     found = own.withColumn("every", F.xxhash64("row.*")).withColumn("nth", nth).join(removed, ["row1", "row2"], "left")
-    found = pinned(found.select("row", "nth", "removed"), lines=F.split(body, "\n", -1))
+    cut = F.col("removed").isNotNull() | (F.col("nth") > 1)  # other texts stay as they are, and are never split
+    found = pinned(found.select("row", "nth", "removed"), lines=F.when(cut, F.split(body, "\n", -1)))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")  # by hash, in order: linear
-    left = F.transform(places, lambda i: F.get("lines", i))
-    left = F.when(F.col("nth") > 1, F.filter("lines", lambda x: ~x.rlike(HAS_WORD))).when(F.col("removed").isNull(), F.col("lines")).otherwise(left)
-    found = found.withColumn("left", left)
-    none = F.col("lines").isNull()
+    left = F.when(F.col("nth") > 1, F.filter("lines", lambda x: ~x.rlike(HAS_WORD))).otherwise(F.transform(places, lambda i: F.get("lines", i)))
+    found = found.withColumn("left", F.when(F.col("lines").isNotNull(), left))
     new = {
-        "n_lines": F.when(none, 0).otherwise(F.size("lines")).cast("bigint"),
-        "n_removed": F.when(none, 0).otherwise(F.size("lines") - F.size("left")).cast("bigint"),
-        text: F.array_join("left", "\n"),
+        "n_lines": F.coalesce(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint"),
+        "n_removed": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("left")).cast("bigint"),
+        text: F.when(F.col("lines").isNull(), body).otherwise(F.array_join("left", "\n")),
     }
     kept_columns = [(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return found.select(*kept_columns, *[v.alias(c) for c, v in new.items() if c not in docs.columns])
