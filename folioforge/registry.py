@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.queries import analysis, cases, library, text, web
+from folioforge.queries import analysis, cases, library, review, text, web
 
-MODULES = (library, text, web, analysis, cases)
+MODULES = (library, text, web, analysis, cases, review)
 
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioforge.operators import cdc, library
@@ -47,6 +48,40 @@ def merge_batches(changes: DataFrame, table: str, key: str, order: str, checkpoi
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reconcile(snapshot: DataFrame, table: str, path: str = "path", content: str = "hash") -> DataFrame:
+    """Bring a Parquet table in step with a whole snapshot of its folder, and return what was done, ``(change, n)``. It is what a stream of
+    changes falls back to: paths that are gone leave the table, changed and new ones are replaced, the others keep their rows."""
+    spark = snapshot.sparkSession
+    base = spark.read.parquet(table) if library.recover(spark, table) else snapshot.limit(0)
+    changes = cut_lineage(cdc.diff(base, snapshot, path, content))
+    name = cdc.norm_path(F.col(path))
+    of = lambda df, *kinds: df.join(changes.where(F.col("change").isin(*kinds)).select(F.col("path").alias("_p")), name == F.col("_p"), "left_semi")
+    after = of(base, "same").unionByName(of(snapshot, "added", "changed").select(*[c for c in snapshot.columns if c in base.columns]), allowMissingColumns=True)
+    library.save_next(after, table)
+    return changes.groupBy("change").agg(F.count("*").alias("n"))
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``say(query, batch, rows, millis)`` after every micro-batch; an error ends as ``say(query, -1, 0, 0)``."""
+
+    def __init__(self, say: Callable[[str, int, int, int], None]):
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.say(p.name or str(p.id), p.batchId, p.numInputRows, p.batchDuration)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.say(str(event.id), -1, 0, 0)
+
+
 def debounced(changes: DataFrame, path: str, time: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """One row for each burst of changes of a path: a session that ends when nothing comes for ``gap``."""
     return changes.withWatermark(time, late).groupBy(path, F.session_window(time, gap).alias("burst")).agg(F.count("*").alias("n"), F.max(time).alias("last"))

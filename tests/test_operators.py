@@ -1,6 +1,7 @@
 """Golden cases and edge cases of the library's operators."""
 
 import json
+import time
 import random
 import zipfile
 
@@ -264,3 +265,29 @@ def test_files_scan_parse_and_watch(spark, tmp_path):
     table = str(tmp_path / "table")
     jobs.merge_batches(jobs.watch_files(spark, str(d)), table, "path", "mtime", str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(table).count() == 4
+
+
+def test_reconcile_with_a_whole_snapshot(spark, tmp_path):
+    at, schema = str(tmp_path / "table"), "path string, hash string, n int"
+    do = lambda rows: {r.change: r.n for r in jobs.reconcile(spark.createDataFrame(rows, schema), at).collect()}
+    assert do([("A\\b.txt", "1", 1), ("c", "2", 1)]) == {"added": 2}
+    assert do([("a/b.txt", "1", 2), ("c", "3", 2), ("d", "4", 2)]) == {"same": 1, "changed": 1, "added": 1}
+    assert {(r.path, r.hash, r.n) for r in spark.read.parquet(at).collect()} == {("A\\b.txt", "1", 1), ("c", "3", 2), ("d", "4", 2)}
+    assert do([]) == {"removed": 3} and spark.read.parquet(at).count() == 0
+
+
+def test_progress_is_told(spark, tmp_path):
+    src, told = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(src)
+    listener = jobs.Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    try:
+        q = spark.readStream.schema("id bigint").parquet(src).writeStream.format("noop").queryName("told").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        for _ in range(100):
+            if told:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0][:3] == ("told", 0, 3)
