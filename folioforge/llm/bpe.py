@@ -71,6 +71,7 @@ class ByteBpe:
         char = byte_table()
         shown = lambda token: "".join(char[b] for b in token)
         merges = [tuple(map(shown, _last_merge(t, r, ranks))) for t, r in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
+        # no cache of words, so that a worker's memory doesn't depend on what it has read
         self._tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self._tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -160,7 +161,11 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", id
 
 
 def digest(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_tokens, ids_sha256, decoded_sha256)`` of every text: it is encoded, and its ids are decoded again."""
+    """``(key, n_tokens, ids_sha256, decoded_sha256)`` of every text: it is encoded, and its ids are decoded again. A null
+    text is empty. Keys, null and repeated ones too, come back as they are, a row for each row; other columns are left out, and a key named
+    like a result is an error."""
+    if key in ("n_tokens", "ids_sha256", "decoded_sha256"):
+        raise ValueError(f"the key column {key} is named like a result")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):

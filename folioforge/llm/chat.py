@@ -176,9 +176,13 @@ def format_windows(
     return made.withColumnRenamed("conv", conv)
 
 
-def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
+def read_back(windows: DataFrame, conv: str = "conv_id", ordered: bool = False) -> DataFrame:
     """``(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows)`` of the windows of
-    :func:`format_windows`, from nothing but what they hold: repeated turns are passed over, texts are unescaped."""
+    :func:`format_windows`, from nothing but what they hold: repeated turns are passed over, texts are unescaped. The windows of a
+    conversation are read in order: they are brought together and sorted, unless they come ``ordered``, straight from
+    :func:`format_windows`, which leaves them so. A window that doesn't follow the one before it is an error, never a wrong digest."""
+    if not ordered:
+        windows = windows.repartition(conv).sortWithinPartitions(conv, "window")
     kind = windows.schema[conv].dataType.simpleString()
     names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")
 
@@ -199,6 +203,8 @@ def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
                     if state:
                         out.append(row())
                     own, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                elif state is None or c != own or w != state[5]:
+                    raise ValueError(f"window {w} of conversation {c} is out of order")
                 for r, t, _, _ in read_turns(text)[skip:]:
                     state[0] += 1
                     state[1].update(f"{r}\n{t}\n".encode())
@@ -224,7 +230,7 @@ def op1_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
     trick = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says)
-    return read_back(format_windows(rows.union(trick)))
+    return read_back(format_windows(rows.union(trick)), ordered=True)
 
 
 QUERIES = {"op1_chat": op1_chat}

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import tiktoken
+import pytest
 from edge import documents
 from folioforge.llm import bpe
 
@@ -39,6 +40,8 @@ def test_round_trip_offsets_and_edges(spark):
     assert [back[i].text for i in range(len(odd))] == odd and back[99].raw == b""
     assert bpe.digest(df.limit(0), PATH, PATTERN).count() == 0
     assert bpe.digest(documents(spark), PATH, PATTERN).count() == 12
+    with pytest.raises(ValueError):
+        bpe.digest(documents(spark).withColumnRenamed("doc_id", "n_tokens"), PATH, PATTERN, key="n_tokens")
 
 
 def test_pieces_put_together():

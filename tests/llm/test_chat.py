@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from edge import documents
 from folioforge.llm import chat
 
@@ -67,3 +68,13 @@ def test_edges(spark):
     assert rows[None].n_turns == 1 and rows[1].n_turns == 3
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
     assert documents(spark).count() == 12
+
+
+def test_windows_in_any_order(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"word {t} " * 30) for c in range(5) for t in range(20)]
+    made = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=100, history=20)
+    windows = made.collect()
+    shuffled = spark.createDataFrame(sorted(windows, key=lambda w: (-w.window, w.conv_id)), made.schema)
+    assert got(chat.read_back(shuffled).collect()) == expected(rows)
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(shuffled.coalesce(1), ordered=True).collect()
