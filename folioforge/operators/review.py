@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioforge.functions import text as tx
 from folioforge.operators import library
-from folioforge.operators.telemetry import call_model, json_candidate
+from folioforge.operators.telemetry import BACKOFF_MS, call_model, json_candidate
 from folioforge.plans.lineage import cut_lineage
 
 Client = Callable[[str, float], str]
@@ -75,13 +75,13 @@ def skill_catalog(skills: DataFrame, order: str) -> DataFrame:
     return listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("catalog"))
 
 
-def suggest_skills(tasks: DataFrame, skills: DataFrame, key: str, need: str, client: Client, order: str = "id") -> DataFrame:
+def suggest_skills(tasks: DataFrame, skills: DataFrame, key: str, need: str, client: Client, order: str = "id", waits: tuple[int, ...] = BACKOFF_MS) -> DataFrame:
     """``(key, ids, error)``: of each task's need the rules that a model picks, those that exist, each once in the model's order; none and
     ``INVALID_PARAM`` for an empty need, ``LLM_FORMAT_INVALID`` for a reply that isn't a list, else the client's error."""
     asked = tasks.select(key, tx.trim_ws(F.coalesce(F.col(need), F.lit(""))).alias("_need"))
     prompts = asked.where("_need <> ''").crossJoin(F.broadcast(skill_catalog(skills, order)))  # one row
     prompt = F.concat(F.lit("【规范目录】\n"), "catalog", F.lit("\n\n【撰写需求】\n"), "_need")
-    called = cut_lineage(call_model(prompts.select(key, prompt.alias("_prompt")), key, "_prompt", client, (0.0, 0.0)))
+    called = cut_lineage(call_model(prompts.select(key, prompt.alias("_prompt")), key, "_prompt", client, (0.0, 0.0), waits))
     picked = called.select(key, "error", _listed(F.col("reply"), "skillIds", "array<string>", bare=True).alias("_ids"))
     valid = library.valid_ids(picked.where("_ids IS NOT NULL").select(key, F.col("_ids").alias("ids")), skills.select("id"), key, "ids", "id")
     error = F.when(F.col("_need") == "", "INVALID_PARAM").when(F.col("error").isNotNull(), F.col("error")).when(F.col("_ids").isNull(), "LLM_FORMAT_INVALID")

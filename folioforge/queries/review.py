@@ -63,7 +63,7 @@ def suggest_skills(spark, d):
 
     need = F.when(F.col("doc_id") % 9 == 0, " \u3000 ").otherwise(F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.col("doc_id").cast("string")))
     skills = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.array("n_name").alias("tags"), F.repeat("n_name", F.lit(40)).alias("content"))
-    found = review.suggest_skills(table(spark, d, "documents").select("doc_id", need.alias("need")), skills, "doc_id", "need", client)
+    found = review.suggest_skills(table(spark, d, "documents").select("doc_id", need.alias("need")), skills, "doc_id", "need", client, waits=(0,))
     return found.select("doc_id", F.array_join("ids", ",").alias("ids"), "error")
 
 
