@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash
+from folioforge.llm import alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash
 
-MODULES = (bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash)
+MODULES = (alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash)
 
 
 def queries() -> dict:
