@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioforge.llm import alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash, vector_codes
+from folioforge.llm import alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, sharding, simhash, vector_codes
 
-MODULES = (alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, simhash, vector_codes)
+MODULES = (alignment, bpe, chat, langid, linededup, mixing, multiindex, pii, quality_ranker, quality_rules, sharding, simhash, vector_codes)
 
 
 def queries() -> dict:

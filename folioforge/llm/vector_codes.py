@@ -25,7 +25,7 @@ from folioforge.plans.sizes import broadcast_if_small
 STEPS, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 
 #: Vectors searched at once; dimensions between two sievings of a search.
-ROWS, STRIDE = 2_048, 2
+ROWS, STRIDE = 2_048, 4
 
 RESULTS = ("code", "error", "label_error", "codebooks_sha256")
 
