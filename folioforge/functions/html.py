@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
-from folioforge.functions.text import trim_ws
+from folioforge.functions.text import pinned, trim_ws
+from folioforge.functions.url import link_target
 
+#: What goes from a page, and entities in the order in which they are decoded.
 BLOCKS = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 
@@ -18,12 +18,27 @@ def _bare(html: Column) -> Column:
     return html
 
 
+def _unit(digits: Column) -> Column:
+    """The 16-bit unit of a decimal number, as four hex digits: its value as a double, modulo 65536; 0 for one beyond doubles."""
+    value = digits.try_cast("double")
+    return F.lpad(F.hex(F.when(value < float("inf"), F.pmod(value, F.lit(65536.0))).otherwise(0.0).cast("bigint")), 4, "0")
+
+
+def _units(run: Column) -> Column:
+    """The text of neighbouring ``&#n;``: units of UTF-16, in which two halves that follow each other make one character; a half alone is
+    U+FFFD."""
+    units = F.array_join(F.transform(F.regexp_extract_all(run, F.lit("&#([0-9]+);"), F.lit(1)), _unit), " ")
+    whole = F.regexp_replace(units, r"\bD[89AB]..(?! D[C-F])", "FFFD")
+    whole = F.regexp_replace(whole, r"(?<!\bD[89AB].. )\bD[C-F]..", "FFFD")
+    return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
+
+
 def _numeric(text: Column) -> Column:
     """``&#n;`` as its character; the text between is left alone."""
-    gaps, codes = F.split(text, "&#[0-9]+;", -1), F.regexp_extract_all(text, F.lit("&#([0-9]+);"), F.lit(1))
-    chars = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint") % 65536), 4, "0")), "UTF-16BE"))
-    joined = F.array_join(F.transform(F.arrays_zip(gaps, chars), lambda x: F.concat(x["0"], F.coalesce(x["1"], F.lit("")))), "")
-    return F.when(text.rlike("&#[0-9]+;"), joined).otherwise(text)
+    some = "(?:&#[0-9]+;)+"
+    gaps, runs = F.split(text, some, -1), F.regexp_extract_all(text, F.lit(some), F.lit(0))
+    joined = F.array_join(F.transform(F.arrays_zip(gaps, F.transform(runs, _units)), lambda x: F.concat(x["0"], F.coalesce(x["1"], F.lit("")))), "")
+    return F.when(text.rlike(some), joined).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
@@ -43,21 +58,7 @@ def clean_html(html: Column) -> Column:
     return trim_ws(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
-@F.pandas_udf(StringType())
-def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
-    """A link against its page's URL, without dot segments; null if it can't be one."""
-    from urllib.parse import urljoin, urlsplit
-
-    def one(h, b):
-        try:
-            url = urljoin(b, h)
-            return url if urlsplit(url).scheme in ("http", "https") else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(h, b) for h, b in zip(href, base)], dtype=object)
-
-
+#: Fixed value: a link with its text.
 ANCHOR = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
 
 
@@ -71,8 +72,8 @@ def raw_links(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """``(key, position, href, link_text)`` with absolute http(s) links."""
-    found = raw_links(pages.select(key, url, html), key, html).withColumn("href", resolve_url("href", url))
+    """``(key, position, href, link_text)`` with absolute http(s) links in normal form; what can't be one goes."""
+    found = pinned(raw_links(pages.select(key, url, html), key, html).withColumnRenamed("href", "_href"), href=link_target(F.col("_href"), F.col(url)))
     return found.where("href IS NOT NULL").select(key, "position", "href", "link_text")
 
 

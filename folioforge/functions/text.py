@@ -211,27 +211,6 @@ def markdown_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(kept).alias("_i", "s")).select(key, F.col("_i").cast("bigint").alias("ordering"), "s.heading", "s.content")
 
 
-def markdown_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, ordering, heading, content)``: a line of one to six ``#`` opens a segment; three or more line feeds become two; what has
-    neither heading nor content goes. Lines of a document are folded in order, without a shuffle."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    kind = "struct<heading:string,lines:array<string>>"
-    head = lambda line: F.regexp_extract(line, "^(#{1,6})\\s*(.+)", 2)
-    start = F.struct(F.struct(F.lit(None).cast("string").alias("heading"), none().alias("lines")).cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("done"))
-
-    def add(acc, line):
-        opens = line.rlike("^#{1,6}\\s*.+")
-        fresh = F.struct(trim_ws(head(line)).alias("heading"), none().alias("lines")).cast(kind)
-        more = F.struct(acc["open"]["heading"].alias("heading"), F.concat(acc["open"]["lines"], F.array(line)).alias("lines")).cast(kind)
-        return F.struct(F.when(opens, fresh).otherwise(more).alias("open"), F.when(opens, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"))
-
-    parts = F.aggregate(lines, start, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    content = lambda s: trim_ws(F.regexp_replace(F.array_join(s["lines"], "\n"), "\n{3,}", "\n\n"))
-    whole = F.transform(parts, lambda s: F.struct(F.nullif(s["heading"], F.lit("")).alias("heading"), content(s).alias("content")))
-    kept = F.filter(whole, lambda s: (s["content"] != "") | s["heading"].isNotNull())
-    return docs.select(key, F.posexplode(kept).alias("_i", "s")).select(key, F.col("_i").cast("bigint").alias("ordering"), "s.heading", "s.content")
-
-
 def render_segment(heading: Column, content: Column) -> Column:
     return F.when(heading.isNull(), content).otherwise(F.concat(F.lit("## "), heading, F.lit("\n\n"), content))
 
@@ -257,8 +236,8 @@ def marker(seq: Column) -> Column:
 
 
 def marker_numbers(text: Column) -> Column:
-    """Numbers over 0 of the contradiction markers, in order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("【矛盾#([0-9]+)】"), F.lit(1)), lambda x: x.cast("bigint"))
+    """Numbers over 0 of the contradiction markers, in order; one too long for 64 bits is none."""
+    found = F.transform(F.regexp_extract_all(text, F.lit("【矛盾#([0-9]+)】"), F.lit(1)), lambda x: x.try_cast("bigint"))
     return F.filter(found, lambda n: n > 0)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.functions import html as hx
 from folioforge.functions import text as tx
+from folioforge.functions import url as ux
 from folioforge.operators import library
 from folioforge.plans.lineage import cut_lineage
 
@@ -17,12 +18,11 @@ def discover(pages: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int =
     """Breadth-first over the sites of ``roots`` (url), in ``pages`` (url, html) that were fetched already.
 
     Returns the pages read, ``(root, url, depth, visited)``, and the articles found, ``(root, key, url, title)``. Only links to the root's
-    own host count. Links to articles are collected, each once by its key, the first one found; other links are followed, in the order
+    own host and port count; a link that is no URL counts nowhere. Of pages with one URL the smallest text stands. Links to articles are collected, each once by its key, the first one found; other links are followed, in the order
     of a queue, down to ``depth``. At most ``most`` pages that could be read count for a site. All sites go one level in a step; a site's
     queue is bounded by the links of ``most`` pages.
     """
-    host = lambda u: F.parse_url(u, F.lit("HOST"))
-    by_url = pages.groupBy("url").agg(F.first("html").alias("html"))
+    by_url = pages.groupBy("url").agg(F.min("html").alias("html"))
     queue = roots.select(F.col("url").alias("root"), "url", F.array(F.lit(0).cast("bigint")).alias("place")).distinct()
     seen, articles = None, None
     for at in range(depth + 1):
@@ -35,7 +35,7 @@ def discover(pages: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int =
         level = cut_lineage(ready.withColumn("visited", nth.cast("bigint")).where(F.col("visited") <= most).select("root", "url", F.lit(at).cast("bigint").alias("depth"), "visited"))
         seen = level if seen is None else cut_lineage(seen.unionByName(level))
         links = hx.extract_links(level.join(by_url, "url").withColumn("_from", F.struct("root", "visited")), "_from", "url", "html")
-        links = links.select("_from.root", F.col("href").alias("url"), "link_text", F.array(F.col("_from.visited"), "position").alias("place")).where(host(F.col("url")) == host(F.col("root")))
+        links = links.select("_from.root", F.col("href").alias("url"), "link_text", F.array(F.col("_from.visited"), "position").alias("place")).where(ux.host(F.col("url")) == ux.host(ux.normal(F.col("root"))))
         links = cut_lineage(links)
         found = links.where(hx.article_url(F.col("url"))).select("root", hx.url_key(F.col("url")).alias("key"), "place", "url", F.coalesce(F.nullif("link_text", F.lit("")), "url").alias("title"))
         articles = found if articles is None else articles.unionByName(found)

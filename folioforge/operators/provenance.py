@@ -27,8 +27,8 @@ def exact_matches(sources: DataFrame, selection: str, key: str, text: str) -> Da
 
 def ref_tokens(text: Column, valid: Column) -> Column:
     """Numbers of the ``#N`` references in a text that are valid, in order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("#([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint"))
-    return F.filter(found, lambda n: F.array_contains(valid, n))
+    found = F.transform(F.regexp_extract_all(text, F.lit("#([0-9]+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
+    return F.filter(found, lambda n: F.coalesce(F.array_contains(valid, n), F.lit(False)))
 
 
 def split_refs(text: Column, valid: Column) -> Column:

@@ -31,16 +31,18 @@ def _listed(reply: Column, name: str, kind: str, bare: bool = False) -> Column:
 
 def ladder(prompts: DataFrame, key: str, prompt: str, client: Client, parse: Callable[[Column], Column], settled: Callable[[Column], Column], temperatures: tuple[float, ...] = TEMPERATURES, at_once: int = AT_ONCE) -> DataFrame:
     """``(key, parsed)``: what a model's reply says. What a reply doesn't settle is asked again at the next temperature; at the last one any
-    reply that parses counts, and null is left where none does. ``at_once`` bounds the calls that run together. Each attempt's replies are
+    reply that parses counts, and null is left where none does. ``at_once`` bounds the calls that run together
+    to what one provider takes; raise it where a cluster may call more. Null and repeated keys are prompts like others. Each attempt's replies are
     kept by a checkpoint, so that a lost executor doesn't ask for all of them again."""
-    left, found = prompts.select(key, prompt), None
+    rows = cut_lineage(prompts.select(key, prompt, F.monotonically_increasing_id().alias("_id")))  # keys may be null or repeat
+    left, found = rows, None
     for i, t in enumerate(temperatures):
-        called = call_model(left.repartition(at_once), key, prompt, client, (t,))
-        replies = cut_lineage(called.select(key, F.when(F.col("error").isNull(), parse(F.col("reply"))).alias("parsed")))
+        called = call_model(left.repartition(at_once), "_id", prompt, client, (t,))
+        replies = cut_lineage(called.select("_id", F.when(F.col("error").isNull(), parse(F.col("reply"))).alias("parsed")))
         good = F.lit(True) if i + 1 == len(temperatures) else F.coalesce(settled(F.col("parsed")), F.lit(False))
         found = replies.where(good) if found is None else found.unionByName(replies.where(good))
-        left = left.join(replies.where(~good).select(key), key, "left_semi")
-    return found
+        left = left.join(replies.where(~good).select("_id"), "_id", "left_semi")
+    return rows.join(found, "_id").select(key, "parsed")
 
 
 def scan_contradictions(windows: DataFrame, key: str, prompt: str, client: Client, at_once: int = AT_ONCE) -> DataFrame:

@@ -22,10 +22,10 @@ URLS = "SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('  ', upper(ur
 TWICE = "SELECT page_id * 2 AS id, url FROM {pages} UNION ALL SELECT page_id * 2 + 1 AS id, concat(' ', url, '//') AS url FROM {pages}"
 TOPICS = """SELECT id, w1, w2, CASE id % 3 WHEN 0 THEN concat('请撰写，标题为“', w1, '”，包括“', w2, '”') WHEN 1 THEN concat('标题为“', w1, '“，要求详实') ELSE concat('  写一段 ', w1, ' 发展 ') END AS q
   FROM (SELECT doc_id AS id, concat(CASE WHEN doc_id % 2 = 0 THEN '教育' ELSE '道路' END, substring(md5(text), 1, 4)) AS w1, substring(md5(text), 5, 5) AS w2 FROM {documents}) t"""
-MARKED = "SELECT doc_id AS id, concat('【矛盾#', doc_id % 4, '】', text, '【矛盾#', doc_id % 15, '】') AS t FROM {documents}"
+MARKED = "SELECT doc_id AS id, concat('【矛盾#', doc_id % 4, '】', text, '【矛盾#', doc_id % 15, '】【矛盾#99999999999999999999】') AS t FROM {documents}"
 TAGGED = "SELECT doc_id AS id, concat(CASE doc_id % 3 WHEN 0 THEN concat('[tag:', source, '] [tag:x] ') WHEN 1 THEN '' ELSE '[tag:c]' END, text) AS t FROM {documents}"
 MARKDOWN = "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), concat(chr(10), '## ')) WHEN 1 THEN concat('### ', lang, chr(10), replace(text, chr(10), repeat(chr(10), 4))) ELSE text END AS t FROM {documents}"
-REFS = "SELECT o_orderkey AS id, concat('see #', o_custkey % 12, ' and #', o_orderkey % 9, ', #1 of ', o_orderpriority, ' #', o_orderkey % 3) AS t FROM {orders}"
+REFS = "SELECT o_orderkey AS id, concat('see #', o_custkey % 12, ' and #', o_orderkey % 9, ', #1 of ', o_orderpriority, ' #', o_orderkey % 3, ' not #99999999999999999999') AS t FROM {orders}"
 REPLIES = """SELECT event_id AS id, props, CASE event_id % 6 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 1 THEN concat('so ', props, ' it is') WHEN 2 THEN 'no json'
   WHEN 3 THEN concat('list: [', event_id, ', 2] end') WHEN 4 THEN props ELSE concat('{', props) END AS t FROM {events}"""
 OUTPUTS = """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN concat('{"title": "T', event_id, '", "content": "', event_type, '", "error": null}')
@@ -253,7 +253,7 @@ def locate_validate(spark, d):
     return by_id(j, n=F.greatest(F.lit(0), F.coalesce(F.size(good), F.lit(0))).cast("bigint"))
 
 
-SITE = """SELECT concat('http://s', doc_id % 11, '.org/p', doc_id) AS url, concat('<a href="/p', doc_id + 11, '">n</a> <a href="p', doc_id + 33, '"><b>m</b></a> <a href="http://s', doc_id % 11, '.org/p', doc_id + 22,
+SITE = """SELECT concat('http://s', doc_id % 11, '.org/p', doc_id) AS url, concat('<a href="http://a b/x">z</a><a href="/p', doc_id + 11, '">n</a> <a href="p', doc_id + 33, '"><b>m</b></a> <a href="http://s', doc_id % 11, '.org/p', doc_id + 22,
   '">o</a><a href="#x">x</a> <a href="/gone', doc_id, '">g</a> <a href="http://other.org/b.html">b</a> <a href="javascript:x()">j</a> <a href="/a', doc_id + 11, '.html">A', doc_id, '</a>',
   '<a href="https://s', doc_id % 11, '.org/a', doc_id, '.html?y=1"></a><a href="/a', doc_id + 22, '.html">B', doc_id, '</a>') AS html FROM {documents}"""
 
@@ -345,7 +345,7 @@ _v = """v AS (SELECT l_orderkey AS id, o_custkey AS draft, o_orderpriority AS to
   l_returnflag || l_linestatus || (l_partkey % 3) AS text, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 5 <> 0 AND l_orderkey % 10 <> 0),
 g AS (SELECT * FROM v WHERE id IN (SELECT id FROM v GROUP BY id HAVING count(*) >= 2))"""
-_site_sql = f"""WITH p AS (SELECT doc_id AS i, doc_id % 11 AS h FROM documents), l(step, place) AS (VALUES (11, 0), (33, 1), (22, 2)),
+_site_sql = f"""WITH p AS (SELECT doc_id AS i, doc_id % 11 AS h FROM documents), l(step, place) AS (VALUES (11, 1), (33, 2), (22, 3)),
 r AS (SELECT h, min(i) AS r FROM p GROUP BY h),
 d0 AS (SELECT h, r AS i, 0 AS depth, 1 AS visited FROM r),
 q1 AS (SELECT d.h, d.i + step AS i, min(d.visited * 100 + place) AS o FROM d0 d, l GROUP BY ALL),
@@ -373,11 +373,11 @@ s AS (SELECT id, s, nullif({_trim("coalesce(max(CASE WHEN x LIKE '#_%' THEN rege
 k AS (SELECT id, s, heading, {_trim("regexp_replace(c, '\\n{3,}', chr(10) || chr(10), 'g')")} AS content FROM s)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, heading, sha256(content) AS hash FROM k WHERE content <> '' OR heading IS NOT NULL""",
     "apply_edit": f"WITH e AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'no such anchor' ELSE substring(text, 1, 3) END AS b, {_edit('text', 'substring(text, 5, 6)', 'X')} AS t FROM documents) SELECT id, sha256({_edit('t', 'b', 'YY')}) AS hash FROM e",
-    "marker_extract": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: x::BIGINT), lambda x: x > 0), ',') AS seqs FROM ({MARKED})",
+    "marker_extract": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x > 0), ',') AS seqs FROM ({MARKED})",
     "marker_remove": f"SELECT id, sha256(replace(t, '【矛盾#1】', '')) AS hash FROM ({MARKED})",
     "strip_tag_prefix": f"SELECT id, sha256(CASE WHEN starts_with(t, '[tag:') THEN regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', '') ELSE t END) AS hash FROM ({TAGGED})",
     "tag_split": "SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_name || '，' || p_brand || '，' || p_type, '[,，、s]+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM part",
-    "resolve_refs": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '#([0-9]+)', 1), lambda x: x::BIGINT), lambda x: x BETWEEN 1 AND 5), ',') AS refs, array_to_string(list_transform(list_filter(string_split(regexp_replace(t, '(#[1-5])\\b', '|\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^#[1-5]$') THEN 'r:' ELSE 't:' END || x), '|') AS tokens FROM ({REFS})",
+    "resolve_refs": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '#([0-9]+)', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 5), ',') AS refs, array_to_string(list_transform(list_filter(string_split(regexp_replace(t, '(#[1-5])\\b', '|\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^#[1-5]$') THEN 'r:' ELSE 't:' END || x), '|') AS tokens FROM ({REFS})",
     "json_repair": f"SELECT id, CASE WHEN id % 6 IN (0, 1, 4) THEN props WHEN id % 6 = 3 THEN regexp_extract(t, '\\[.*\\]') END AS json FROM ({REPLIES})",
     "parse_outputs": f"SELECT id, CASE id % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'error' ELSE 'null' END AS kind, CASE WHEN id % 3 = 0 THEN json_extract_string(t, '$.title') END AS title FROM ({OUTPUTS})",
     "sse_extract": f"SELECT id, string_agg(json_extract_string(substr(line, 6), '$.choices[0].delta.content'), '' ORDER BY n) AS content FROM (SELECT * FROM ({STREAM}) WHERE line LIKE 'data: {{%') GROUP BY id".replace("{{", "{"),
@@ -399,7 +399,7 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "merge_groups": f"WITH {_v}, r AS (SELECT draft, topic, id, text, unnest([l_suppkey, l_suppkey + 3]) AS ref FROM g), m AS (SELECT draft, topic, min(id) AS first, count(DISTINCT text) AS n_texts, count(DISTINCT (text, ref)) AS n_refs FROM r GROUP BY draft, topic) SELECT draft, row_number() OVER (PARTITION BY draft ORDER BY first) AS nr, topic, n_texts, n_refs FROM m",
     "locate_validate": "SELECT l_orderkey AS id, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE count_if(l_suppkey % 3 >= 1 AND l_returnflag <> 'N') END::BIGINT AS n FROM lineitem GROUP BY l_orderkey",
     "crawl_bfs": f"{_site_sql} SELECT root, 'http://s' || h || '.org/p' || i AS url, depth, visited FROM s",
-    "crawl_articles": f"{_site_sql}, a AS (SELECT root, h, i + 11 AS n, '' AS tail, 'http' AS scheme, 'A' || i AS title, visited * 100 + 5 AS o FROM s UNION ALL SELECT root, h, i, '?y=1', 'https', NULL, visited * 100 + 6 FROM s UNION ALL SELECT root, h, i + 22, '', 'http', 'B' || i, visited * 100 + 7 FROM s), k AS (SELECT root, 's' || h || '.org/a' || n || '.html' || tail AS key, scheme, title, o FROM a) SELECT root, key, scheme || '://' || key AS url, coalesce(title, scheme || '://' || key) AS title FROM k QUALIFY row_number() OVER (PARTITION BY root, key ORDER BY o) = 1",
+    "crawl_articles": f"{_site_sql}, a AS (SELECT root, h, i + 11 AS n, '' AS tail, 'http' AS scheme, 'A' || i AS title, visited * 100 + 6 AS o FROM s UNION ALL SELECT root, h, i, '?y=1', 'https', NULL, visited * 100 + 7 FROM s UNION ALL SELECT root, h, i + 22, '', 'http', 'B' || i, visited * 100 + 8 FROM s), k AS (SELECT root, 's' || h || '.org/a' || n || '.html' || tail AS key, scheme, title, o FROM a) SELECT root, key, scheme || '://' || key AS url, coalesce(title, scheme || '://' || key) AS title FROM k QUALIFY row_number() OVER (PARTITION BY root, key ORDER BY o) = 1",
     "web_recall": f"WITH s AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 't1' END AS task_id FROM pages WHERE page_id % 5 = 0) SELECT * FROM s UNION ALL SELECT DISTINCT url, 't1' FROM pages WHERE {_found} AND url NOT IN (SELECT url FROM s WHERE task_id = 't1')",
     "embed_chunks": "SELECT doc_id, CASE WHEN length(text) <= 400 THEN length(text) WHEN length(text) <= 3000 THEN -length(text) END::DOUBLE AS first FROM documents",
     "float_bytes": "SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings",

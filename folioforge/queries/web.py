@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from folioforge.functions import html as hx
 from folioforge.functions.text import trim_ws
 from folioforge.operators import cdc, retrieval
-from folioforge.queries.tables import table
+from folioforge.queries.tables import derived, duck, table
 from folioforge.queries.text import LEXICAL, W
 
 
 
+#: Pages with what stops careless decoders at their end: halves of a character, numbers beyond 64 bits; and with links of all kinds.
+ENDINGS = {0: ("&#55357;&#56832;&#33;", "😀!"), 1: ("&#100000000000000016384;x", "䀀x"), 2: ("y&#55357;&#65;", "y�A"), 3: ("", "")}
+ODD_PAGES = "SELECT page_id, concat(html, CASE page_id % 4 {}END) AS html FROM {{pages}}"
+ODD, MEANT = (ODD_PAGES.format("".join(f"WHEN {k} THEN '{v[i]}' " for k, v in ENDINGS.items())) for i in (0, 1))
+LINKED = """SELECT page_id, url, concat(html, '<a href="../x', page_id, '/./y.html">up</a><a href="//CDN.example.org:443/z?q=', page_id, '#f">other</a><a href="http://a b/x">bad</a>',
+  '<a href="?p=', page_id, '">same</a><a href="mailto:x@y.org">mail</a><a href="https://h:99999/">port</a>') AS html FROM {pages}"""
+
+
 def _query_vector(spark, d):
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first().embedding]
 
@@ -73,12 +81,12 @@ def ingest_status(spark, d):
 
 
 def strip_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(hx.strip_tags(F.col("html")), 256).alias("hash"))
+    return derived(spark, d, ODD).select("page_id", F.sha2(hx.strip_tags(F.col("html")), 256).alias("hash"))
 
 
 def clean_html(spark, d):
     t = hx.clean_html(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.sha2(t, 256).alias("hash"))
+    return derived(spark, d, ODD).select("page_id", F.sha2(t, 256).alias("hash"))
 
 
 def crawl_links(spark, d):
@@ -86,8 +94,8 @@ def crawl_links(spark, d):
 
 
 def resolved_links(spark, d):
-    """Absolute links; relative ones are resolved by a Pandas UDF."""
-    return hx.extract_links(table(spark, d, "pages"), "page_id", "url", "html")
+    """Where the links of all pages lead to; those that lead nowhere are gone."""
+    return hx.extract_links(derived(spark, d, LINKED), "page_id", "url", "html")
 
 
 def url_dedupe(spark, d):
@@ -136,6 +144,13 @@ def _clean(x: str) -> str:
 _old = "SELECT 'dir/' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0"
 _new = "SELECT CASE WHEN doc_id % 17 = 0 THEN 'new/' ELSE 'dir/' END || doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0"
 _anchor = r"""<a\b[^>]*href\s*=\s*["''']([^"''']+)["'''][^>]*>(.*?)</a>""".replace("'''", "''")
+
+
+def _links(pages: str, columns: str) -> str:
+    found = f"WITH a AS (SELECT {columns}, regexp_extract_all(html, '(?is){_anchor}', 1) AS h, regexp_extract_all(html, '(?is){_anchor}', 2) AS x FROM {pages}), e AS (SELECT {columns}, generate_subscripts(h, 1) - 1 AS position, trim(unnest(h)) AS href, unnest(x) AS x FROM a)"
+    return f"{found} SELECT {columns}, position, href, {_strip('x')} AS link_text FROM e WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')"
+
+
 _terms = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 
 ORACLES = {
@@ -148,9 +163,20 @@ ORACLES = {
     "cdc_diff": f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM ({_old}) o FULL JOIN ({_new}) n ON o.path = n.path",
     "cdc_moves": f"WITH g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_old}) WHERE path NOT IN (SELECT path FROM ({_new}))), c AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_new}) WHERE path NOT IN (SELECT path FROM ({_old}))) SELECT g.h AS hash, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.h = c.h AND g.n = c.n",
     "ingest_status": "SELECT source, count_if(length(text) >= 40)::BIGINT AS ok, count_if(length(text) < 40)::BIGINT AS failed FROM documents GROUP BY source",
-    "strip_tags": f"SELECT page_id, sha256({_strip('html')}) AS hash FROM pages",
-    "clean_html": f"SELECT page_id, sha256({_clean('html')}) AS hash FROM pages",
-    "crawl_links": f"WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is){_anchor}', 1) AS h, regexp_extract_all(html, '(?is){_anchor}', 2) AS x FROM pages), e AS (SELECT page_id, generate_subscripts(h, 1) - 1 AS position, trim(unnest(h)) AS href, unnest(x) AS x FROM a) SELECT page_id, position, href, {_strip('x')} AS link_text FROM e WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')",
+    "strip_tags": f"SELECT page_id, sha256({_strip('html')}) AS hash FROM ({duck(MEANT)})",
+    "clean_html": f"SELECT page_id, sha256({_clean('html')}) AS hash FROM ({duck(MEANT)})",
+    "crawl_links": _links("pages", "page_id"),
+    "resolved_links": f"""WITH l AS ({_links(f"({duck(LINKED)})", "page_id, url")}), u AS (
+  SELECT *, regexp_extract(url, '^https?://[^/?#]*') AS site, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^$', '/') AS path FROM l
+), r AS (
+  SELECT page_id, position, link_text, CASE
+    WHEN href LIKE '../%' THEN site || regexp_replace(regexp_extract(path, '^.*/'), '([^/]+/)?$', '') || replace(substr(href, 4), '/./', '/')
+    WHEN href LIKE '//CDN%' THEN regexp_extract(url, '^https?:') || replace(href, 'CDN.example.org:443', CASE WHEN url LIKE 'https%' THEN 'cdn.example.org' ELSE 'cdn.example.org:443' END)
+    WHEN href LIKE '?%' THEN site || path || href WHEN href LIKE '/%' THEN site || href WHEN href LIKE 'http://a b%' OR href LIKE 'mailto:%' OR href LIKE '%:99999/' THEN NULL
+    ELSE '?' || href END AS href
+  FROM u
+)
+SELECT page_id, position, link_text, array_to_string(list_transform(regexp_extract_all(href, '[\x21-\x7E]+|[^\x21-\x7E]+'), lambda s: CASE WHEN regexp_matches(s, '^[\x21-\x7E]') THEN s ELSE url_encode(s) END), '') AS href FROM r WHERE href IS NOT NULL""",
     "url_dedupe": "SELECT regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '/+$', '') AS key, count(*) AS n FROM pages GROUP BY 1",
     "article_urls": "SELECT page_id FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.htm?page=2' WHEN 1 THEN '.xml' ELSE '.ASPX' END AS url FROM pages) WHERE regexp_matches(regexp_extract(url, '^[^?#]*'), '(?i)\\.(htm|html|shtml|aspx?)\\b')",
     "page_size_cap": "SELECT page_id, strlen(html) AS size FROM pages WHERE strlen(html) <= 5242880",
