@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: White space in the sense of Unicode's separators and the byte order mark; Java's ``\s`` and ``trim`` know ASCII only.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+#: The same characters, for functions that take a list instead of a pattern.
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 #: Longest chunk in characters; ends of sentences.
 CHUNK_CHARS, ENDS = 500, "。！？；;"
 
@@ -38,11 +41,11 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
 
 def strip_ws(c: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(c, f"{WS}+", "")
+    return F.translate(c, WS_CHARS, "")
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def pairs(c: Column) -> Column:
@@ -245,7 +248,38 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 
 
+#: Names of keys whose values are hidden, anywhere and in any case; levels that are shown; what stands for hidden and for deeper ones.
+SECRET_KEYS, SHOWN_LEVELS, HIDDEN, DEEPER = "(?i)key|secret|token|authorization|password", 3, '"***"', '"[…]"'
+
+
 def masked(json: Column) -> Column:
-    """A JSON text with the values of secret keys as ``***``."""
-    value = r'"(?:[^"\\]|\\.)*"|[^,}\]\s]+'
-    return F.regexp_replace(json, rf'(?i)("[^"]*(?:key|secret|token|authorization|password)[^"]*"\s*:\s*)(?:{value})', '$1"***"')
+    """A JSON text with whatever stands under a secret key, a list or an object too, as ``***``, and what lies deeper than
+    ``SHOWN_LEVELS`` as ``[…]``. The order of keys stays, white space between goes, numbers are as the parser writes them. Null for what is no
+    JSON or repeats a key, so nothing is shown that wasn't looked through."""
+    none = lambda value: F.coalesce(value, F.lit("null"))
+    quoted = lambda text: F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
+
+    def value(text: Column, kind: Column, level: int) -> Column:
+        """``text`` is a value as written, a string without its quotes; ``kind`` what the parser calls its type."""
+        if level > SHOWN_LEVELS:
+            return F.lit(DEEPER)
+        nested = F.when(F.startswith(kind, F.lit("OBJECT")), bound(text, lambda t: whole(t, level))).when(F.startswith(kind, F.lit("ARRAY")), bound(text, lambda t: listed(t, level)))
+        return none(F.when(kind == "STRING", quoted(text)).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(text))
+
+    def rows(text: Column, of: str) -> tuple[Column, Column]:
+        """Values as written, and their types, in order."""
+        return F.from_json(text, of.format("string")), F.from_json(text, of.format("variant"))
+
+    def whole(text: Column, level: int) -> Column:
+        texts, kinds = rows(text, "map<string,{}>")
+        pairs_of = F.arrays_zip(F.map_keys(texts).alias("k"), F.map_values(texts).alias("t"), F.map_values(kinds).alias("v"))
+        one = lambda p: F.concat(quoted(p["k"]), F.lit(":"), F.when(p["k"].rlike(SECRET_KEYS), HIDDEN).otherwise(value(p["t"], F.schema_of_variant(p["v"]), level + 1)))
+        return F.concat(F.lit("{"), F.array_join(F.transform(pairs_of, one), ","), F.lit("}"))
+
+    def listed(text: Column, level: int) -> Column:
+        texts, kinds = rows(text, "array<{}>")
+        one = lambda p: value(p["t"], F.schema_of_variant(p["v"]), level + 1)
+        return F.concat(F.lit("["), F.array_join(F.transform(F.arrays_zip(texts.alias("t"), kinds.alias("v")), one), ","), F.lit("]"))
+
+    root = F.call_function("try_parse_json", json)
+    return F.when(root.isNotNull(), value(F.when(F.schema_of_variant(root) == "STRING", F.try_variant_get(root, "$", "string")).otherwise(trim_ws(json)), F.schema_of_variant(root), 0))

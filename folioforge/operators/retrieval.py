@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioforge.functions import text as tx
 
@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 def lexical(docs: DataFrame, query: str, key: str, title: str, text: str) -> DataFrame:
     """Chunks of ``docs`` with a rounded lexical score over 0. No top-n and no quota: every related chunk stays. One scan, no shuffle."""
     titled = docs.select(F.struct(key, F.col(title).alias("_title")).alias("_row"), text)
-    scored = tx.chunks(titled, "_row", text).withColumn("score", tx.lexical_score(query, F.col("text"), F.col("_row._title")))
+    scored = tx.pinned(tx.chunks(titled, "_row", text), score=tx.lexical_score(query, F.col("text"), F.col("_row._title")))
     return scored.where("score > 0").select(F.col(f"_row.{key}").alias(key), F.col("_row._title").alias(title), "paragraph", "piece", "position", "text", "score")
 
 
@@ -87,10 +87,13 @@ def vector_search(chunks: DataFrame, query: Sequence[float], vector: str, least:
 
 
 def hybrid(lexical_hits: DataFrame, vector_hits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keyed union: lexical hits, and of the vector hits those that aren't among them, scored by 100 * cosine rounded."""
-    only = vector_hits.join(lexical_hits.select(*keys), list(keys), "left_anti")
-    more = only.select(*keys, F.floor(F.col("cosine") * 100 + 0.5).cast("bigint").alias("score"), F.lit("vector").alias("route"))
-    return lexical_hits.select(*keys, "score", F.lit("lexical").alias("route")).unionByName(more)
+    """Keyed union: lexical hits, and of the vector hits those that aren't among them, scored by 100 * cosine rounded. Both routes are
+    read once and meet by key; null keys are equal."""
+    by_word = lexical_hits.select(*keys, "score", F.lit("lexical").alias("route"))
+    by_vector = vector_hits.select(*keys, F.floor(F.col("cosine") * 100 + 0.5).cast("bigint").alias("score"), F.lit("vector").alias("route"))
+    known = F.max(F.col("route") == "lexical").over(Window.partitionBy(*keys))
+    both = by_word.unionByName(by_vector).withColumn("_known", known)
+    return both.where((F.col("route") == "lexical") | ~F.col("_known")).drop("_known")
 
 
 def summary_prefilter(scope: DataFrame, summaries: DataFrame, query: str, key: str) -> DataFrame:

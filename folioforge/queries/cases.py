@@ -34,8 +34,8 @@ STREAM = """SELECT conv_id AS id, turn * 2 AS n, concat('data: {"choices":[{"del
   UNION ALL SELECT conv_id AS id, turn * 2 + 1 AS n, CASE turn % 2 WHEN 0 THEN ': ping' ELSE 'data: [DONE]' END AS line FROM {conversations}"""
 CALLS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 500 WHEN 4 THEN 404 WHEN 5 THEN 200 END AS s,
   CASE WHEN event_id % 3 = 0 THEN concat('{"error": {"message": "', repeat(event_type, 40), '"}}') ELSE concat('{"choices": [{"message": {"content": "', event_type, '"}}]}') END AS body FROM {events}"""
-SECRETS = """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN concat('{"apiKey": "', event_type, '", "n": ', event_id, '}') WHEN 1 THEN concat('{"x": {"auth_token":', user_id, ', "y": 2}, "Password" : "a b"}')
-  ELSE concat('{"note": "key", "n": ', event_id, '}') END AS j FROM {events}"""
+SECRETS = """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN concat('{"apiKey": "', event_type, '", "n": ', event_id, '}') WHEN 1 THEN concat('{"x": {"auth_token":', user_id, ', "y": 2}, "Password" : "a b"}')
+  WHEN 2 THEN concat('{"note": "key", "n": ', event_id, '}') ELSE concat('{"props": ', props, ', "list": [{"secretKey": {"a": [1, 2]}}, [[["deep"]]]], "n": ', event_id, '}') END AS j FROM {events}"""
 ATTEMPTS = "SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS part, CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE concat(l_returnflag, l_suppkey) END AS r FROM {lineitem}"
 SETTINGS = "SELECT event_id AS n, concat(event_type, user_id % 5) AS key, CASE WHEN event_id % 7 = 0 THEN 'bad!' WHEN value >= 100 THEN cast(event_id AS varchar(20)) END AS value FROM {events}"
 SKILLS = "SELECT concat(n_name, ' rule') AS name, n_regionkey AS category, [concat(substring(md5(n_name), 1, 2), '7'), concat(n_regionkey, n_nationkey)] AS tags FROM {nation}"
@@ -382,7 +382,8 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "parse_outputs": f"SELECT id, CASE id % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'error' ELSE 'null' END AS kind, CASE WHEN id % 3 = 0 THEN json_extract_string(t, '$.title') END AS title FROM ({OUTPUTS})",
     "sse_extract": f"SELECT id, string_agg(json_extract_string(substr(line, 6), '$.choices[0].delta.content'), '' ORDER BY n) AS content FROM (SELECT * FROM ({STREAM}) WHERE line LIKE 'data: {{%') GROUP BY id".replace("{{", "{"),
     "error_classify": f"SELECT id, CASE WHEN s IN (401, 403) THEN 'LLM_UNAUTHORIZED' WHEN s = 429 THEN 'LLM_RATE_LIMIT' WHEN s IS NULL THEN 'LLM_NETWORK' WHEN s >= 400 THEN 'LLM_PROVIDER_ERROR' END AS code, coalesce(s = 429 OR s >= 500, true) AS retry, left(json_extract_string(body, '$.error.message'), 200) AS message, json_extract_string(body, '$.choices[0].message.content') AS reply FROM ({CALLS})",
-    "mask_secrets": f"""SELECT id, CASE id % 3 WHEN 0 THEN regexp_replace(j, '"apiKey": "[^"]*"', '"apiKey": "***"') WHEN 1 THEN regexp_replace(regexp_replace(j, '"auth_token":[0-9]+', '"auth_token":"***"'), '"a b"', '"***"') ELSE j END AS j FROM ({SECRETS})""",
+    "mask_secrets": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"apiKey":"***","n":' || event_id || '}' WHEN 1 THEN '{"x":{"auth_token":"***","y":2},"Password":"***"}' WHEN 2 THEN '{"note":"key","n":' || event_id || '}'
+  ELSE '{"props":' || json(props) || ',"list":[{"secretKey":"***"},[["[…]"]]],"n":' || event_id || '}' END AS j FROM events""",
     "first_nonempty": f"SELECT id, r FROM ({ATTEMPTS}) WHERE r <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY n, part, r) = 1",
     "settings_map": f"SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS i FROM ({SETTINGS}) WHERE value IS NULL OR value <> 'bad!') WHERE i = 1 AND value IS NOT NULL",
     "skill_match": f"WITH s AS ({SKILLS}), t AS (SELECT doc_id, md5(text) AS b FROM documents) SELECT doc_id, name FROM t, s WHERE contains(b, name) OR contains(b, tags[1]) OR contains(b, tags[2])",

@@ -77,3 +77,15 @@ def test_markdown_is_linear(spark):
     lines = 20_000
     text = "\n".join(f"## h{i}\nbody {i}" for i in range(lines))
     assert tx.markdown_segments(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").count() == lines
+
+
+MASKED = {
+    '{"token": {"a":1}, "b":2}': '{"token":"***","b":2}', '{"a":{"b":{"c":{"d":{"e":1}},"k":[1,[2,[3]]]}}}': '{"a":{"b":{"c":{"d":"[…]"},"k":["[…]","[…]"]}}}',
+    '[1, "a\\"b", null, true, {"apiKey": [1,2], "z": "{\\"token\\": 1}"}]': '[1,"a\\"b",null,true,{"apiKey":"***","z":"{\\"token\\": 1}"}]', '"str"': '"str"', "5": "5", "null": "null", "no json": None, "": None,
+    "{}": "{}", "[]": "[]", '{"x": "é\\n", "Password": null, "s":"5", "n": null}': '{"x":"é\\n","Password":"***","s":"5","n":null}', '{"b":1,"b":2}': None, '{"tokens": [1, 2]': None,
+}
+
+
+def test_masking_follows_the_tree(spark):
+    rows = spark.createDataFrame([(k,) for k in MASKED], "t string").select("t", tx.masked(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m for r in rows} == MASKED
