@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.operators import library
 from folioforge.plans.lineage import cut_lineage
@@ -66,11 +67,12 @@ class Tables:
         """A table as of a version, by default the last; None if it has had no rows. ``where`` picks rows and columns (the key among
         them) of each part's scan, in front of the join with what is gone."""
         parts = self.entry(version)["tables"].get(name, [])
-        key, read = self.keys[name], self.spark.read.parquet
-        rows = [(p["at"], read(f"{self.folder}/{p['path']}")) for p in parts if p["kind"] == "rows"]
+        key = self.keys[name]
+        read = lambda p: self.spark.read.schema(StructType.fromJson(p["schema"])).parquet(f"{self.folder}/{p['path']}")  # noqa: E731  a part may have no files
+        rows = [(p["at"], read(p)) for p in parts if p["kind"] == "rows"]
         if not rows:
             return None
-        gone = [read(f"{self.folder}/{p['path']}").select(F.col(key).alias("_key"), F.lit(p["at"]).alias("_gone")) for p in parts if p["kind"] == "gone"]
+        gone = [read(p).select(F.col(key).alias("_key"), F.lit(p["at"]).alias("_gone")) for p in parts if p["kind"] == "gone"]
         found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [(where(df) if where else df).withColumn("_at", F.lit(at)) for at, df in rows])
         if not gone:
             return found.drop("_at")
@@ -92,7 +94,7 @@ class Tables:
                 df = df.select(self.keys[name]).distinct() if kind == "gone" else df
                 out = df.write.partitionBy(*self.split.get(name, ())) if kind == "rows" else df.write
                 out.parquet(f"{self.folder}/{path}")
-                parts.append({"kind": kind, "path": path, "at": at})
+                parts.append({"kind": kind, "path": path, "at": at, "schema": df.schema.jsonValue()})
             tables[name] = parts
         self._publish(at, {"tables": tables, "note": entry["note"] if note is None else note})
         return at
