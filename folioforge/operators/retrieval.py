@@ -12,7 +12,7 @@ from folioforge.functions import text as tx
 LEAST_COSINE, LEAST_TAG = 0.3, 40
 
 #: BM25 constants of the public SQLite FTS5 documentation.
-K1, B = 1.2, 0.75
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def lexical(docs: DataFrame, query: str, key: str, title: str, text: str) -> DataFrame:
@@ -114,8 +114,8 @@ def _occurrences(terms: str, word: str) -> Column:
 
 
 def full_text(docs: DataFrame, query: str, key: str, text: str, limit: int = 50) -> DataFrame:
-    """Documents with every bare word of the query, best BM25 first, ties by key; none for a query without a word. A text is cut into
-    words once; lengths and counts are of all documents, in two numbers and one number a word."""
+    """Documents with every bare word of the query, best BM25 first, ties by key; none for a query without a word. For a search of texts
+    without an index (``fulltext.Index`` is one). A text is cut into words once; lengths and counts are of all documents, in two numbers and one number a word."""
     words = list(dict.fromkeys(w for w in query.lower().split() if w))
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -127,7 +127,7 @@ def full_text(docs: DataFrame, query: str, key: str, text: str, limit: int = 50)
     found = rows.where(" AND ".join(f"_tf{i} > 0" for i in range(len(words)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
-        idf = F.log((F.col("n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1)
+        idf = F.greatest(F.log((F.col("n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)), F.lit(LEAST_IDF))
         tf = F.col(f"_tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
     return found.withColumn("score", score).orderBy(F.desc("score"), key).limit(limit).select(key, "score")

@@ -47,10 +47,6 @@ def hybrid_retrieve(spark, d):
     return retrieval.hybrid(lex, retrieval.vector_search(vec, _query_vector(spark, d), "embedding", least=0.2), ["doc_id", "position"])
 
 
-def fts_search(spark, d):
-    return retrieval.full_text(table(spark, d, "documents"), "the and", "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
-
-
 def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("bigint").alias("size"))
 
@@ -119,7 +115,7 @@ def import_pages(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, fts_search, content_hash, cdc_diff, cdc_moves, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, content_hash, cdc_diff, cdc_moves, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
 
 _v = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _cos = f"list_cosine_similarity(embedding::DOUBLE[], {_v})"
@@ -151,14 +147,12 @@ def _links(pages: str, columns: str) -> str:
     return f"{found} SELECT {columns}, position, href, {_strip('x')} AS link_text FROM e WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')"
 
 
-_terms = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 
 ORACLES = {
     "vector_topk": f"SELECT vec_id, round({_cos}, 6) AS cosine FROM embeddings WHERE vec_id <> 0 ORDER BY {_cos} DESC, vec_id LIMIT 10",
     "vector_threshold": f"SELECT vec_id, round({_cos}, 6) AS cosine FROM embeddings WHERE {_cos} >= 0.2",
     "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))), 6) AS first FROM embeddings",
     "hybrid_retrieve": f"WITH k AS ({LEXICAL}) SELECT doc_id, position, score, 'lexical' AS route FROM k UNION ALL SELECT vec_id, '第1段', floor({_cos} * 100 + 0.5)::BIGINT, 'vector' FROM embeddings WHERE {_cos} >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) AND vec_id NOT IN (SELECT doc_id FROM k WHERE position = '第1段')",
-    "fts_search": f"WITH t AS (SELECT doc_id, list_filter({_terms}, lambda x: x <> '') AS l FROM documents), c AS (SELECT doc_id, len(l)::DOUBLE AS n, len(list_filter(l, lambda x: x = 'the'))::DOUBLE AS a, len(list_filter(l, lambda x: x = 'and'))::DOUBLE AS b FROM t), s AS (SELECT count(*) AS docs, avg(n) AS avgn, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c), r AS (SELECT doc_id, ln((docs - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE) + 1) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avgn)) + ln((docs - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE) + 1) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avgn)) AS score FROM c, s WHERE a > 0 AND b > 0) SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 50",
     "content_hash": "SELECT doc_id, sha256(text) AS hash, strlen(text) AS size FROM documents",
     "cdc_diff": f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM ({_old}) o FULL JOIN ({_new}) n ON o.path = n.path",
     "cdc_moves": f"WITH g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_old}) WHERE path NOT IN (SELECT path FROM ({_new}))), c AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_new}) WHERE path NOT IN (SELECT path FROM ({_old}))) SELECT g.h AS hash, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.h = c.h AND g.n = c.n",
