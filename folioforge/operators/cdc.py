@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Folders and endings that a scan passes over; extensions that can be read.
@@ -48,6 +50,15 @@ def diff(old: DataFrame, new: DataFrame, path: str = "path", content: str = "has
     return a.join(b, "_p", "full_outer").select(F.col("_p").alias("path"), change.alias("change"), "old_hash", "new_hash")
 
 
+def screen(known: DataFrame, light: DataFrame, path: str = "path", stamp: Sequence[str] = ("mtime", "size")) -> DataFrame:
+    """``(path, state, new_path)``: what a scan that opened no file says of each path, by its ``stamp``: ``removed``, ``same`` where the
+    stamp is the known one, else ``open``: new, or touched, so that only its content can tell. One full outer join of short rows."""
+    a = known.select(norm_path(F.col(path)).alias("_p"), F.struct(*stamp).alias("_old"))
+    b = light.select(norm_path(F.col(path)).alias("_p"), F.col(path).alias("new_path"), F.struct(*stamp).alias("_new"))
+    state = F.when(F.col("_new").isNull(), "removed").when(F.col("_old") == F.col("_new"), "same").otherwise("open")
+    return a.join(b, "_p", "full_outer").select(F.col("_p").alias("path"), state.alias("state"), "new_path")
+
+
 def moves(changes: DataFrame) -> DataFrame:
     """``(hash, old_path, new_path)``: a path that vanished and one that came with the same content, paired in path order."""
     nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("path"))

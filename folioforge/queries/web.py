@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioforge.functions import html as hx
 from folioforge.functions.text import trim_ws
 from folioforge.operators import cdc, retrieval
+from folioforge.operators.versions import Change, Tables, cascade
+from folioforge.plans.lineage import shared_folder
 from folioforge.queries.tables import derived, duck, table
 from folioforge.queries.text import LEXICAL, W
 
@@ -71,6 +75,31 @@ def cdc_moves(spark, d):
     return cdc.moves(cdc.diff(*_snapshots(spark, d)))
 
 
+def _stamps(spark, d):
+    docs = table(spark, d, "documents")
+    stamp = lambda touched: [F.col("n_chars").alias("size"), (F.col("doc_id") + F.when(touched, 1).otherwise(0)).alias("mtime")]
+    known = docs.where("doc_id % 10 <> 0").select(F.concat(F.lit("Dir\\"), F.col("doc_id").cast("string")).alias("path"), *stamp(F.lit(False)))
+    return known, docs.where("doc_id % 11 <> 0").select(F.concat(F.lit("dir/"), F.col("doc_id").cast("string")).alias("path"), *stamp(F.col("doc_id") % 13 == 0))
+
+
+def cdc_screen(spark, d):
+    """Which files a scan by time and size leaves to be opened."""
+    return cdc.screen(*_stamps(spark, d)).select("path", "state")
+
+
+def cascade_commit(spark, d):
+    """Customers go, with their orders and lines, in one change of three tables that were written in two."""
+    t = Tables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line"})
+    read = lambda n: table(spark, d, n)
+    customer, orders = read("customer").select("c_custkey", "c_nationkey"), read("orders").select("o_orderkey", "o_custkey")
+    lines = read("lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"), "l_orderkey", F.col("l_quantity").alias("quantity"))
+    t.commit({"customer": Change(customer), "orders": Change(orders.where("o_orderkey % 2 = 0")), "lineitem": Change(lines.where("l_orderkey % 2 = 0"))})
+    t.commit({"orders": Change(orders.where("o_orderkey % 2 = 1")), "lineitem": Change(lines.where("l_orderkey % 2 = 1"))})
+    cascade(t, [("customer", "c_custkey", "orders", "o_custkey", "cascade"), ("orders", "o_orderkey", "lineitem", "l_orderkey", "cascade")], "customer", customer.where("c_nationkey % 3 = 0"))
+    of = lambda n, total: t.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(total).cast("bigint").alias("total"))
+    return of("customer", "c_custkey").union(of("orders", "o_orderkey")).union(of("lineitem", "quantity"))
+
+
 def ingest_status(spark, d):
     docs = table(spark, d, "documents").select("source", F.when(F.length("text") < 40, "PARSE_EMPTY").alias("error_code"))
     return docs.groupBy("source").agg(F.count_if(F.col("error_code").isNull()).alias("ok"), F.count_if(F.col("error_code").isNotNull()).alias("failed"))
@@ -115,7 +144,7 @@ def import_pages(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, content_hash, cdc_diff, cdc_moves, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, content_hash, cdc_diff, cdc_moves, cdc_screen, cascade_commit, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
 
 _v = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _cos = f"list_cosine_similarity(embedding::DOUBLE[], {_v})"
@@ -156,6 +185,8 @@ ORACLES = {
     "content_hash": "SELECT doc_id, sha256(text) AS hash, strlen(text) AS size FROM documents",
     "cdc_diff": f"SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM ({_old}) o FULL JOIN ({_new}) n ON o.path = n.path",
     "cdc_moves": f"WITH g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_old}) WHERE path NOT IN (SELECT path FROM ({_new}))), c AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_new}) WHERE path NOT IN (SELECT path FROM ({_old}))) SELECT g.h AS hash, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.h = c.h AND g.n = c.n",
+    "cdc_screen": "WITH k AS (SELECT 'dir/' || doc_id AS path, doc_id AS m, n_chars AS s FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT 'dir/' || doc_id AS path, doc_id + (doc_id % 13 = 0)::INT AS m, n_chars AS s FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(k.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN k.m = n.m AND k.s = n.s THEN 'same' ELSE 'open' END AS state FROM k FULL JOIN n ON k.path = n.path",
+    "cascade_commit": "WITH c AS (SELECT * FROM customer WHERE c_nationkey % 3 <> 0), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 3 = 0)), l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders ANTI JOIN o USING (o_orderkey))) SELECT 'customer' AS name, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM c UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_quantity)::BIGINT FROM l",
     "ingest_status": "SELECT source, count_if(length(text) >= 40)::BIGINT AS ok, count_if(length(text) < 40)::BIGINT AS failed FROM documents GROUP BY source",
     "strip_tags": f"SELECT page_id, sha256({_strip('html')}) AS hash FROM ({duck(MEANT)})",
     "clean_html": f"SELECT page_id, sha256({_clean('html')}) AS hash FROM ({duck(MEANT)})",

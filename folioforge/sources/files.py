@@ -9,13 +9,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.operators import cdc
+from folioforge.plans.lineage import cut_lineage
 
 Parser = Callable[[bytes], str]
 
@@ -66,6 +67,32 @@ def scan(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     return light.withColumn("hash", F.sha2("content", 256)) if content else light
 
 
+def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(path, mtime, size, content, hash)`` of the files named, and of no others. Paths are names, not patterns."""
+    kinds = "path string, modificationTime timestamp, length bigint, content binary"
+    plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    files = spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], kinds)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("hash"))
+
+
+def screened(spark: SparkSession, folder: str, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """A folder against its ``known`` files (path, mtime, size, hash), opening only those that are new or whose time or size is another.
+
+    Returns the changes, ``(path, change, new_path)``, where a file that was touched but holds what it held is ``touched``; and the files
+    that were opened, as :func:`read_files` gives them. The names of files to open pass through the driver, where Spark's own list of the
+    folder lies.
+    """
+    light = scan(spark, folder, content=False)
+    known = light.withColumn("hash", F.lit("")).limit(0) if known is None else known
+    states = cut_lineage(cdc.screen(known, light))
+    opened = read_files(spark, [r.new_path for r in states.where("state = 'open'").select("new_path").collect()])
+    name = lambda df: df.select(cdc.norm_path(F.col("path")).alias("_p"), "hash")
+    met = states.join(name(known).withColumnRenamed("hash", "_old"), F.col("path") == F.col("_p"), "left").drop("_p")
+    met = met.join(name(opened).withColumnRenamed("hash", "_new"), F.col("path") == F.col("_p"), "left").drop("_p")
+    change = F.when(F.col("state") != "open", F.col("state")).when(F.col("_old").isNull(), "added").when(F.col("_old") == F.col("_new"), "touched").otherwise("changed")
+    return met.select("path", change.alias("change"), "new_path"), opened
+
+
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """``(path, hash, text, error_code)`` of :func:`scan`'s files."""
     known = PARSERS | (parsers or {})

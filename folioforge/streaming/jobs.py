@@ -10,7 +10,9 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioforge.operators import cdc, library
+from folioforge.operators.versions import Change, Tables
 from folioforge.plans.lineage import cut_lineage
+from folioforge.sources import files
 
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -48,6 +50,49 @@ def merge_batches(changes: DataFrame, table: str, key: str, order: str, checkpoi
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_changes(changes: DataFrame, tables: Tables, name: str, order: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None, deleted: str | None = None, content: str | None = None):
+    """As :func:`merge_batches`, into a table of ``tables``: a batch writes its own rows and keys, one change of the table; a batch that
+    comes again after a restart is known by its number and changes nothing. Where parts have become many, ``tables.compact``."""
+    key = tables.keys[name]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = tables.version()
+        note = tables.entry(before)["note"]
+        if note.get(checkpoint, -1) >= number:
+            return
+        last = library.latest_per_key(batch, key, F.desc(order))
+        gone = last.where(F.col(deleted)) if deleted else last.limit(0)
+        live = last.where(~F.col(deleted)).drop(deleted) if deleted else last
+        base = tables.read(name, before)
+        if content:
+            left = live.limit(0) if base is None else library.delete_keys(base, gone, key)
+            known = live.join(left.select(key), key, "left_semi")
+            fresh = library.latest_per_key(live.join(left.select(key), key, "left_anti"), content, F.asc(key))
+            live = known.unionByName(fresh.join(left.select(content), content, "left_anti").select(*live.columns))
+        live = cut_lineage(live)
+        tables.commit({name: Change(live, gone.select(key).union(live.select(key)))}, expected=before, note=note | {checkpoint: number})
+        if then:
+            then(live)
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reconcile_folder(spark: SparkSession, folder: str, tables: Tables, name: str, then: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Bring a table (path, mtime, size, hash) of ``tables`` in step with a folder, and return what was done, ``(change, n)``. Only files
+    that are new or touched are opened, only rows that change are written; ``then`` gets the new and changed files with their content."""
+    before = tables.version()
+    changes, opened = files.screened(spark, folder, tables.read(name, before))
+    changes = cut_lineage(changes)
+    of = lambda *kinds: changes.where(F.col("change").isin(*kinds))
+    came = opened.join(of("added", "changed", "touched").select(F.col("new_path").alias("path")), "path", "left_semi")
+    known = tables.read(name, before)
+    lost = known.join(of("removed", "changed", "touched").select(F.col("path").alias("_p")), cdc.norm_path(F.col("path")) == F.col("_p"), "left_semi").select("path") if known is not None else None
+    tables.commit({name: Change(came.select("path", "mtime", "size", "hash"), lost)}, expected=before)
+    if then:
+        then(came.join(of("added", "changed").select(F.col("new_path").alias("path")), "path", "left_semi"))
+    return changes.groupBy("change").agg(F.count("*").alias("n"))
+
+
 def reconcile(snapshot: DataFrame, table: str, path: str = "path", content: str = "hash") -> DataFrame:
     """Bring a Parquet table in step with a whole snapshot of its folder, and return what was done, ``(change, n)``. It is what a stream of
     changes falls back to: paths that are gone leave the table, changed and new ones are replaced, the others keep their rows."""
