@@ -16,12 +16,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from folioforge.llm.batches import as_bytes, slices
 from folioforge.llm.sampling import thinned
+from folioforge.plans.sizes import broadcast_if_small
 
 #: Bytes of a window; filter widths; filters of each width; size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 8, 8
 
-#: Training rows of each language at most, one window of each; languages at most, those with the most rows.
-SAMPLE_PER_LANG, LANGS = 800, 256
+#: Training rows of each language at most, one window of each; and of all languages together, of which each has one at least.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 800, 200_000
 
 #: Bytes of text whose windows are worked on at once; longer texts come in pieces.
 PIECE = WINDOW << 13
@@ -147,14 +148,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> ByteCnn | None:
     """A network for the languages of ``labelled``, from at most ``per_lang`` rows of each, chosen by a hash of the key and
-    the text; of each, one window that starts anywhere in the text. Null texts, keys and languages take no part; None if
-    nothing is left. Of more than LANGS languages the smallest aren't learned."""
+    the text; of each, one window that starts anywhere in the text. Every language is learned: where there are many, each has fewer rows,
+    so that all have ``SAMPLE_ROWS`` together. Null texts, keys and languages take no part; None if nothing is left."""
     pick = F.xxhash64(key, text)
     start = (F.pmod(pick, F.greatest(F.lit(1), F.length(text) - WINDOW)) + 1).cast("int")
     rows = labelled.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), pick.alias("pick"), F.substring(F.col(text), start, F.lit(WINDOW)).alias("part"))
-    size = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).where("_lang IS NOT NULL").orderBy(F.desc("_n"), "_lang").limit(LANGS)
-    rows = rows.join(F.broadcast(size), F.col("lang") == F.col("_lang")).where(thinned(F.col("pick"), per_lang, F.col("_n")))  # LANGS rows at most
+    size = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).where("_lang IS NOT NULL")
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, size.count())))
+    rows = rows.join(broadcast_if_small(size), F.col("lang") == F.col("_lang")).where(thinned(F.col("pick"), per_lang, F.col("_n")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("pick", F.lit(1 << 30)), "pick", "part"))
     found = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("lang", "nth").collect()
     if not found:

@@ -93,3 +93,13 @@ def test_edges(spark):
     assert langid.train(docs.limit(0)) is None
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, None).collect()} == {("und", 0.0)}
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"wort{i % 300} text{i % 300} " * 5, f"lang{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, texts, langs: taken.append(langs) or self)
+    assert len(langid.train(docs).langs) == 300 and len(taken[-1]) == 900
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 600)
+    assert len(langid.train(docs).langs) == 300 and len(taken[-1]) == 600
