@@ -18,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Share of all words that the mix takes; most times a source is taken; weights of the sources in order, repeating.
 BUDGET, MOST, WEIGHTS = 1.5, 2, (3, 1, 2)
 
-#: Words of a block; documents of a shard, about; name of the seeded order.
-BLOCK, SHARD_DOCS, SEED = 16, 50_000, "mix"
+#: Words of a block; documents of a shard, about; equal rows that keep together, at most; name of the seeded order.
+BLOCK, SHARD_DOCS, RUN, SEED = 16, 50_000, 4_096, "mix"
 
 #: Rows up to which the table of shards is sent to all tasks instead of being joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -39,10 +39,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def source_targets(sized: DataFrame, budget: float = BUDGET, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``(source, source_size, n_docs, rank, target)``. Sources are ordered by code point, null last, and take ``weights`` in
+    """``(source, source_size, n_docs, rank, target)`` of ``sized`` rows (source, size, n) that stand for ``n`` documents. Sources are ordered by code point, null last, and take ``weights`` in
     turn. A target stops at ``most`` times its source's size; the excess is shared by weight until none is above. That is the
     level ``max over k of (budget - first k limits) / (weights of the rest)``, sources in order of limit by weight."""
-    w = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    w = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = w.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
@@ -77,28 +77,37 @@ def apportion(parties: DataFrame, within: list[str], party: str, votes: str, sea
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, most: int = MOST,
     weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED,
-    row: tuple[str, ...] = (),
+    row: tuple[str, ...] = (), together: int = RUN,
 ) -> DataFrame:
     """``(key, size, source_size, target, taken, copies, head, tail, run)`` of every row, and the columns ``row``.
 
     ``taken`` words are ``copies`` whole copies, then the first ``head`` words and those from word ``tail`` on, once more. A null,
-    empty or blank text has size 0 and gives nothing; null is a source of its own. Every row is a document: rows of one key are
-    ordered by size, then by the columns ``row`` (none of them null), which also place rows without a key. An empty table gives an empty result. Nothing depends on how rows are laid
-    out, so reruns agree.
+    empty or blank text has size 0 and gives nothing; null is a source of its own. Every row is a document, placed in the seeded order by
+    key, size and the columns ``row`` (none of them null). Rows alike in all of these and the source are counted first and dealt to shards
+    in runs of about ``together``, so neither rows that share a key nor copies gather in one task. An empty table gives an empty result.
+    Nothing depends on how rows are laid out, so reruns agree.
     """
     sized = docs.select(*row, F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    sized = cut_lineage(sized)
+    copies = F.floor((F.col("n") - 1) / together)
+    sized = sized.groupBy(*row, "key", "source", "size").agg(F.count("*").alias("n")).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
+    sized = cut_lineage(sized.withColumn("n", F.least(F.lit(together), F.col("n") - F.col("_run") * together)))
+    if row:  # rows that differ share a key and a size: many of these are dealt by hash
+        alike = _small(sized.groupBy("key", "source", "size").agg(F.sum("n").alias("_alike")).where(F.col("_alike") > together))
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("key", "source", "size")]
+        part = F.coalesce(F.pmod(F.xxhash64(*row), F.ceil(F.col("_alike") / together)), F.lit(0))
+        sized = sized.alias("s").join(alike.alias("h"), same, "left").select("s.*", part.alias("_part")).withColumn("_run", F.col("_run") + F.col("_part")).drop("_part")
     plan = source_targets(sized, budget, most, weights)
     total = F.sum("target").over(Window.partitionBy("_all"))
     plan = plan.withColumn("_all", F.lit(1)).withColumn("_seats", F.round(total / block).cast("bigint"))
     plan = apportion(plan, ["_all"], "rank", "target", "_seats").withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs))
     plan = cut_lineage(plan.select("source", "source_size", "target", "n_shards", F.col("quota").alias("_seats")))
 
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.concat_ws(":", *[F.col(c).cast("string") for c in row]) if row else F.lit("")))
+    own = F.coalesce(F.col("key").cast("string"), F.concat_ws(":", *[F.col(c).cast("string") for c in row]) if row else F.lit(""))
+    name = F.concat_ws(":", F.lit(seed), own, F.col("size").cast("string"), F.col("_run").cast("string"))
     rows = sized.alias("s").join(_small(plan).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    rows = rows.select(*row, "key", "s.source", "size", "source_size", "target", "_seats", F.md5(name).alias("_at"), (_number(F.concat(name, F.lit(":shard"))) % F.col("n_shards")).alias("shard"))
+    rows = rows.select(*row, "key", "s.source", "size", "n", "_run", "source_size", "target", "_seats", F.md5(name).alias("_at"), (_number(F.concat(name, F.lit(":shard"))) % F.col("n_shards")).alias("shard"))
 
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), *[F.first(c).alias(c) for c in ("source_size", "target", "_seats")])
+    shards = rows.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"), *[F.first(c).alias(c) for c in ("source_size", "target", "_seats")])
     shards = shards.withColumn("_votes", F.coalesce(F.try_divide(F.col("target") * F.col("shard_size"), F.col("source_size")), F.lit(0.0)))
     shards = apportion(shards, ["source"], "shard", "_votes", "_seats").withColumn("n", F.ceil(F.col("shard_size") / block))
     shards = shards.withColumn("quota", F.least("quota", most * F.col("n")))
@@ -111,8 +120,9 @@ def mix(
         F.greatest(F.lit(0), (F.col("start") + F.col("extra") - F.col("n")) * block).alias("wrap_to"),
     )
     shards = _small(cut_lineage(shards))
-    order = Window.partitionBy("source", "shard").orderBy("_at", "key", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("b", F.sum("size").over(order)).withColumn("a", F.col("b") - F.col("size"))
+    order = Window.partitionBy("source", "shard").orderBy("_at", "key", "size", *row, "_run").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum(F.col("size") * F.col("n")).over(order)).withColumn("_left", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    rows = rows.withColumn("b", F.col("_end") - F.col("_left") * F.col("size")).withColumn("a", F.col("b") - F.col("size")).drop("n")
     found = rows.alias("r").join(shards.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard")))
     inside = lambda lo, hi: F.greatest(F.lit(0), F.least(hi, F.col("b")) - F.greatest(lo, F.col("a")))
     head, run = inside(F.lit(0), F.col("wrap_to")), inside(F.col("run_from"), F.col("run_to"))
@@ -165,10 +175,10 @@ WITH d AS (
   ) ORDER BY q DESC, rank LIMIT (SELECT round(sum(target) / {BLOCK})::BIGINT FROM s)
 ), sq AS (
   SELECT s.*, (SELECT count(*) FROM won w WHERE w.rank = s.rank) AS seats, ceil(n_docs / {SHARD_DOCS})::BIGINT AS n_shards FROM s
+), u AS (
+  SELECT *, concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, ''), size, (row_number() OVER (PARTITION BY doc_id, source, size) - 1) // {RUN}) AS name FROM d
 ), r AS (
-  SELECT doc_id, size, sq.*, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS place,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':shard'), 1, 8))::BIGINT % n_shards AS shard
-  FROM d JOIN sq ON d.source IS NOT DISTINCT FROM sq.source
+  SELECT doc_id, size, sq.*, md5(name) AS place, ('0x' || substr(md5(name || ':shard'), 1, 8))::BIGINT % n_shards AS shard FROM u JOIN sq ON u.source IS NOT DISTINCT FROM sq.source
 ), h0 AS (
   SELECT rank, shard, any_value(source) AS source, sum(size)::BIGINT AS shard_size, any_value(seats) AS seats,
     any_value(target) * sum(size)::BIGINT / any_value(source_size) AS votes, ceil(sum(size) / {BLOCK})::BIGINT AS n

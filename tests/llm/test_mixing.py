@@ -44,3 +44,32 @@ def test_rows_that_share_a_key_are_all_mixed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     texts = sorted(r.text for r in mx.mixed_texts(docs, budget=1.0, most=1).collect())
     assert texts == sorted(t for _, t, _ in rows)
+
+
+def test_a_key_with_half_of_all_rows_is_dealt_out(spark):
+    key = F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).cast("bigint")
+    docs = spark.range(40_000).select(key.alias("doc_id"), F.when(F.col("id") < 10_000, F.lit("one two")).otherwise(F.repeat(F.lit("w "), (F.col("id") % 50).cast("int"))).alias("text"), F.lit("a").alias("source"))
+    seen = {}
+    plain = mx.apportion
+
+    def spy(parties, within, *a):
+        if within == ["source"]:
+            seen.update(n=parties.count(), largest=parties.agg(F.max("shard_size")).first()[0], total=parties.agg(F.sum("shard_size")).first()[0])
+        return plain(parties, within, *a)
+
+    mx.apportion = spy
+    try:
+        found = mx.mix(docs, shard_docs=1000, together=32)
+    finally:
+        mx.apportion = plain
+    rows = found.agg(F.count("*"), F.sum("taken"), F.sum("size"), F.max(F.col("taken") - 2 * F.col("size"))).first()
+    assert rows[0] == 40_000 and abs(rows[1] - 1.5 * rows[2]) <= 40 * mx.BLOCK and rows[3] <= 0  # a block of each shard
+    assert seen["n"] == 40 and seen["largest"] < 3 * seen["total"] / 40
+
+
+def test_copies_take_their_turns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 7 + [(2, "d e", "s")] * 3, "doc_id long, text string, source string")
+    found = sorted((r.doc_id, r.size, r.taken) for r in mx.mix(docs, budget=0.5, block=1, together=2).collect())
+    assert len(found) == 10 and abs(sum(t for *_, t in found) - 0.5 * 27) <= 1
+    texts = [r.text for r in mx.mixed_texts(docs, budget=0.5, block=1).collect()]
+    assert sum(len(t.split()) for t in texts) == sum(t for *_, t in found)
