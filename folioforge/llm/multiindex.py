@@ -5,12 +5,13 @@ pairs of centroids by summed distance with a heap, until the cells it has seen h
 reranked by the exact distance.
 
 The inverted lists are dealt by their first centroid: entries lie by (first centroid, part), where a large list has several
-parts, and a query goes only to the first centroids it visits, with a bit for each second centroid. Queries that visit one
-first centroid meet it in blocks. So no task holds more than one part of a list and one block of queries.
+parts, and travel once; a query goes to the parts of the first centroids that it visits, with a bit for each second centroid.
+Within a task a part's entries come first and its queries stream past them, so a task holds one part and a block of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from heapq import heappop, heappush
@@ -19,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from folioforge.plans.lineage import cut_lineage
+
 #: Centroids of each half; vectors that the centroids are learnt from, at most.
 CENTROIDS, SAMPLE_ROWS = 32, 20_000
 
@@ -26,8 +29,8 @@ CENTROIDS, SAMPLE_ROWS = 32, 20_000
 #: nearest of 50,000 are spread over a third to half of all cells; see README for recall by share.
 SHARE, LEAST = 0.6, 2_000
 
-#: Entries of a part, and queries of a block, about; different lengths of vectors in one table at most.
-ENTRY_BLOCK, QUERY_BLOCK, LENGTHS = 16_384, 4_096, 32
+#: Entries of a part, about; queries worked on at once; lengths of vectors from which on each one's result is kept by a checkpoint.
+ENTRY_BLOCK, QUERY_BLOCK, LENGTHS = 32_768, 4_096, 8
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,14 +182,12 @@ def search(
 
     Keys are integers; rows with the query's own key are no candidates. Rows that :func:`usable` leaves out take no part on either
     side; repeated rows are candidates each. Between vectors of different lengths there is no distance: each length is a search of
-    its own, with an index of its own (a table may have up to LENGTHS lengths, else this raises). An empty side gives an empty result;
-    extra columns are left out.
+    its own, with an index of its own, one after another. An empty side gives an empty result; extra columns are left out.
     """
     rows, wanted = usable(vectors, key, vector), usable(queries, key, vector)
-    dims = sorted(r.n for r in wanted.select(F.size("v").alias("n")).distinct().limit(LENGTHS + 1).collect())
-    if len(dims) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
-    found = [_search(rows.where(F.size("v") == n), wanted.where(F.size("v") == n), n, k, centroids, sample, share, least, entry_block, query_block) for n in dims]
+    dims = sorted(r.n for r in wanted.select(F.size("v").alias("n")).distinct().collect())
+    kept = cut_lineage if len(dims) > LENGTHS else lambda df: df
+    found = [kept(_search(rows.where(F.size("v") == n), wanted.where(F.size("v") == n), n, k, centroids, sample, share, least, entry_block, query_block)) for n in dims]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     best = reduce(DataFrame.union, found)
@@ -202,26 +203,37 @@ def _search(rows: DataFrame, wanted: DataFrame, dim: int, k: int, centroids: int
     n_second = len(index.second)
     lists = index.sizes.reshape(-1, n_second).sum(1)  # entries by first centroid
     parts = [max(1, -(-int(n) // entry_block)) for n in lists]
-    blocks = max(1, -(-wanted.count() // query_block))
-    dealt = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     of_first = lambda c: F.get(F.array(*map(F.lit, parts)), c)
-
     entries = with_cells(rows, index, dim).withColumn("first", F.floor(F.col("cell") / n_second).cast("int"))
-    left = entries.select("key", "v", "cell", "first", dealt(of_first("first")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    seen = with_visits(wanted.repartition("key"), index, max(least, int(share * index.sizes.sum())), dim)
-    right = seen.select("key", "v", "seen", "first", F.explode(F.sequence(F.lit(0), of_first("first") - 1)).alias("part"), dealt(F.lit(blocks)).alias("block"))
-
-    def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if x.num_rows and q.num_rows:
-            visits = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in q["seen"].to_pylist()]), axis=1).astype(bool)
-            found = nearest_in_block(
-                x["key"].to_numpy(), _vectors(x["v"], dim), x["cell"].to_numpy() % n_second, q["key"].to_numpy(), _vectors(q["v"], dim), visits, k
-            )
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    by = ("first", "part", "block")
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+    entries = entries.select("first", F.pmod(F.xxhash64("key"), of_first("first")).cast("int").alias("part"), F.lit(0).alias("asks"), "key", "v", (F.col("cell") % n_second).alias("second"), F.lit(None).cast("binary").alias("seen"))
+    visits = with_visits(wanted.repartition("key"), index, max(least, int(share * index.sizes.sum())), dim)
+    visits = visits.select("first", F.explode(F.sequence(F.lit(0), of_first("first") - 1)).alias("part"), F.lit(1).alias("asks"), "key", "v", F.lit(None).cast("int").alias("second"), "seen")
+    both = entries.unionByName(visits).repartition("first", "part").sortWithinPartitions("first", "part", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, part = None, [], None
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy() for c in ("first", "part", "asks")])
+            cuts = [0, *(np.flatnonzero((np.diff(group) != 0).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                rows, (first, nth, asks) = batch.slice(a, b - a), group[:, a].tolist()
+                if (first, nth) != here:
+                    here, held, part = (first, nth), [], None
+                if not asks:
+                    held.append((rows.column("key").to_numpy(), _vectors(rows.column("v"), dim), rows.column("second").to_numpy()))
+                    continue
+                if not held:  # the part is empty
+                    continue
+                part = part or tuple(np.concatenate(x) for x in zip(*held))
+                for i in range(0, rows.num_rows, query_block):
+                    q = rows.slice(i, query_block)
+                    bits = np.unpackbits(np.array([np.frombuffer(x, np.uint8) for x in q.column("seen").to_pylist()]), axis=1).astype(bool)
+                    found = nearest_in_block(*part, q.column("key").to_numpy(), _vectors(q.column("v"), dim), bits, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return both.mapInArrow(run, schema)
 
 
 def op7_multi_index(spark, sf_dir: str) -> DataFrame:

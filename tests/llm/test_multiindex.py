@@ -82,3 +82,11 @@ def test_edges(spark):
     assert [r.vec_id for r in found if r.query_id == 0] == [1, 8, 8]
     assert mi.search(df.limit(0), df.limit(0)).count() == 0
     assert mi.search(df, df.limit(0)).count() == 0
+
+
+def test_many_lengths(spark):
+    rows = [(100 * n + i, [float(i + j) for j in range(n)]) for n in range(1, 12) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mi.search(df, df.where("vec_id % 100 = 1")).collect()
+    assert sorted({r.query_id for r in found}) == [100 * n + 1 for n in range(1, 12)]
+    assert all(r.vec_id // 100 == r.query_id // 100 for r in found) and len(found) == 22 - sum(1 for n in range(1, 12) if all(x == 0 for x in rows[3 * (n - 1)][1]))
