@@ -34,6 +34,12 @@ def topic_clusters(spark, d):
     return cluster.topic_clusters(docs, cluster.class_edges(grams, "doc_id", LEAST), "doc_id")
 
 
+def topic_clusters_low(spark, d):
+    """All documents at the operator's own Dice, where nearly all of a language link to all."""
+    grams = cluster.gram_sets(_cluster_source(spark, d).withColumn("i", F.lit(0)), "doc_id", ["i"], "text")
+    return cluster.linked_clusters(grams, "doc_id")
+
+
 def scan_windows(spark, d):
     docs = _cluster_source(spark, d)
     grams = cluster.gram_sets(docs.withColumn("i", F.lit(0)), "doc_id", ["i"], "text")
@@ -159,7 +165,7 @@ def log_report(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (gram_sets, topic_edges, topic_clusters, scan_windows, greedy_windows, locate_apply, status_fold, exact_trace, overlap_top10, trace_fallback5, trace_cascade, trace_context, source_ref_list, json_lists, event_props, recent5_eta, chat_last20, ring_buffer, progress_curve, conv_chars, log_report)}
+QUERIES = {f.__name__: f for f in (gram_sets, topic_edges, topic_clusters, topic_clusters_low, scan_windows, greedy_windows, locate_apply, status_fold, exact_trace, overlap_top10, trace_fallback5, trace_cascade, trace_context, source_ref_list, json_lists, event_props, recent5_eta, chat_last20, ring_buffer, progress_curve, conv_chars, log_report)}
 
 _sets = f"SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2))) AS g FROM (SELECT doc_id, {_bare('text')} AS b FROM documents)"
 _edges = f"""s AS ({_sets}), kl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(list_sort(g), chr(0))) AS first FROM s WHERE len(g) > 0),
@@ -167,6 +173,8 @@ w AS (SELECT doc_id, unnest(g) AS gram, len(g) AS n FROM s JOIN kl USING (doc_id
 e AS (SELECT x.doc_id AS a, y.doc_id AS b, 2.0::DOUBLE * count(*) / (x.n + y.n) AS dice FROM w x JOIN w y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 2.0::DOUBLE * count(*) / (x.n + y.n) >= {LEAST}
   UNION ALL SELECT first, doc_id, 1.0 FROM kl WHERE doc_id <> first)"""
 _cc = f"{_edges}, l AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), r(n, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.v, r.m FROM r JOIN l ON l.u = r.n WHERE r.m < l.v), c AS (SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY n)"
+#: The smallest source within twelve links; documents that link at a low Dice lie nearer to each other.
+_SPREAD = ", ".join(f"n{i + 1} AS MATERIALIZED (SELECT n, least(any_value(m), min(o)) AS m FROM (SELECT x.n, x.m, y.m AS o FROM n{i} x LEFT JOIN l ON u = x.n LEFT JOIN n{i} y ON y.n = v) GROUP BY n)" for i in range(12))
 _sel = "(SELECT trim(substring(text, 101, 60)) FROM documents WHERE doc_id = 3)"
 
 
@@ -178,6 +186,7 @@ ORACLES = {
     "gram_sets": f"SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(1, length(b))), lambda i: substring(b, i::BIGINT, 2))))::BIGINT AS n FROM (SELECT doc_id, {_bare('text')} AS b FROM documents) WHERE length(b) > 1",
     "topic_edges": f"WITH {_edges} SELECT a, b, round(dice, 6) AS dice FROM e",
     "topic_clusters": f"WITH RECURSIVE {_cc} SELECT doc_id, cluster FROM c",
+    "topic_clusters_low": f"WITH {_edges.replace(str(LEAST), str(cluster.LEAST_DICE))}, l AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), n0 AS (SELECT doc_id AS n, doc_id AS m FROM kl), {_SPREAD} SELECT n AS doc_id, m AS cluster FROM n12",
     "scan_windows": f"WITH RECURSIVE {_cc}, k AS (SELECT cluster, doc_id, length(text) AS size FROM c JOIN documents USING (doc_id) WHERE cluster IN (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 2)), {_windows('SELECT * FROM k', 'cluster', 'doc_id', 4000)} SELECT cluster, max(w) AS n_windows, sum(size)::BIGINT AS size FROM f GROUP BY cluster",
     "greedy_windows": f"WITH RECURSIVE p AS ({_p()}), {_windows('SELECT doc_id, paragraph, length(t) AS size FROM p', 'doc_id', 'paragraph', 1500)} SELECT doc_id, paragraph, w AS \"window\" FROM f",
     "locate_apply": "SELECT seq, variant, line FROM (SELECT l_orderkey AS seq, l_linenumber::BIGINT AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS variant FROM lineitem) WHERE variant = 2 AND seq IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)",

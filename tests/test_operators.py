@@ -220,6 +220,53 @@ def test_equal_sets_are_one_class(spark):
     assert {r.id: r.cluster for r in found} == {**{i: 0 for i in range(50)}, 90: 0, 91: 91}
 
 
+def test_clusters_without_all_links(spark):
+    rng = random.Random(8)
+    for letters, most, least in (("abcdefghijkl", 9, 0.12), ("abcdefghijklmnopqrstuvwxyz", 4, 0.4), ("abcdefghijklmnopqrstuvwxyz", 6, 0.75), ("abcdefghijklmnopqrstuvwxyz", 3, 1.0)):
+        sets = {i: set(rng.sample(letters, rng.randint(1, most))) for i in range(60)}
+        parent = {i: i for i in sets}
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a in sets:
+            for b in sets:
+                if a < b and 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])) >= least:
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+        df = spark.createDataFrame([(i, g) for i, s in sets.items() for g in s], "id int, gram string")
+        assert {r.id: r.cluster for r in cluster.linked_clusters(df, "id", least, tries=1, rounds=3).collect()} == {i: root(i) for i in sets}
+    assert cluster.linked_clusters(df.limit(0), "id").count() == 0
+
+
+def plain_windows(rows, most):
+    """(key, order, size) rows in order."""
+    found, open_ = {}, {}
+    for k, i, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        n = n or 0
+        used, nr = open_.get(k, (0, 0))
+        used, nr = (n, nr + 1) if not nr or used + n > most else (used + n, nr)
+        open_[k] = used, nr
+        found[k, i] = nr
+    return found
+
+
+def test_windows_of_keys_that_lie_in_many_tasks(spark):
+    rng = random.Random(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (1, 7, 50, 10_000):
+            rows = [(rng.choice([None, 1, 1, 1, 1, 2, 3]), i, rng.choice([None, 0, 0, 1, 3, 9, 40])) for i in range(400)]
+            df = spark.createDataFrame(rows, "k int, i int, n int").repartition(3)
+            got = {(r.k, r.i): r.window for r in cluster.greedy_windows(df, "k", ["i"], "n", most).collect()}
+            assert got == plain_windows(rows, most)
+        assert cluster.greedy_windows(df.limit(0), "k", ["i"], "n", 5).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_windows_stream_in_order(spark):
     rows = spark.createDataFrame([(1, i, 200) for i in range(3)] + [(2, 0, 900), (2, 1, 1), (3, 0, None)], "k int, i int, n int")
     found = {(r.k, r.i): r.window for r in cluster.greedy_windows(rows, "k", ["i"], "n", 500).collect()}
