@@ -230,8 +230,8 @@ def apply_edits(text: Column, edits: Column) -> Column:
 
 
 def tag_list(text: Column) -> Column:
-    """Tags as typed: cut at commas of either width, enumeration commas and the letter ``s`` (as the original has it), trimmed."""
-    return F.filter(F.transform(F.split(text, "[,，、s]+", -1), trim_ws), lambda t: t != "")
+    """Tags as typed: cut at commas of either width, enumeration commas and white space."""
+    return F.filter(F.split(F.translate(text, WS_CHARS, " " * len(WS_CHARS)), "[,，、 ]+", -1), lambda t: t != "")
 
 
 def marker(seq: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioforge.functions import text as tx
-from folioforge.plans.sizes import broadcast_if_small
+from folioforge.plans.lineage import cut_lineage
 
 
 def library_scan(sources: DataFrame, cached: DataFrame, key: str, newest: str) -> DataFrame:
@@ -165,10 +165,15 @@ def seed_if_untouched(table: DataFrame, presets: DataFrame, preset: str) -> Data
 
 
 def match_skills(titles: DataFrame, skills: DataFrame, title: str, name: str, tags: str) -> DataFrame:
-    """Pairs of a title and a skill whose name, or one of whose tags, the title without white space contains."""
-    bare = titles.withColumn("_bare", tx.strip_ws(F.col(title)))
-    hit = F.contains("_bare", F.col(name)) | F.exists(tags, lambda t: F.contains("_bare", t))
-    return bare.join(broadcast_if_small(skills), hit).drop("_bare")
+    """Pairs of a title and a skill whose name, or one of whose tags, the title without white space contains. Both meet by the first two
+    characters of a name or tag, which the title must have; what meets is compared. An empty name or tag matches nothing."""
+    bare = cut_lineage(titles.withColumns({"_bare": tx.strip_ws(F.col(title)), "_title": F.monotonically_increasing_id()}))
+    terms = F.filter(F.array_distinct(F.concat(F.array(name), F.coalesce(F.col(tags), tx.none()))), lambda t: F.coalesce(t, F.lit("")) != "")
+    own = cut_lineage(skills.withColumn("_skill", F.monotonically_increasing_id()))
+    begins = own.select("_skill", F.explode(terms).alias("_term")).withColumn("_gram", F.left("_term", F.lit(2)))
+    grams = F.array_distinct(F.concat(tx.pairs(F.col("_bare")), F.regexp_extract_all("_bare", F.lit("(?s)."), F.lit(0))))
+    met = bare.select("_title", "_bare", F.explode(grams).alias("_gram")).join(begins, "_gram").where(F.contains("_bare", F.col("_term")))
+    return met.select("_title", "_skill").distinct().join(bare.drop("_bare"), "_title").join(own, "_skill").drop("_title", "_skill")
 
 
 def valid_ids(rows: DataFrame, valid: DataFrame, key: str, ids: str, id_col: str) -> DataFrame:

@@ -38,6 +38,15 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm == 0, d).otherwise(F.transform(d, lambda x: x / norm))
 
 
+def mean_pooled(tokens: Column, mask: Column | None = None) -> Column:
+    """The mean of token vectors of one length, those that ``mask`` (one number a token) counts, scaled to length 1; null for none."""
+    pairs = F.arrays_zip(tokens.cast("array<array<double>>").alias("v"), (mask if mask is not None else F.transform(tokens, lambda _: F.lit(1))).cast("array<double>").alias("m"))
+    kept = F.filter(pairs, lambda x: x["m"] > 0)
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.transform(F.get(kept, F.lit(0))["v"], lambda x: x * F.get(kept, F.lit(0))["m"]), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b * x["m"]))
+    weight = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["m"])
+    return F.when(F.size(kept) > 0, tx.bound(F.transform(total, lambda x: x / weight), l2_normalised))
+
+
 def float_bytes(v: Column) -> Column:
     """A binary of little-endian 32-bit floats from a vector without nulls. Zero, infinities and values below the normal range included."""
 
@@ -76,9 +85,11 @@ def _float_of(w: Column) -> Column:
     return (sign * F.when(exponent == 0, small).when(exponent == 255, special).otherwise(normal)).cast("float")
 
 
-def vector_search(chunks: DataFrame, query: Sequence[float], vector: str, least: float | None = None, limit: int | None = None, tie: str | None = None) -> DataFrame:
-    """``chunks`` with ``cosine`` to the query vector, over ``least`` if given, the best ``limit`` if given. The vector is a constant of the
-    scan, so there is no join."""
+def vector_search(chunks: DataFrame, query: Sequence[float], vector: str, least: float | None = None, limit: int | None = None, tie: str | None = None, model: tuple[str, str] | None = None) -> DataFrame:
+    """``chunks`` with ``cosine`` to the query vector, over ``least`` if given, the best ``limit`` if given. With ``model``, a column and the
+    name of the model that made the query's vector, only that model's vectors count: those of two models have no angle. The vector is a
+    constant of the scan, so there is no join."""
+    chunks = chunks.where(F.col(model[0]) == model[1]) if model else chunks
     q = F.array(*[F.lit(float(x)) for x in query])
     found = chunks.withColumn("cosine", cosine(F.col(vector), q))
     if least is not None:

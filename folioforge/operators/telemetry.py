@@ -123,6 +123,16 @@ def summarise(pending: DataFrame, key: str, text: str, client: Callable[[str, fl
     return called.where(F.get_json_object(j, "$.summary").isNotNull()).select(key, F.get_json_object(j, "$.summary").alias("summary"), words("keywords").alias("keywords"), words("entities").alias("entities"))
 
 
+def log_pages(lines: DataFrame, by: list[str], order: str, line: str, rows: int = 1_000) -> DataFrame:
+    """``(by, page, n, text)``: a log's lines in order, in pages of at most ``rows`` lines from 1 on, each with a header of its own. Lines are
+    numbered as a stream; what is put together is one page."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    paged = lines.select(*by, order, line, (F.floor((nth - 1) / rows) + 1).cast("bigint").alias("page"))
+    found = paged.groupBy(*by, "page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(line).alias("_line")))), lambda x: x["_line"]), "\n").alias("_lines"))
+    head = F.concat(F.lit("# "), F.concat_ws(" ", *[F.col(c).cast("string") for c in by]), F.lit(" / "), F.col("page").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit("\n"))
+    return found.select(*by, "page", "n", F.concat(head, "_lines").alias("text"))
+
+
 def render_materials(chunks: DataFrame, key: str, order: list[str], source: str, title: str, position: str, text: str) -> DataFrame:
     """``(key, materials)``: the chunks of each task as numbered blocks with their source, title and place."""
     block = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("]（sourceId: "), F.col(source).cast("string"), F.lit("，标题：《"), F.col(title), F.lit("》，位置："), F.col(position), F.lit("）\n"), F.col(text))

@@ -155,14 +155,10 @@ def conv_chars(spark, d):
 
 
 def log_report(spark, d):
-    """Reports by type and hour, pages of a bounded size: a header, a line for each call, and its payload."""
-    ev = table(spark, d, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit("\n"), "props").alias("line"))
-    text = ev.groupBy("event_type", "hour").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    report = F.concat(F.lit("# "), "event_type", F.lit(" "), F.date_format("hour", "yyyy-MM-dd HH"), F.lit(": "), F.col("n").cast("string"), F.lit("\n"), "lines")
-    return text.select("event_type", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.sha2(report, 256).alias("hash"))
-
-
-
+    """Reports by type and day in pages: a header, a line for each call, and its payload."""
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit("\n"), "props")
+    calls = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", line.alias("line"))
+    return telemetry.log_pages(calls, ["event_type", "day"], "event_id", "line", 50).select("event_type", "day", "page", "n", F.sha2("text", 256).alias("hash"))
 
 
 QUERIES = {f.__name__: f for f in (gram_sets, topic_edges, topic_clusters, topic_clusters_low, scan_windows, greedy_windows, locate_apply, status_fold, exact_trace, overlap_top10, trace_fallback5, trace_cascade, trace_context, source_ref_list, json_lists, event_props, recent5_eta, chat_last20, ring_buffer, progress_curve, conv_chars, log_report)}
@@ -204,5 +200,5 @@ ORACLES = {
     "ring_buffer": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000",
     "progress_curve": "SELECT conv_id, turn, round(100.0::DOUBLE * count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY conv_id), 6) AS percent FROM conversations",
     "conv_chars": "SELECT conv_id, length(to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR) AS n_chars FROM conversations GROUP BY conv_id",
-    "log_report": "SELECT event_type, hour, sha256('# ' || event_type || ' ' || hour || ': ' || count(*) || chr(10) || string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || event_type || ' ' || user_id || chr(10) || props, chr(10) ORDER BY event_id)) AS hash FROM (SELECT *, strftime(ts, '%Y-%m-%d %H') AS hour FROM events) GROUP BY event_type, hour",
+    "log_report": "WITH l AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || event_type || ' ' || user_id || chr(10) || props AS line FROM events), p AS (SELECT *, (row_number() OVER (PARTITION BY event_type, day ORDER BY event_id) - 1) // 50 + 1 AS page FROM l) SELECT event_type, day, page, count(*) AS n, sha256('# ' || event_type || ' ' || day || ' / ' || page || ': ' || count(*) || chr(10) || string_agg(line, chr(10) ORDER BY event_id)) AS hash FROM p GROUP BY event_type, day, page",
 }

@@ -376,7 +376,7 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "marker_extract": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x > 0), ',') AS seqs FROM ({MARKED})",
     "marker_remove": f"SELECT id, sha256(replace(t, '【矛盾#1】', '')) AS hash FROM ({MARKED})",
     "strip_tag_prefix": f"SELECT id, sha256(CASE WHEN starts_with(t, '[tag:') THEN regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', '') ELSE t END) AS hash FROM ({TAGGED})",
-    "tag_split": "SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_name || '，' || p_brand || '，' || p_type, '[,，、s]+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM part",
+    "tag_split": f"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name || '，' || p_brand || '，' || p_type, '[,，、 \\t\\n]+'), lambda x: x <> ''), '|') AS tags FROM part",
     "resolve_refs": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '#([0-9]+)', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 5), ',') AS refs, array_to_string(list_transform(list_filter(string_split(regexp_replace(t, '(#[1-5])\\b', '|\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^#[1-5]$') THEN 'r:' ELSE 't:' END || x), '|') AS tokens FROM ({REFS})",
     "json_repair": f"SELECT id, CASE WHEN id % 6 IN (0, 1, 4) THEN props WHEN id % 6 = 3 THEN regexp_extract(t, '\\[.*\\]') END AS json FROM ({REPLIES})",
     "parse_outputs": f"SELECT id, CASE id % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'error' ELSE 'null' END AS kind, CASE WHEN id % 3 = 0 THEN json_extract_string(t, '$.title') END AS title FROM ({OUTPUTS})",

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html as hx
 from folioforge.functions.text import trim_ws
-from folioforge.operators import cdc, retrieval
+from folioforge.operators import cdc, crawl, retrieval
 from folioforge.operators.versions import Change, Tables, cascade
 from folioforge.plans.lineage import shared_folder
+from folioforge.sources import files
 from folioforge.queries.tables import derived, duck, table
 from folioforge.queries.text import LEXICAL, W
 
@@ -101,8 +102,33 @@ def cascade_commit(spark, d):
 
 
 def ingest_status(spark, d):
-    docs = table(spark, d, "documents").select("source", F.when(F.length("text") < 40, "PARSE_EMPTY").alias("error_code"))
-    return docs.groupBy("source").agg(F.count_if(F.col("error_code").isNull()).alias("ok"), F.count_if(F.col("error_code").isNotNull()).alias("failed"))
+    """Documents as files of several kinds, through the parsers: what was read, by kind and error. A text is no Word file or sheet."""
+    name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".MD", ".docx", ".xlsx", ".pdf"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    data = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("504B0304")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    got = files.parse(table(spark, d, "documents").select(name.alias("path"), F.md5("text").alias("hash"), data.alias("content")))
+    kind = F.lower(F.regexp_extract("path", "\\.([A-Za-z]+)$", 1))
+    return got.groupBy(kind.alias("kind"), "error_code").agg(F.count("*").alias("n"))
+
+
+def mean_pool(spark, d):
+    """Three token vectors made of each stored one, the third masked."""
+    v = F.col("embedding").cast("array<double>")
+    pooled = retrieval.mean_pooled(F.array(v, F.reverse(v), F.transform(v, lambda x: x * 100)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(pooled, F.lit(0)), 6).alias("first"), F.round(F.get(pooled, F.lit(5)), 6).alias("sixth"))
+
+
+def vector_model(spark, d):
+    """The nearest of the vectors that one of two models made, among every other source."""
+    e = table(spark, d, "embeddings").withColumn("model_id", F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))
+    scope = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"))
+    found = retrieval.vector_search(e.join(scope, "vec_id", "left_semi"), _query_vector(spark, d), "embedding", limit=20, tie="vec_id", model=("model_id", "m1"))
+    return found.select("vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+def crawl_new(spark, d):
+    """Pages that a second crawl finds and the store lacks."""
+    pages = table(spark, d, "pages").select(hx.url_key(F.col("url")).alias("key"), F.length("html").alias("n"))
+    return crawl.new_only(pages.select("key"), table(spark, d, "pages").where("page_id % 3 = 0").select(hx.url_key(F.col("url")).alias("key")), "key")
 
 
 def strip_tags(spark, d):
@@ -144,7 +170,7 @@ def import_pages(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, content_hash, cdc_diff, cdc_moves, cdc_screen, cascade_commit, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, l2_normalize, hybrid_retrieve, content_hash, cdc_diff, cdc_moves, cdc_screen, cascade_commit, mean_pool, vector_model, crawl_new, ingest_status, strip_tags, clean_html, crawl_links, resolved_links, url_dedupe, article_urls, page_size_cap, import_pages)}
 
 _v = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _cos = f"list_cosine_similarity(embedding::DOUBLE[], {_v})"
@@ -187,7 +213,10 @@ ORACLES = {
     "cdc_moves": f"WITH g AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_old}) WHERE path NOT IN (SELECT path FROM ({_new}))), c AS (SELECT path, h, row_number() OVER (PARTITION BY h ORDER BY path) AS n FROM ({_new}) WHERE path NOT IN (SELECT path FROM ({_old}))) SELECT g.h AS hash, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.h = c.h AND g.n = c.n",
     "cdc_screen": "WITH k AS (SELECT 'dir/' || doc_id AS path, doc_id AS m, n_chars AS s FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT 'dir/' || doc_id AS path, doc_id + (doc_id % 13 = 0)::INT AS m, n_chars AS s FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(k.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN k.m = n.m AND k.s = n.s THEN 'same' ELSE 'open' END AS state FROM k FULL JOIN n ON k.path = n.path",
     "cascade_commit": "WITH c AS (SELECT * FROM customer WHERE c_nationkey % 3 <> 0), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 3 = 0)), l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders ANTI JOIN o USING (o_orderkey))) SELECT 'customer' AS name, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM c UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_quantity)::BIGINT FROM l",
-    "ingest_status": "SELECT source, count_if(length(text) >= 40)::BIGINT AS ok, count_if(length(text) < 40)::BIGINT AS failed FROM documents GROUP BY source",
+    "ingest_status": "SELECT ['txt', 'md', 'docx', 'xlsx', 'pdf'][doc_id % 5 + 1] AS kind, CASE doc_id % 5 WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'PARSE_FAILED' ELSE 'PARSE_UNSUPPORTED' END WHEN 3 THEN 'PARSE_FAILED' WHEN 4 THEN 'PARSE_UNSUPPORTED' END AS error_code, count(*) AS n FROM documents GROUP BY ALL",
+    "mean_pool": "WITH p AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE + embedding[len(embedding) + 1 - i]::DOUBLE) / 2) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[6] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS sixth FROM p",
+    "vector_model": f"SELECT vec_id, round({_cos}, 6) AS cosine FROM embeddings WHERE vec_id % 3 = 1 AND vec_id % 2 = 0 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY {_cos} DESC, vec_id LIMIT 20",
+    "crawl_new": "WITH k AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '/+$', '') AS key FROM pages) SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE page_id % 3 = 0)",
     "strip_tags": f"SELECT page_id, sha256({_strip('html')}) AS hash FROM ({duck(MEANT)})",
     "clean_html": f"SELECT page_id, sha256({_clean('html')}) AS hash FROM ({duck(MEANT)})",
     "crawl_links": _links("pages", "page_id"),
