@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.operators import cdc
 from folioforge.plans.lineage import cut_lineage
+from folioforge.sources.sheets import cells
 
 Parser = Callable[[bytes], str]
 
@@ -29,29 +30,13 @@ def parse_docx(data: bytes) -> str:
 
 
 def parse_xlsx(data: bytes) -> str:
-    """A line for each sheet's name, then one for each cell that isn't empty."""
-    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    book = zipfile.ZipFile(io.BytesIO(data))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{m}si")]
-    out = []
-    r = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    target = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in book.namelist() else {}
-    for i, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{m}sheet"), 1):
-        out.append(f"【工作表：{sheet.get('name')}】")
-        place = target.get(sheet.get(r), f"worksheets/sheet{i}.xml")  # a book without relationships has its sheets in order
-        for c in ElementTree.fromstring(book.read(place.lstrip("/") if place.startswith("/") else f"xl/{place}")).iter(f"{m}c"):
-            value = c.find(f"{m}v")
-            text = "".join(t.text or "" for t in c.iter(f"{m}t")) if value is None else value.text or ""
-            if c.get("t") == "s" and text:
-                text = shared[int(text)]
-            letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
-            column = 0
-            for x in letters:
-                column = column * 26 + ord(x) - 64
-            if text:
-                out.append(f"第{row}行第{column}列：{text}")
+    """A line for each sheet's name, then one for each cell that shows something."""
+    out, now = [], None
+    for sheet, row, column, text in cells(data):
+        if sheet != now:
+            out.append(f"【工作表：{sheet}】")
+            now = sheet
+        out.append(f"第{row}行第{column}列：{text}")
     return "\n".join(out)
 
 
