@@ -278,7 +278,8 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     """``(key, spans)`` of every row: array<struct(kind, start, end, base, probability)>, by kind, then place.
 
     Base spans always stay. Of the others, those stay that the classifier gives at least ``least`` and that overlap no base span.
-    A null, empty or clean text has no spans. Repeated rows stay; extra columns are left out; an empty table gives an empty
+    Added spans of one kind don't overlap, since one proposer adds it; those of two kinds may share a place, and both are reported, each
+    found by its own labelers, so that what either covers is known. A null, empty or clean text has no spans. Repeated rows stay; extra columns are left out; an empty table gives an empty
     result. There is no shuffle of texts or spans: only counts of vote patterns meet.
     """
     found = cut_lineage(labelled_spans(docs, key, text))

@@ -126,3 +126,14 @@ def test_edges_and_plan(spark, data):
 @pytest.mark.parametrize("kind", range(pii.N_BASE))
 def test_kinds_have_rules(kind):
     assert pii.PROPOSERS[kind][0] == pii.KINDS[kind]
+
+
+def test_added_spans_of_two_kinds_may_share_a_place(spark):
+    rows = [(i, f"please call (212) 555-12{i:02d} or phone 646-555-13{i:02d}") for i in range(20)] + [(50 + i, f'api token = "{hashlib.sha1(bytes([i])).hexdigest()}"') for i in range(20)]
+    rows += [(100, "phone key=646-555-1399 call"), (101, "phone key=646-555-1398 call")]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        for a, b in itertools.combinations(r.spans, 2):
+            assert a.kind != b.kind or a.end <= b.start or b.end <= a.start
+    both = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found if r.doc_id >= 100}
+    assert all((pii.KINDS.index("phone"), 10, 22) in v and len(v) == len(set(v)) for v in both.values())
