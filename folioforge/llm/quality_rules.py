@@ -107,7 +107,7 @@ def ratio_score(bins: Column, ratios: list[float]) -> Column:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)`` of every row.
+    """``(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score)`` of every row.
 
     A document fails the base rules if it has under 50 words or if over half of them are repeated; it is kept if it doesn't
     fail and its score is at least ``threshold``. Null texts count as empty and fail. Repeated rows stay and count each; extra
@@ -118,7 +118,7 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
         F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"),
+        failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score",
     )
 
 
