@@ -46,7 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2. Tokens of every text that the mix took, and whether they decode to the text again."""
+    """Operator 2. Tokens of every text that the mix took, and whether they decode to the text again: ``(doc_id, source, lang, n_tokens,
+    ids, exact)``, a row for each row. A null text is empty and has no tokens; for it ``exact`` is null. Other columns, the text among
+    them, are left out."""
     path, pattern = bpe.public_ranks()
     found = bpe.decode(bpe.encode(docs.select(F.struct("doc_id", "source", "lang", F.sha2("text", 256).alias("sha")).alias("row"), "text"), path, pattern, key="row"), path, pattern, key="row")
     return found.select("row.doc_id", "row.source", "row.lang", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.sha2("raw", 256) == F.col("row.sha")).alias("exact"))

@@ -132,6 +132,17 @@ def patch(base: DataFrame, changes: DataFrame, key: str, column: str) -> DataFra
     return base.join(c, key, "left").withColumn(column, F.when(F.col("_given"), F.col("_value")).otherwise(F.col(column))).drop("_value", "_given")
 
 
+def patch_columns(base: DataFrame, changes: DataFrame, key: str, given: str, order: str | None = None) -> DataFrame:
+    """Partial update of several columns: of the rows in ``changes`` those columns change that its array ``given`` names, and null is a
+    value; other names in it mean nothing. Of changes with one key the last by ``order`` counts, any one without it; a null key changes
+    nothing."""
+    last = latest_per_key(changes, key, F.desc(order)) if order else changes.dropDuplicates([key])
+    columns = [c for c in base.columns if c != key and c in changes.columns]
+    new = last.select(key, F.col(given).alias("_given"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    named = lambda c: F.coalesce(F.array_contains("_given", c), F.lit(False))
+    return base.join(new, key, "left").select(*[F.when(named(c), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
+
+
 def cascade(tables: dict[str, DataFrame], edges: Sequence[tuple[str, str, str, str, str]], root: str, gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Delete ``gone`` from ``root`` and what hangs on it. An edge is (parent, parent key, child, foreign key, action), in the order of
     the graph; the action is ``cascade`` or ``set null``."""

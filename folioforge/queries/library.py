@@ -103,6 +103,16 @@ def upsert_new_count(spark, d):
     return lib.count_new(base, delta.union(delta), ["c_custkey"])
 
 
+def patch_columns(spark, d):
+    """Two columns of customers at once, some of either, some set to null; the later of two changes of a customer."""
+    base = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    some = base.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(None).cast(base.schema["c_nationkey"].dataType).alias("c_nationkey"))
+    names = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c_mktsegment"))).otherwise(F.array(F.lit("c_mktsegment"), F.lit("c_nationkey")))
+    first = some.select("*", names.alias("given"), F.lit(1).alias("n"))
+    later = some.where("c_custkey % 5 = 0").withColumn("c_mktsegment", F.lit("LATE")).select("*", F.array(F.lit("c_mktsegment"), F.lit("c_acctbal")).alias("given"), F.lit(2).alias("n"))
+    return lib.patch_columns(base, first.unionByName(later), "c_custkey", "given", "n").select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
 def patch_update(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     changes = rows.where("c_custkey % 4 = 0").select("c_custkey", F.when(F.col("c_custkey") % 8 == 0, F.lit("PATCHED")).alias("value"))
@@ -152,7 +162,7 @@ def array_ops(spark, d):
 
 
 
-QUERIES = {f.__name__: f for f in (library_scan, point_lookup, scope_filter, lookup_in_order, ordered_lists, tag_division, tags_of_source, segment_enrich, pending_summaries, semi_exists, chunks_per_source, insert_ignore, batch_tag_cross, delete_anti, replace_children, upsert_merge, upsert_new_count, patch_update, cascade_delete, contradiction_nested, latest_draft, workspace_status, pending_split, dup_hash_count, array_ops)}
+QUERIES = {f.__name__: f for f in (patch_columns, library_scan, point_lookup, scope_filter, lookup_in_order, ordered_lists, tag_division, tags_of_source, segment_enrich, pending_summaries, semi_exists, chunks_per_source, insert_ignore, batch_tag_cross, delete_anti, replace_children, upsert_merge, upsert_new_count, patch_update, cascade_delete, contradiction_nested, latest_draft, workspace_status, pending_split, dup_hash_count, array_ops)}
 
 ORACLES = {
     "library_scan": "SELECT doc_id, source, lang FROM documents WHERE doc_id % 7 <> 0",
@@ -172,6 +182,7 @@ ORACLES = {
     "replace_children": "SELECT l_orderkey, count(*) AS n, round(sum(qty), 6) AS qty FROM (SELECT l_orderkey, l_quantity::DOUBLE AS qty FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderkey % 5 = 0) GROUP BY l_orderkey",
     "upsert_merge": "SELECT c_custkey, c_name, round(c_acctbal::DOUBLE + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 6) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
     "upsert_new_count": "SELECT count(*) AS n_new FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0",
+    "patch_columns": "SELECT c_custkey, CASE WHEN c_custkey % 15 = 0 THEN 'LATE' WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 AND c_custkey % 5 <> 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer",
     "patch_update": "SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN 'PATCHED' WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 10 = 0) GROUP BY l_returnflag",
     "contradiction_nested": "SELECT l_orderkey AS key, count(*) AS n, min(l_linenumber)::BIGINT AS first_nr, round(sum(l_quantity::DOUBLE), 6) AS qty FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
