@@ -85,3 +85,8 @@ def test_empty_and_clashing_key(spark):
     assert sharding.assign(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.assign(docs.withColumnRenamed("doc_id", "slot2").withColumnRenamed("slot2", "slot"), key="slot")
+
+
+def test_the_plan_stays_in_the_jvm(spark, data):
+    plan = sharding.op11_sharding(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian"))
