@@ -48,6 +48,12 @@ def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def without_tags(title: Column) -> Column:
+    """A title without the ``[tag:...]`` marks in front of it, and trimmed; one without such a start is left as it is."""
+    bare = trim_ws(F.regexp_replace(title, rf"^(?:\[tag:[^\]\r\n]+\]{WS}*)+", ""))
+    return F.when(F.lower(F.left(title, F.lit(5))) == "[tag:", bare).otherwise(title)
+
+
 def pairs(c: Column) -> Column:
     """Neighbouring character pairs, repeats kept, those from even places first; none for fewer than two characters."""
     return F.concat(*[F.regexp_extract_all(F.substring(c, i, 2**31 - 1) if i > 1 else c, F.lit("(?s).."), F.lit(0)) for i in (1, 2)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioforge.functions import html as hx
 from folioforge.functions import text as tx
@@ -44,13 +44,18 @@ def discover(pages: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int =
     return seen, first.select("root", "key", "a.url", "a.title")
 
 
+def holds(title: Column, body: Column, terms: Column) -> Column:
+    """Whether a title and the start of a cleaned body, read as one text, hold a whole term."""
+    return tx.matches_exact(F.left(F.concat_ws("\n", F.coalesce(title, F.lit("")), body), F.lit(BODY_CHARS)), terms)
+
+
 def recall(pages: DataFrame, query: str, title: str, html: str) -> DataFrame:
-    """Pages whose title has to do with the query's topic terms and what they stand for, and of them those whose cleaned body holds a
-    whole term near its start. The cheap test comes first."""
+    """Pages whose title has to do with the query's topic terms and what they stand for, and of them those whose title or cleaned body
+    holds a whole term near the start. The cheap test comes first."""
     terms = tx.topic_terms(F.lit(query))
     terms = F.array_union(terms, tx.expand_terms(terms))
     coarse = pages.where(tx.matches_any(F.col(title), terms))
-    return coarse.where(tx.matches_exact(F.left(hx.clean_html(F.col(html)), F.lit(BODY_CHARS)), terms))
+    return coarse.where(holds(F.col(title), hx.clean_html(F.col(html)), terms))
 
 
 def save_to_task(found: DataFrame, stored: DataFrame, task: str, url: str = "url", task_col: str = "task_id") -> DataFrame:

@@ -132,6 +132,13 @@ def patch(base: DataFrame, changes: DataFrame, key: str, column: str) -> DataFra
     return base.join(c, key, "left").withColumn(column, F.when(F.col("_given"), F.col("_value")).otherwise(F.col(column))).drop("_value", "_given")
 
 
+def untag_titles(sources: DataFrame, key: str, title: str, now: Column) -> DataFrame:
+    """``(key, title, updated_at)`` of rows whose title loses tags that were written into it, for :func:`upsert` or :func:`patch_columns`;
+    rows that stay as they are don't appear. A title that was nothing but tags becomes empty."""
+    bare = sources.select(key, title, tx.without_tags(F.col(title)).alias("_bare"))
+    return bare.where(F.col("_bare") != F.col(title)).select(key, F.col("_bare").alias(title), now.alias("updated_at"))
+
+
 def patch_columns(base: DataFrame, changes: DataFrame, key: str, given: str, order: str | None = None) -> DataFrame:
     """Partial update of several columns: of the rows in ``changes`` those columns change that its array ``given`` names, and null is a
     value; other names in it mean nothing. Of changes with one key the last by ``order`` counts, any one without it; a null key changes

@@ -1,9 +1,9 @@
-"""Adopting a side of a contradiction in a draft: the place found before is replaced, the mark goes, and both the draft's text and the
-contradiction's state change together or not at all."""
+"""Contradictions in drafts: keeping the places that a model found, and adopting a side: its place is replaced, the mark goes, and both
+the draft's text and the contradiction's state change together or not at all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioforge.functions import text as tx
 from folioforge.operators.versions import Change, Tables
@@ -14,6 +14,24 @@ def _empty(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
+def place(contradictions: DataFrame, variants: DataFrame, located: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a model said about places in drafts, as changes of the tables that keep contradictions.
+
+    ``contradictions`` are (contradiction_id, draft_id, seq), ``variants`` (contradiction_id, variant_id) in the order of the columns ``order``,
+    ``located`` (draft_id, nth, seq, quote, merged, replacements), the items of a reply by ``nth``, as ``review.locate`` reads them.
+    Returns ``(contradiction_id, quote, merged, in_draft)`` of those that an item names by draft and seq, and ``(variant_id,
+    replacement)`` of variants that an item names by their number from 1 on. The last item, or replacement, of several for one stands;
+    numbers that nothing has are left out, as is an item without a seq. Of contradictions with one seq in a draft the last by id counts.
+    """
+    known = contradictions.groupBy("draft_id", "seq").agg(F.max("contradiction_id").alias("contradiction_id"))
+    hits = located.select("draft_id", "nth", "seq", F.nullif("quote", F.lit("")).alias("quote"), F.coalesce("merged", F.lit(False)).alias("merged"), "replacements").join(known, ["draft_id", "seq"])
+    last = hits.groupBy("contradiction_id").agg(F.max_by(F.struct("quote", "merged"), "nth").alias("x"))
+    said = hits.select("contradiction_id", "nth", F.posexplode("replacements").alias("_at", "r")).select("contradiction_id", F.col("r.variant").cast("bigint").alias("_n"), F.struct("nth", "_at").alias("_when"), F.col("r.text").alias("text"))
+    numbered = variants.select("contradiction_id", "variant_id", F.row_number().over(Window.partitionBy("contradiction_id").orderBy(*order, "variant_id")).cast("bigint").alias("_n"))
+    replaced = said.join(numbered, ["contradiction_id", "_n"]).groupBy("variant_id").agg(F.max_by("text", "_when").alias("replacement"))
+    return last.select("contradiction_id", "x.quote", "x.merged", F.col("x.quote").isNotNull().alias("in_draft")), replaced
+
+
 def revise(drafts: DataFrame, contradictions: DataFrame, variants: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (nr, draft_id, contradiction_id, variant_id) to adopt a variant, those of a draft in the order of ``nr``.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from folioforge.functions.text import bound, trim_ws
+
 #: Waits before the next attempts, in milliseconds.
 BACKOFF_MS = (800, 2000, 4000)
 
@@ -23,6 +25,21 @@ def json_candidate(reply: Column) -> Column:
     return F.coalesce(good(fenced), good(reply), good(braces), good(brackets))
 
 
+def draft_output(reply: Column) -> Column:
+    """What a writing model's reply is: ``struct(title, content, error)``, all trimmed. An error counts if it is a string with something in
+    it, and leaves the others null; else title and content must both be such strings. Null for any other reply."""
+    root = F.call_function("try_parse_json", json_candidate(reply))
+
+    def field(v: Column, name: str) -> Column:
+        own = F.try_variant_get(v, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(own) == "STRING", F.nullif(trim_ws(F.try_variant_get(v, f"$.{name}", "string")), F.lit("")))
+
+    none = F.lit(None).cast("string")
+    shown = lambda title, content, error: F.struct(title.alias("title"), content.alias("content"), error.alias("error"))
+    of = lambda f: F.when(f["error"].isNotNull(), shown(none, none, f["error"])).when(f["title"].isNotNull() & f["content"].isNotNull(), shown(f["title"], f["content"], none))
+    return bound(bound(root, lambda v: shown(*[field(v, n) for n in ("title", "content", "error")])), of)
+
+
 def reply_text(body: Column) -> Column:
     """What a model says in a whole, not streamed, response."""
     return F.get_json_object(body, "$.choices[0].message.content")
@@ -123,6 +140,13 @@ def summarise(pending: DataFrame, key: str, text: str, client: Callable[[str, fl
     return called.where(F.get_json_object(j, "$.summary").isNotNull()).select(key, F.get_json_object(j, "$.summary").alias("summary"), words("keywords").alias("keywords"), words("entities").alias("entities"))
 
 
+def json_chars(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """``(key, n_chars)``: how long the JSON array of each key's rows is, each an object of ``fields`` (name to column). Lengths add up, so no
+    array is put together and a long key is no hot group."""
+    one = F.length(F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()])))
+    return rows.groupBy(key).agg((F.sum(one) + F.count("*") + 1).cast("bigint").alias("n_chars"))  # brackets, and a comma between two
+
+
 def log_pages(lines: DataFrame, by: list[str], order: str, line: str, rows: int = 1_000) -> DataFrame:
     """``(by, page, n, text)``: a log's lines in order, in pages of at most ``rows`` lines from 1 on, each with a header of its own. Lines are
     numbered as a stream; what is put together is one page."""

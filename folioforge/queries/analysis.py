@@ -150,8 +150,7 @@ def progress_curve(spark, d):
 
 def conv_chars(spark, d):
     """Characters of each conversation's messages as JSON."""
-    m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.length(F.to_json(m)).cast("bigint").alias("n_chars"))
+    return telemetry.json_chars(table(spark, d, "conversations"), "conv_id", {"role": "role", "content": "text"}).select("conv_id", "n_chars")
 
 
 def log_report(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html as hx
 from folioforge.functions import text as tx
-from folioforge.operators import cdc, cluster, crawl, library as lib, provenance, telemetry
+from folioforge.operators import cdc, cluster, crawl, library as lib, provenance, revisions, sites, telemetry
 from folioforge.queries.tables import derived, duck, table
 from folioforge.queries.web import _clean
 
@@ -28,8 +28,9 @@ MARKDOWN = "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(1
 REFS = "SELECT o_orderkey AS id, concat('see #', o_custkey % 12, ' and #', o_orderkey % 9, ', #1 of ', o_orderpriority, ' #', o_orderkey % 3, ' not #99999999999999999999') AS t FROM {orders}"
 REPLIES = """SELECT event_id AS id, props, CASE event_id % 6 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 1 THEN concat('so ', props, ' it is') WHEN 2 THEN 'no json'
   WHEN 3 THEN concat('list: [', event_id, ', 2] end') WHEN 4 THEN props ELSE concat('{', props) END AS t FROM {events}"""
-OUTPUTS = """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN concat('{"title": "T', event_id, '", "content": "', event_type, '", "error": null}')
-  WHEN 1 THEN concat('{"title": null, "content": null, "error": "missing ', user_id, '"}') ELSE event_type END AS t FROM {events}"""
+OUTPUTS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN concat('{"title": "T', event_id, '", "content": "', event_type, '", "error": null}')
+  WHEN 1 THEN concat('{"title": null, "content": null, "error": "missing ', user_id, '"}') WHEN 2 THEN event_type WHEN 3 THEN concat('```json', chr(10), '{"title": " T', event_id, ' ", "content": "', event_type, ' ", "error": "  "}', chr(10), '```')
+  WHEN 4 THEN '{"title": 12, "content": "x"}' WHEN 5 THEN concat('so {"title": "T', event_id, '", "error": {"a": 1}, "content": "', event_type, '"} end') ELSE '[{"title": "T", "content": "c"}]' END AS t, event_type, user_id FROM {events}"""
 STREAM = """SELECT conv_id AS id, turn * 2 AS n, concat('data: {"choices":[{"delta":{"content":"', substring(md5(text), 1, 6), '"}}]}') AS line FROM {conversations}
   UNION ALL SELECT conv_id AS id, turn * 2 + 1 AS n, CASE turn % 2 WHEN 0 THEN ': ping' ELSE 'data: [DONE]' END AS line FROM {conversations}"""
 CALLS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 500 WHEN 4 THEN 404 WHEN 5 THEN 200 END AS s,
@@ -41,6 +42,13 @@ SETTINGS = "SELECT event_id AS n, concat(event_type, user_id % 5) AS key, CASE W
 SKILLS = "SELECT concat(n_name, ' rule') AS name, n_regionkey AS category, [concat(substring(md5(n_name), 1, 2), '7'), concat(n_regionkey, n_nationkey)] AS tags FROM {nation}"
 
 
+DISPUTED = "SELECT o_orderkey AS contradiction_id, o_custkey AS draft_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM {orders}"
+SAYINGS = "SELECT l_orderkey AS contradiction_id, l_orderkey * 10 + l_linenumber AS variant_id, min(l_shipdate) AS position FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+PLACES = """SELECT o_custkey AS draft_id, n * 1000000 + o_orderkey AS nth, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey, n ORDER BY o_orderkey) + o_orderkey % 2 END AS seq,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat(o_orderpriority, n) END AS quote, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 = 1 END AS merged, o_orderkey % 5 AS v1, concat('a', o_orderkey, n) AS t1, n AS v2, concat('b', o_orderkey, n) AS t2
+  FROM {orders}, (SELECT 1 AS n UNION ALL SELECT 2 AS n) k"""
+
+
 def by_id(df, **columns):
     return df.select(F.col("id").cast("bigint").alias("id"), *[c.alias(k) for k, c in columns.items()])
 
@@ -113,8 +121,8 @@ def marker_remove(spark, d):
 
 
 def strip_tag_prefix(spark, d):
-    t = F.when(F.col("t").like("[tag:%"), F.regexp_replace("t", r"^(?:\[tag:[^\]\r\n]+\]\s*)+", "")).otherwise(F.col("t"))
-    return by_id(derived(spark, d, TAGGED), hash=F.sha2(t, 256))
+    """Titles with tags in front, as a migration mends them: only the rows that change."""
+    return by_id(lib.untag_titles(derived(spark, d, TAGGED), "id", "t", F.current_timestamp()), hash=F.sha2("t", 256))
 
 
 def tag_split(spark, d):
@@ -131,9 +139,8 @@ def json_repair(spark, d):
 
 
 def parse_outputs(spark, d):
-    j = telemetry.json_candidate(F.col("t"))
-    kind = F.when(j.isNull(), "null").when(F.get_json_object(j, "$.error").isNotNull(), "error").otherwise("draft")
-    return by_id(derived(spark, d, OUTPUTS), kind=kind, title=F.get_json_object(j, "$.title"))
+    read = derived(spark, d, OUTPUTS).select("id", telemetry.draft_output(F.col("t")).alias("x"))
+    return by_id(read, kind=F.when(F.col("x.error").isNotNull(), "error").when(F.col("x.title").isNotNull(), "draft").otherwise("null"), title=F.col("x.title"), content=F.coalesce("x.content", "x.error"))
 
 
 def sse_extract(spark, d):
@@ -271,6 +278,45 @@ def crawl_articles(spark, d):
     return _site(spark, d)[1]
 
 
+#: Lists of articles from an earlier sync, with titles of then; pages of articles, of which some can't be fetched; what a task has.
+LISTED = "SELECT doc_id % 11 AS site_id, concat('http://s', doc_id % 11, '.org/a', doc_id, '.html') AS url, concat('on ', doc_id) AS title, doc_id AS discovered_at FROM {documents} WHERE doc_id % 2 = 0"
+BODIES = "SELECT concat('http://s', doc_id % 11, '.org/a', doc_id, '.html') AS url, concat('<p>', CASE doc_id % 3 WHEN 0 THEN 'sta<b>tion</b> ' ELSE 'x' END, md5(text), '</p>') AS html FROM {documents} WHERE doc_id % 4 <> 1"
+HAD = "SELECT concat('http://s', doc_id % 11, '.org/a', doc_id, '.html') AS url, CASE WHEN doc_id % 5 = 0 THEN 't1' END AS task_id FROM {documents} WHERE doc_id % 10 IN (0, 2, 5)"
+ASKED = "标题为“A1”，包括“tion”"
+
+
+def _sites(spark, d):
+    first = table(spark, d, "documents").groupBy((F.col("doc_id") % 11).alias("site_id")).agg(F.min("doc_id").alias("i"))
+    root = F.concat(F.lit("http://s"), F.col("site_id").cast("string"), F.lit(".org/p"), F.col("i").cast("string"))
+    return first.select("site_id", root.alias("root_url"), F.lit(0).cast("timestamp").alias("created_at"))
+
+
+def _synced(spark, d):
+    return sites.sync(_sites(spark, d), derived(spark, d, LISTED), derived(spark, d, SITE), F.lit(-1).cast("bigint"), 2, 6)
+
+
+def site_sync(spark, d):
+    """The lists of all sites after a crawl, and how many articles it added to each."""
+    changed, state = _synced(spark, d)
+    after = lib.upsert(derived(spark, d, LISTED).select(*changed.columns), changed, ["site_id", "url"])
+    return after.join(state, "site_id").select("site_id", "url", "title", "discovered_at", "added")
+
+
+def site_related(spark, d):
+    """Articles of the lists after a crawl that an instruction asks for, with the rows that a task gets."""
+    listed = lib.upsert(derived(spark, d, LISTED), _synced(spark, d)[0], ["site_id", "url"])
+    found, added = sites.related(_sites(spark, d), listed.withColumn("discovered_at", F.col("discovered_at").cast("timestamp")), derived(spark, d, HAD), derived(spark, d, BODIES), ASKED, "t1", F.current_timestamp())
+    return found.join(added, "url", "left").select("site_id", "url", "title", F.sha2("text", 256).alias("hash"))
+
+
+def places_kept(spark, d):
+    """Replies about places in drafts (a customer's orders as contradictions, their lines as variants) as changes of both tables."""
+    items = derived(spark, d, PLACES).withColumn("replacements", F.array(F.struct(F.col("v1").alias("variant"), F.col("t1").alias("text")), F.struct(F.col("v2").alias("variant"), F.col("t2").alias("text"))))
+    quotes, replaced = revisions.place(derived(spark, d, DISPUTED), derived(spark, d, SAYINGS), items, ["position"])
+    rows = derived(spark, d, SAYINGS).join(quotes, "contradiction_id", "left").join(replaced, "variant_id", "left")
+    return rows.select("variant_id", "quote", "merged", "in_draft", "replacement")
+
+
 def web_recall(spark, d):
     """Two-level recall for an instruction's terms, saved to a task that has some pages already."""
     pages = table(spark, d, "pages").withColumn("title", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
@@ -324,7 +370,7 @@ def prompt_render(spark, d):
     return m.select("conv_id", F.sha2(telemetry.render_prompt(F.concat(F.lit("标题为"), F.col("conv_id").cast("string")), F.lit(""), F.col("materials")), 256).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (ext_dispatch, ignored_paths, safe_rename, magic_dispatch, url_validate, idempotent_create, topic_terms, term_expand, match_any, article_prefilter, md_segments, apply_edit, marker_extract, marker_remove, strip_tag_prefix, tag_split, resolve_refs, json_repair, parse_outputs, sse_extract, error_classify, mask_secrets, first_nonempty, settings_map, skill_match, skill_counts, array_fk_titles, valid_ids, scope_resolve, lookup_url_scope, seed_skills, append_rows, legacy_files, scan_validate, contradiction_groups, merge_groups, locate_validate, crawl_bfs, crawl_articles, web_recall, embed_chunks, float_bytes, summarise_pending, model_calls, prompt_render)}
+QUERIES = {f.__name__: f for f in (ext_dispatch, ignored_paths, safe_rename, magic_dispatch, url_validate, idempotent_create, topic_terms, term_expand, match_any, article_prefilter, md_segments, apply_edit, marker_extract, marker_remove, strip_tag_prefix, tag_split, resolve_refs, json_repair, parse_outputs, sse_extract, error_classify, mask_secrets, first_nonempty, settings_map, skill_match, skill_counts, array_fk_titles, valid_ids, scope_resolve, lookup_url_scope, seed_skills, append_rows, legacy_files, scan_validate, contradiction_groups, merge_groups, locate_validate, places_kept, crawl_bfs, crawl_articles, site_sync, site_related, web_recall, embed_chunks, float_bytes, summarise_pending, model_calls, prompt_render)}
 
 
 def _bare(x: str) -> str:
@@ -354,9 +400,14 @@ q2 AS (SELECT d.h, d.i + step AS i, min(d.visited * 100 + place) AS o FROM d1 d,
 d2 AS (SELECT h, i, 2 AS depth, n + row_number() OVER (PARTITION BY h ORDER BY o) AS visited FROM q2 SEMI JOIN p USING (h, i) ANTI JOIN (SELECT h, i FROM d0 UNION ALL SELECT h, i FROM d1) USING (h, i) JOIN (SELECT h, 1 + count(*) AS n FROM d1 GROUP BY h) USING (h) QUALIFY n + row_number() OVER (PARTITION BY h ORDER BY o) <= 6),
 s AS (SELECT 'http://s' || s.h || '.org/p' || r AS root, s.h, i, depth::BIGINT AS depth, visited::BIGINT AS visited FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) s JOIN r USING (h))"""
 _title = _bare("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
-_body = _bare(f"left({_clean('html')}, 12000)")
+_body = _bare(f"left(regexp_extract(html, '(?s)<title>(.*?)</title>', 1) || chr(10) || {_clean('html')}, 12000)")
 _found = f"len(list_filter(['enthe', 'chder', 'en', 'nt', 'th', 'he', 'ch', 'hd', 'de', 'er'], lambda g: contains({_title}, g))) > 0 AND (contains({_body}, 'enthe') OR contains({_body}, 'chder'))"
 
+#: Articles that the crawl finds (f), the lists before it (o) and after (a).
+_listed_sql = f"""fa AS (SELECT h, i + 11 AS n, '' AS tail, 'http' AS scheme, 'A' || i AS title, visited * 100 + 6 AS o FROM s UNION ALL SELECT h, i, '?y=1', 'https', NULL, visited * 100 + 7 FROM s UNION ALL SELECT h, i + 22, '', 'http', 'B' || i, visited * 100 + 8 FROM s),
+fk AS (SELECT h, scheme || '://s' || h || '.org/a' || n || '.html' || tail AS url, title, o FROM fa), f AS MATERIALIZED (SELECT h, url, coalesce(title, url) AS title FROM fk QUALIFY row_number() OVER (PARTITION BY url ORDER BY o) = 1),
+o AS MATERIALIZED ({LISTED}), a AS MATERIALIZED (SELECT coalesce(site_id, h) AS site_id, url, coalesce(f.title, o.title) AS title, coalesce(discovered_at, -1) AS discovered_at FROM o FULL JOIN f USING (url))"""
+
 ORACLES = {name: duck(sql) for name, sql in {
     "ext_dispatch": f"WITH e AS (SELECT id, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS e FROM ({PATHS})) SELECT id, CASE WHEN e IN ('txt', 'md') THEN 'text' WHEN e IN ('png', 'jpg', 'jpeg', 'bmp') THEN 'image' WHEN e IN ('xls', 'xlsx') THEN 'sheet' WHEN e IN ('pdf', 'docx', 'doc', 'wps') THEN e ELSE 'PARSE_UNSUPPORTED' END AS parser FROM e",
     "ignored_paths": f"SELECT id, contains(path, '/.git/') OR starts_with(path, 'node_modules/') OR contains(path, '/~$') OR contains(path, '/.') OR path LIKE '%.tmp' AS ignored FROM ({PATHS})",
@@ -375,11 +426,11 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "apply_edit": f"WITH e AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'no such anchor' ELSE substring(text, 1, 3) END AS b, {_edit('text', 'substring(text, 5, 6)', 'X')} AS t FROM documents) SELECT id, sha256({_edit('t', 'b', 'YY')}) AS hash FROM e",
     "marker_extract": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x > 0), ',') AS seqs FROM ({MARKED})",
     "marker_remove": f"SELECT id, sha256(replace(t, '【矛盾#1】', '')) AS hash FROM ({MARKED})",
-    "strip_tag_prefix": f"SELECT id, sha256(CASE WHEN starts_with(t, '[tag:') THEN regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', '') ELSE t END) AS hash FROM ({TAGGED})",
+    "strip_tag_prefix": f"SELECT id, sha256(trim(regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', ''), '{tx.WS_CHARS}')) AS hash FROM ({TAGGED}) WHERE starts_with(t, '[tag:')",
     "tag_split": f"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name || '，' || p_brand || '，' || p_type, '[,，、 \\t\\n]+'), lambda x: x <> ''), '|') AS tags FROM part",
     "resolve_refs": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '#([0-9]+)', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 5), ',') AS refs, array_to_string(list_transform(list_filter(string_split(regexp_replace(t, '(#[1-5])\\b', '|\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^#[1-5]$') THEN 'r:' ELSE 't:' END || x), '|') AS tokens FROM ({REFS})",
     "json_repair": f"SELECT id, CASE WHEN id % 6 IN (0, 1, 4) THEN props WHEN id % 6 = 3 THEN regexp_extract(t, '\\[.*\\]') END AS json FROM ({REPLIES})",
-    "parse_outputs": f"SELECT id, CASE id % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'error' ELSE 'null' END AS kind, CASE WHEN id % 3 = 0 THEN json_extract_string(t, '$.title') END AS title FROM ({OUTPUTS})",
+    "parse_outputs": f"SELECT id, CASE WHEN id % 7 IN (0, 3, 5) THEN 'draft' WHEN id % 7 = 1 THEN 'error' ELSE 'null' END AS kind, CASE WHEN id % 7 IN (0, 3, 5) THEN 'T' || id END AS title, CASE WHEN id % 7 IN (0, 3, 5) THEN event_type WHEN id % 7 = 1 THEN 'missing ' || user_id END AS content FROM ({OUTPUTS})",
     "sse_extract": f"SELECT id, string_agg(json_extract_string(substr(line, 6), '$.choices[0].delta.content'), '' ORDER BY n) AS content FROM (SELECT * FROM ({STREAM}) WHERE line LIKE 'data: {{%') GROUP BY id".replace("{{", "{"),
     "error_classify": f"SELECT id, CASE WHEN s IN (401, 403) THEN 'LLM_UNAUTHORIZED' WHEN s = 429 THEN 'LLM_RATE_LIMIT' WHEN s IS NULL THEN 'LLM_NETWORK' WHEN s >= 400 THEN 'LLM_PROVIDER_ERROR' END AS code, coalesce(s = 429 OR s >= 500, true) AS retry, left(json_extract_string(body, '$.error.message'), 200) AS message, json_extract_string(body, '$.choices[0].message.content') AS reply FROM ({CALLS})",
     "mask_secrets": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"apiKey":"***","n":' || event_id || '}' WHEN 1 THEN '{"x":{"auth_token":"***","y":2},"Password":"***"}' WHEN 2 THEN '{"note":"key","n":' || event_id || '}'
@@ -401,6 +452,16 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "locate_validate": "SELECT l_orderkey AS id, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE count_if(l_suppkey % 3 >= 1 AND l_returnflag <> 'N') END::BIGINT AS n FROM lineitem GROUP BY l_orderkey",
     "crawl_bfs": f"{_site_sql} SELECT root, 'http://s' || h || '.org/p' || i AS url, depth, visited FROM s",
     "crawl_articles": f"{_site_sql}, a AS (SELECT root, h, i + 11 AS n, '' AS tail, 'http' AS scheme, 'A' || i AS title, visited * 100 + 6 AS o FROM s UNION ALL SELECT root, h, i, '?y=1', 'https', NULL, visited * 100 + 7 FROM s UNION ALL SELECT root, h, i + 22, '', 'http', 'B' || i, visited * 100 + 8 FROM s), k AS (SELECT root, 's' || h || '.org/a' || n || '.html' || tail AS key, scheme, title, o FROM a) SELECT root, key, scheme || '://' || key AS url, coalesce(title, scheme || '://' || key) AS title FROM k QUALIFY row_number() OVER (PARTITION BY root, key ORDER BY o) = 1",
+    "site_sync": f"""{_site_sql}, {_listed_sql}, ad AS (SELECT h AS site_id, count(*) FILTER (WHERE url NOT IN (SELECT url FROM o)) AS added FROM f GROUP BY h)
+SELECT site_id, url, title, discovered_at, coalesce(added, 0)::BIGINT AS added FROM a JOIN (SELECT DISTINCT doc_id % 11 AS site_id FROM documents) USING (site_id) LEFT JOIN ad USING (site_id)""",
+    "site_related": f"""{_site_sql}, {_listed_sql}, had AS (SELECT url FROM ({HAD}) WHERE task_id = 't1'), b AS (SELECT url, CASE WHEN contains(html, 'tion') THEN 'station ' ELSE 'x' END || regexp_extract(html, '([0-9a-f]{{{{32}}}})', 1) AS body FROM ({BODIES})),
+c AS (SELECT site_id, url, title FROM a WHERE len(list_filter(['A1', 'tion', 'ti', 'io', 'on'], lambda g: contains(replace(title, ' ', ''), g))) > 0)
+SELECT site_id, url, NULL AS title, NULL AS hash FROM c SEMI JOIN had USING (url) UNION ALL SELECT site_id, url, title, sha256(body) FROM c JOIN b USING (url) ANTI JOIN had USING (url) WHERE contains(title, 'A1') OR contains(body, 'tion')""".replace("{{", "{").replace("}}", "}"),
+    "places_kept": f"""WITH c AS MATERIALIZED ({DISPUTED}), h AS MATERIALIZED (SELECT contradiction_id, p.* FROM ({PLACES}) p JOIN c USING (draft_id, seq)),
+q AS (SELECT contradiction_id, arg_max({{'q': nullif(quote, ''), 'm': coalesce(merged, false)}}, nth) AS x FROM h GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY contradiction_id ORDER BY position, variant_id) AS n FROM ({SAYINGS})),
+r AS (SELECT contradiction_id, n, arg_max(t, o) AS t FROM (SELECT contradiction_id, v1 AS n, t1 AS t, nth * 2 AS o FROM h UNION ALL SELECT contradiction_id, v2, t2, nth * 2 + 1 FROM h) GROUP BY ALL)
+SELECT variant_id, x.q AS quote, x.m AS merged, CASE WHEN x IS NOT NULL THEN x.q IS NOT NULL END AS in_draft, t AS replacement FROM s LEFT JOIN q USING (contradiction_id) LEFT JOIN r USING (contradiction_id, n)""",
     "web_recall": f"WITH s AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 't1' END AS task_id FROM pages WHERE page_id % 5 = 0) SELECT * FROM s UNION ALL SELECT DISTINCT url, 't1' FROM pages WHERE {_found} AND url NOT IN (SELECT url FROM s WHERE task_id = 't1')",
     "embed_chunks": "SELECT doc_id, CASE WHEN length(text) <= 400 THEN length(text) WHEN length(text) <= 3000 THEN -length(text) END::DOUBLE AS first FROM documents",
     "float_bytes": "SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings",

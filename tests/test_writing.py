@@ -60,3 +60,36 @@ def test_contradiction_lines(spark):
     refs = spark.createDataFrame([("d", "a", 1, "One"), ("d", "b", 2, "Two")], "scope string, source_id string, index int, title string")
     assert prompts.contradiction_lines(groups, refs, "scope").first().lines == "- 矛盾 #1（时间）：T——in 1980（《One》、《z》）；in 1981（《Two》）"
     assert prompts.contradiction_lines(groups, refs, "scope", places=True).first().lines == "- 矛盾 #1（时间）：T——说法 1：in 1980（来源：#1、?）；说法 2：in 1981（来源：#2）"
+
+
+def test_what_a_writing_model_says(spark):
+    said = {
+        '{"title": " a ", "content": "b"}': ("a", "b", None), '{"title": "a", "content": " "}': None, '{"title": "a"}': None, '{"title": 1, "content": "b"}': None, "no": None, "": None, None: None,
+        '{"error": " bad ", "title": "a", "content": "b"}': (None, None, "bad"), '{"error": 5, "title": "a", "content": "b"}': ("a", "b", None), '```json\n{"title":"a","content":"b"}\n```': ("a", "b", None),
+        'x {"title":"a","content":"b", "error": ""} y': ("a", "b", None), '[{"title":"a","content":"b"}]': None, '"text"': None,
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", telemetry.draft_output(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x and tuple(r.x) for r in rows} == said
+
+
+def test_titles_lose_their_tags(spark):
+    titles = ["[tag:a] [tag:b]\u3000x ", "[tag:a]", "x [tag:a]", "[tag:]x", "[TAG:a] x ", "", None, " x ", "[tag:a\n]x"]
+    found = library.untag_titles(spark.createDataFrame(list(enumerate(titles)), "id int, title string"), "id", "title", F.lit(1))
+    assert sorted((r.id, r.title) for r in found.collect()) == [(0, "x"), (1, ""), (4, "[TAG:a] x")]
+
+
+def test_places_are_kept_by_seq_and_number(spark):
+    c = spark.createDataFrame([(1, "d", 1), (2, "d", 2), (3, "d", 2), (4, "e", 1)], "contradiction_id int, draft_id string, seq int")
+    v = spark.createDataFrame([(1, 11, 9), (1, 12, 5), (3, 31, 0), (4, 41, 0)], "contradiction_id int, variant_id int, position int")
+    kind = "draft_id string, nth int, seq int, quote string, merged boolean, replacements array<struct<variant:int,text:string>>"
+    located = spark.createDataFrame([("d", 1, 1, "old", True, [(1, "first")]), ("d", 2, 1, "new", None, [(2, "second"), (2, "third"), (7, "none"), (None, "x")]), ("d", 3, 2, "", True, None), ("d", 4, None, "q", True, []), ("x", 1, 1, "q", True, [])], kind)
+    quotes, replaced = revisions.place(c, v, located, ["position"])
+    assert sorted(map(tuple, quotes.collect())) == [(1, "new", False, True), (3, None, True, False)]
+    assert sorted(map(tuple, replaced.collect())) == [(11, "third"), (12, "first")]
+    assert [x.count() for x in revisions.place(c, v, located.limit(0), ["position"])] == [0, 0]
+
+
+def test_lengths_of_json_add_up(spark):
+    rows = spark.createDataFrame([(1, "u", 'a"b'), (1, None, "é\n"), (2, "x", None), (None, "x", "y")], "k int, role string, text string")
+    whole = {r.k: len(r.j) for r in rows.groupBy("k").agg(F.to_json(F.collect_list(F.struct("role", F.col("text").alias("content")))).alias("j")).collect()}
+    assert {r.k: r.n_chars for r in telemetry.json_chars(rows, "k", {"role": "role", "content": "text"}).collect()} == whole
