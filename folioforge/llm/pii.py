@@ -23,6 +23,8 @@ N_BASE = 4
 #: What proposes spans: kind, pattern, and a cheap test that a text must pass first. The first four hold the base rules' spans,
 #: written so that no position of a long run is tried twice: a match starts where a run starts, or where the last one ended.
 LOCAL, LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
+NAMED = """(?i:token|secret|key|passw(?:or)?d|pwd)["']{0,1} {0,1}[=:] {0,1}["']{0,1}"""
+OPAQUE = "[A-Za-z0-9+/_-]"
 PROPOSERS = (
     ("email", rf"(?:(?<!{LOCAL})|\G){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++", "@"),
     ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9]\\.[0-9]"),
@@ -30,7 +32,8 @@ PROPOSERS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
     ("email", rf"(?<!{LOCAL}){LOCAL}++ ?[(\[]at[)\]] ?{LABEL}++(?: ?(?:\.|[(\[]dot[)\]]) ?{LABEL}++)++", "[(\\[]at[)\\]]"),
     ("phone", r"(?<![0-9.+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", "[0-9]{3}[ .-][0-9]{4}"),
-    ("secret", r"""(?<=(?i:token|secret|key|passw(?:or)?d|pwd)["']{0,1} {0,1}[=:] {0,1}["']{0,1})[A-Za-z0-9+/_-]{8,}+""", """(?i)(?:token|secret|key|passw(?:or)?d|pwd)["']? ?[=:]"""),
+    ("secret", f"(?<={NAMED}){OPAQUE}{{8,}}+", """(?i)(?:token|secret|key|passw(?:or)?d|pwd)["']? ?[=:]"""),
+    ("secret", f"(?<!{OPAQUE})(?<!{NAMED}){OPAQUE}{{20,}}+", f"{OPAQUE}{{20}}"),
 )
 
 #: Fixed lists of the gazetteer labeler: endings of e-mail domains; first digits of issuers; calling codes; first parts of
@@ -42,13 +45,23 @@ RESERVED = "0|22[4-9]|23[0-9]|24[0-9]|25[0-5]"
 AREA_CODES = "(?!.11|37|96)[2-9][0-8][0-9]"
 PLACEHOLDERS = "x+|changeme|password|placeholder|example|sample|undefined"
 
+#: Of secrets without a name in front: how issuers begin theirs; what is more often a digest or an identifier; words and numbers joined
+#: to a path or name; fillings. Fixed values.
+ISSUED = "gh[opsu]_|github_pat_|glpat-|sk-|[sr]k_live_|AKIA|ASIA|AIza|xox[abprs]-|ya29|eyJ"
+DIGESTS = "(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+JOINED = "[A-Za-z]*[0-9]*(?:[/_+-][A-Za-z]*[0-9]*)*$"
+FILLED = r".*(.)\1{5}"
+
+#: What tells such a secret from words: bits a character, and characters for each change between letters and digits, at most.
+LEAST_BITS, CHANGE_CHARS = 3.0, 8
+
 #: Cues of the context labeler around a span: for, and against.
 CUES = {
     "email": (r"mail|contact|write|reach", r"example only|regex|pattern"),
     "ip": (r"\bip\b|host|server|address|from", r"version|release|section|v$"),
     "card": (r"card|visa|credit|payment|pay\b", r"isbn|order|serial|tracking|id:? *$"),
     "phone": (r"phone|call|tel|mobile|fax", r"isbn|order|serial|version"),
-    "secret": (r"token|secret|passw|pwd|api|access", r"primary|foreign|example|sample|public"),
+    "secret": (r"token|secret|passw|pwd|api|access|bearer|\bauth|credential|\blog ?in\b", r"primary|foreign|example|sample|public|commit|checksum|digest|revision|\buuid|\bsha-?[0-9]|\bmd5"),
 }
 
 #: Characters before and after a span that count as its context; those before reach back over one earlier match.
@@ -107,13 +120,25 @@ def _base(i: int, hit: Column) -> Column:
 
 def _candidate(i: int, hit: Column) -> Column:
     """Whether a proposed span goes to the labelers at all."""
+    if i == 7:
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     return F.length(_digits(hit)).between(13, 19) if i == 2 else F.lit(True) if i > 3 else _base(i, hit)
 
 
+def bits_a_character(c: Column) -> Column:
+    """Shannon's entropy of a string's characters."""
+    n = F.length(c).cast("double")
+    each = lambda total, x: total + (n - F.length(F.replace(c, x, F.lit("")))) * F.log2(n - F.length(F.replace(c, x, F.lit(""))))
+    return F.log2(n) - F.aggregate(F.array_distinct(F.split(c, "")), F.lit(0.0), each) / n
+
+
 def _format(i: int, hit: Column) -> Column:
     """Whether a span has the form of what its own proposer looks for; whether the base rules hold it doesn't count. A card's form
     is its check digit; an obfuscated address has a closed bracket and ends in letters; a plain number has alike or bracketed parts; a
-    secret mixes letters and digits."""
+    secret mixes letters and digits; one without a name changes between them often and is spread over many characters."""
+    if i == 7:
+        changes = F.size(F.regexp_extract_all(hit, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"), F.lit(0)))
+        return (changes * CHANGE_CHARS >= F.length(hit)) & (bits_a_character(hit) >= LEAST_BITS)
     if i == 6:
         return hit.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z]).{16}")
     if i == 4:
@@ -123,14 +148,15 @@ def _format(i: int, hit: Column) -> Column:
     return _base(i, hit)  # the first four look for what the base rules describe
 
 
-def _gazetteer(kind: str, hit: Column) -> Column:
+def _gazetteer(i: int, hit: Column) -> Column:
+    secret = ~hit.rlike(rf"(?i)^(?:{PLACEHOLDERS})")
     known = {
         "email": hit.rlike(rf"(?i)(?:\.|[)\]]) ?(?:{DOMAIN_ENDS})$"),
         "ip": ~hit.rlike(rf"^0*(?:{RESERVED})\."),
         "card": _digits(hit).rlike(f"^(?:{ISSUERS})"),
         "phone": hit.rlike(rf"^(?:\+(?:{CALLING_CODES})|\(?{AREA_CODES})"),
-        "secret": ~hit.rlike(rf"(?i)^(?:{PLACEHOLDERS})"),
-    }[kind]
+        "secret": secret & (hit.rlike(f"^(?:{ISSUED})") | ~hit.rlike(f"^(?:{DIGESTS}|{JOINED}|{FILLED})")) if i == 7 else secret,
+    }[PROPOSERS[i][0]]
     return F.when(known, 1).otherwise(-1)
 
 
@@ -174,7 +200,7 @@ def labelled_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             share = F.length(_digits(hit)) / F.length(hit)
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(hit)).alias("start"), end.alias("end"), _base(i, hit).alias("base"),
-                F.when(_format(i, hit), 1).otherwise(-1).alias("format"), _gazetteer(kind, hit).alias("gazetteer"), _context(kind, before, after).alias("context"),
+                F.when(_format(i, hit), 1).otherwise(-1).alias("format"), _gazetteer(i, hit).alias("gazetteer"), _context(kind, before, after).alias("context"),
                 F.least(F.lit(3), F.length(hit) / 8).cast("int").alias("size"), F.lit(i).alias("how"),
                 _neighbour(F.right(before, F.lit(1))).alias("left"), _neighbour(F.left(after, F.lit(1))).alias("right"),
                 F.when(share == 0, 0).when(share < 0.5, 1).when(share < 1, 2).otherwise(3).alias("digits"),
@@ -278,8 +304,9 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     """``(key, spans)`` of every row: array<struct(kind, start, end, base, probability)>, by kind, then place.
 
     Base spans always stay. Of the others, those stay that the classifier gives at least ``least`` and that overlap no base span.
-    Added spans of one kind don't overlap, since one proposer adds it; those of two kinds may share a place, and both are reported, each
-    found by its own labelers, so that what either covers is known. A null, empty or clean text has no spans. Repeated rows stay; extra columns are left out; an empty table gives an empty
+    Added spans of one kind don't overlap: one proposer adds it, or, as with secrets, two of which one takes only what has a name in front
+    and the other only what has none. Those of two kinds may share a place, and both are reported, each found by its own labelers, so
+    that what either covers is known. A null, empty or clean text has no spans. Repeated rows stay; extra columns are left out; an empty table gives an empty
     result. There is no shuffle of texts or spans: only counts of vote patterns meet.
     """
     found = cut_lineage(labelled_spans(docs, key, text))

@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
 import time
 
 import pytest
@@ -98,6 +100,37 @@ def test_plain_numbers_and_obfuscated_addresses_are_found(spark):
         assert found[400 + i] == [hashlib.sha1(bytes([i])).hexdigest()]
 
 
+def planted():
+    """Secrets without a name in front, and what looks like them: ``(text, secret or None)``, sixty of each."""
+    rng = random.Random(7)
+    word = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    mixed, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    made = {
+        "bearer": lambda: word(40, mixed), "issued": lambda: "ghp_" + word(36, mixed), "hex": lambda: word(48, hexes), "slashed": lambda: word(44, mixed + "+/"),
+        "slug": lambda: "/".join(["posts", "2024", *[rng.choice(["river", "market", "history", "winter"]) + "-notes" for _ in range(3)]]), "commit": lambda: word(40, hexes), "uuid": lambda: "-".join(word(n, hexes) for n in (8, 4, 4, 4, 12)),
+        "padding": lambda: "aaaaaaaaaaaaaaaaaaaaaaa1" + word(1, hexes), "name": lambda: "internationalization_of_the_library_v2",
+    }
+    lead = {"commit": "fixed in commit ", "uuid": "see uuid ", "slug": "read ", "padding": "then ", "name": "call "}
+    return [(f"{lead.get(k, 'log in with ')}{s} today", s if k not in lead else None) for k, make in made.items() for s in (make() for _ in range(60))]
+
+
+def test_secrets_without_a_name(spark):
+    rows = planted()
+    rows += [(f'api token = "{hashlib.sha1(bytes([i])).hexdigest()}" here', hashlib.sha1(bytes([i])).hexdigest()) for i in range(60)]
+    found = pii.detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    got = {r.doc_id: [rows[r.doc_id][0][s.start : s.end] for s in r.spans] for r in found}
+    secrets = [i for i, (_, s) in enumerate(rows) if s]
+    assert sum(got[i] == [rows[i][1]] for i in secrets) >= 0.95 * len(secrets)
+    assert sum(got[i] != [] for i in range(len(rows)) if not rows[i][1]) == 0
+
+
+def test_bits_a_character(spark):
+    texts = ["", "a", "aaaa", "ab", "aabb", "abcd", "0123456789abcdef", "aab", "\U0001f600b"]
+    entropy = lambda s: -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+    for r in spark.createDataFrame([(t,) for t in texts if t], "t string").select("t", pii.bits_a_character(F.col("t")).alias("h")).collect():
+        assert abs(r.h - entropy(r.t)) < 1e-9
+
+
 def test_many_spans_in_one_text(spark, tmp_path):
     rows = [(1, "a@b.co " * 50_000), (2, "12a ," * 200_000), (3, "call (212) 555-1234 or +1 212 555 1234 " * 20_000)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
