@@ -121,8 +121,8 @@ def marker_remove(spark, d):
 
 
 def strip_tag_prefix(spark, d):
-    """Titles with tags in front, as a migration mends them: only the rows that change."""
-    return by_id(lib.untag_titles(derived(spark, d, TAGGED), "id", "t", F.current_timestamp()), hash=F.sha2("t", 256))
+    """All titles as a migration leaves them: those with tags in front lose them, the others stay."""
+    return by_id(derived(spark, d, TAGGED), hash=F.sha2(tx.without_tags(F.col("t")), 256))
 
 
 def tag_split(spark, d):
@@ -426,7 +426,7 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ordering, headi
     "apply_edit": f"WITH e AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'no such anchor' ELSE substring(text, 1, 3) END AS b, {_edit('text', 'substring(text, 5, 6)', 'X')} AS t FROM documents) SELECT id, sha256({_edit('t', 'b', 'YY')}) AS hash FROM e",
     "marker_extract": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '【矛盾#([0-9]+)】', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x > 0), ',') AS seqs FROM ({MARKED})",
     "marker_remove": f"SELECT id, sha256(replace(t, '【矛盾#1】', '')) AS hash FROM ({MARKED})",
-    "strip_tag_prefix": f"SELECT id, sha256(trim(regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', ''), '{tx.WS_CHARS}')) AS hash FROM ({TAGGED}) WHERE starts_with(t, '[tag:')",
+    "strip_tag_prefix": f"SELECT id, sha256(CASE WHEN starts_with(t, '[tag:') THEN trim(regexp_replace(t, '^(?:\\[tag:[^\\]\\r\\n]+\\][ \\t\\n\\r\\f\\v]*)+', ''), '{tx.WS_CHARS}') ELSE t END) AS hash FROM ({TAGGED})",
     "tag_split": f"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name || '，' || p_brand || '，' || p_type, '[,，、 \\t\\n]+'), lambda x: x <> ''), '|') AS tags FROM part",
     "resolve_refs": f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '#([0-9]+)', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 5), ',') AS refs, array_to_string(list_transform(list_filter(string_split(regexp_replace(t, '(#[1-5])\\b', '|\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^#[1-5]$') THEN 'r:' ELSE 't:' END || x), '|') AS tokens FROM ({REFS})",
     "json_repair": f"SELECT id, CASE WHEN id % 6 IN (0, 1, 4) THEN props WHEN id % 6 = 3 THEN regexp_extract(t, '\\[.*\\]') END AS json FROM ({REPLIES})",

@@ -15,3 +15,11 @@ def test_query(name, spark, duck, data):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_titles_without_tags_stay_in_the_result(spark, data):
+    rows = QUERIES["strip_tag_prefix"](spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert sorted(r.id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    plain = {r.doc_id: r.h for r in docs.where("doc_id % 3 = 1").selectExpr("doc_id", "sha2(text, 256) AS h").collect()}
+    assert plain and {r.id: r.hash for r in rows if r.id in plain} == plain
