@@ -1,23 +1,28 @@
 """Operator 10: quality by Bradley-Terry pairwise ranking.
 
-A document's strength is linear in features of its whole text. Preference pairs (a better and a worse document) teach the
-weights by logistic loss on feature differences; the score is a logistic curve of the strength, set so that the strength
+A document's strength is linear in features of its whole text. All preference pairs (a better and a worse document) of all
+labelled documents teach the weights by logistic loss on feature differences; the score is a logistic curve of the strength, set so that the strength
 below which the share of worse documents lies, a quantile of the training strengths, scores exactly the threshold.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.llm.batches import as_bytes, slices
-from folioforge.llm.sampling import thinned
 
-#: Labelled documents of either label that training takes at most, chosen by a hash; preference pairs made of them.
-SAMPLE_PER_LABEL, PAIRS = 1_000, 20_000
+#: Strengths at which rows of the other label are summed up while weights are learnt; the ridge of the loss.
+REACH, STEP, RIDGE = 64.0, 1 / 32, 0.002
+GRID = np.arange(-REACH, REACH, STEP)
+
+#: Tasks over which the rows of one key are dealt; labelled rows for each task that sums up, so that its sums (0.3 MB) are small beside them.
+SPREAD, ROWS_PER_SUM = 8, 8192
 
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.7
@@ -114,8 +119,11 @@ class PairwiseRanker:
     width: float = 1.0
     threshold: float = THRESHOLD
 
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def strengths(self, x: np.ndarray) -> np.ndarray:
-        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(1)  # row by row alike, whatever the batch
+        return (self.unit(x) * self.weights).sum(1)  # row by row alike, whatever the batch
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, and ``threshold`` at the edge."""
@@ -123,59 +131,177 @@ class PairwiseRanker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(better: np.ndarray, worse: np.ndarray, share_worse: float, pairs: int = PAIRS, steps: int = 300, seed: int = 3) -> PairwiseRanker:
-    """A ranker from features of better and worse documents. ``share_worse`` is the share of worse documents among all labelled
-    ones, the quantile at which the edge lies once training documents are weighted to that share."""
-    every = np.concatenate([better, worse])
-    model = PairwiseRanker(every.mean(0), every.std(0) + 1e-6, np.zeros(every.shape[1]))
-    rng = np.random.default_rng(seed)
-    unit = lambda x: np.clip((x - model.mean) / model.scale, -8, 8)
-    d = unit(better[rng.integers(0, len(better), pairs)]) - unit(worse[rng.integers(0, len(worse), pairs)])
-    speed = np.zeros(d.shape[1])
+def rounded(x):
+    """To 24 bits: sums in another order give the same."""
+    return np.float64(np.float32(x))
+
+
+@dataclass
+class Curves:
+    """What all rows of the other label mean to a row by its strength, at the points of ``GRID``: for worse (0) and better (1) rows the
+    mean chance that their pair is ordered wrongly, and the mean slope of that chance."""
+
+    wrong: np.ndarray
+    slope: np.ndarray
+
+
+def sums(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Of each label its rows, and the sums of the features and of their squares."""
+    return np.concatenate([np.concatenate([[len(v)], v.sum(0), (v * v).sum(0)]) for v in (x[~good], x[good])])
+
+
+def counts(x: np.ndarray, good: np.ndarray, model: PairwiseRanker, lo: float = -REACH, hi: float = REACH, n: int = len(GRID)) -> np.ndarray:
+    """(2, labels, n), flat: rows of either label, and the sum of their strengths, in ``n`` equal bins from ``lo`` to below ``hi``. Those
+    beyond ``REACH``, where the loss is a line or nothing, count there."""
+    s = np.clip(model.strengths(x), -REACH, np.nextafter(REACH, 0))
+    at = np.flatnonzero((s >= lo) & (s < hi))
+    bin = np.minimum(((s[at] - lo) / (hi - lo) * n).astype(np.int64), n - 1) + n * good[at]
+    return np.concatenate([np.bincount(bin, minlength=2 * n), np.bincount(bin, s[at], 2 * n)])
+
+
+def slopes(x: np.ndarray, good: np.ndarray, model: PairwiseRanker, curves: Curves, n: np.ndarray) -> np.ndarray:
+    """Of either label, over its ``n`` rows, the means of the chance to be ordered wrongly times the features, of the slope, and of the
+    slope times the features; then of both labels the slope times the features' products (one triangle)."""
+    u, s, k = model.unit(x), model.strengths(x), good.astype(np.int64)
+    wrong, slope = (np.where(good, np.interp(s, GRID, c[1]), np.interp(s, GRID, c[0])) / n[k] for c in (curves.wrong, curves.slope))
+    means = [v for mine in (~good, good) for v in (wrong[mine] @ u[mine], [slope[mine].sum()], slope[mine] @ u[mine])]
+    products = (u * slope[:, None]).T @ u
+    return np.concatenate([*means, products[np.triu_indices(len(products))]])
+
+
+def nearest(x: np.ndarray, good: np.ndarray, model: PairwiseRanker, edge: float) -> np.ndarray:
+    """The greatest strength below ``edge``, and the least of the others, negated."""
+    s = model.strengths(x)
+    return np.array([s[s < edge].max(initial=-np.inf), -s[s >= edge].min(initial=np.inf)])
+
+
+def pair_loss(count: np.ndarray) -> tuple[float, Curves]:
+    """Mean logistic loss of all pairs of a better and a worse row, from their strengths by bins, and the curves."""
+    n, total = count.reshape(2, 2, -1)
+    some = [np.flatnonzero(n[k]) for k in (0, 1)]
+    share, at = [n[k][i] / n[k].sum() for k, i in enumerate(some)], [total[k][i] / n[k][i] for k, i in enumerate(some)]
+    # a bin of better rows at a time against all of worse ones: no table of all pairs of bins
+    loss = sum(w * (share[0] @ np.logaddexp(0, at[0] - t)) for w, t in zip(share[1], at[1]))
+    wrong, slope = np.zeros((2, len(GRID))), np.zeros((2, len(GRID)))
+    for k, sign in ((0, 1), (1, -1)):
+        for w, t in zip(share[1 - k], at[1 - k]):
+            p = 1 / (1 + np.exp(-sign * (GRID - t)))
+            wrong[k] += w * p
+            slope[k] += w * p * (1 - p)
+    return float(loss), Curves(wrong, slope)
+
+
+def fit_by(total: Callable[..., np.ndarray], share_worse: float, steps: int = 50) -> PairwiseRanker:
+    """A ranker by Newton steps on the mean logistic loss of all pairs of a better and a worse row, with a small ridge.
+
+    ``total(part, *args, join=np.add)`` joins ``part(x, good, *args)`` over blocks of all rows, wherever they are. All pairs count
+    though none is made: rows of the other label meet a row as a curve over its strength (bins of 1/32, each at its rows' mean
+    strength; the curve is off by 1e-5 at most). ``share_worse`` is the share of worse documents among all labelled ones, the
+    quantile at which the edge lies once rows are weighted to that share.
+    """
+    first = total(sums).reshape(2, -1)
+    n, d = first[:, 0], first.shape[1] // 2
+    mean, square = first[:, 1 : d + 1].sum(0) / n.sum(), first[:, d + 1 :].sum(0) / n.sum()
+    model = PairwiseRanker(rounded(mean), rounded(np.sqrt(np.maximum(0, square - mean**2)) + 1e-6), np.zeros(d))
+    loss, curves = pair_loss(total(counts, model))
+    triangle = np.triu_indices(d)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ model.weights, -30, 30)))  # of the better one to win
-        speed = 0.9 * speed - 0.1 * (-(d * (1 - p)[:, None]).mean(0) + 0.002 * model.weights)
-        model.weights = model.weights + speed
-    s = np.concatenate([model.strengths(worse), model.strengths(better)])
-    w = np.concatenate([np.full(len(worse), share_worse / len(worse)), np.full(len(better), (1 - share_worse) / len(better))])
-    order = np.argsort(s, kind="stable")
-    at = int(np.searchsorted(np.cumsum(w[order]), share_worse))
-    pair = s[order[min(at, len(s) - 1)]], s[order[min(at + 1, len(s) - 1)]]
-    model.edge = float(sum(pair) / 2)
-    model.width = float(max(1e-3, s.std() / 4))
+        found = total(slopes, model, curves, n)
+        g, a, v = np.split(found[: 4 * d + 2].reshape(2, -1), [d, d + 1], axis=1)
+        down = g[0] - g[1] + RIDGE * model.weights
+        upper = np.zeros((d, d))
+        upper[triangle] = found[4 * d + 2 :]
+        # of pairs of rows only the sums over each row's partners are known: they count as if independent, which changes the way alone
+        mixed = np.outer(v[0], v[1]) / max(float(a.mean()), 1e-300)
+        hessian = upper + np.triu(upper, 1).T - mixed - mixed.T + RIDGE * np.eye(d)
+        step = np.linalg.solve(hessian, down)
+        gain, part = float(down @ step), 1.0
+        if gain < 1e-7:
+            break
+        while part > 1e-6:
+            tried = replace(model, weights=model.weights - part * step)
+            now, then = pair_loss(total(counts, tried))
+            now += RIDGE / 2 * float(tried.weights @ tried.weights)
+            if now <= loss - 1e-4 * part * gain:
+                break
+            part /= 4
+        else:
+            break
+        model, loss, curves = tried, now, then
+    model.weights = rounded(model.weights)
+    lo, hi, below = -REACH, REACH, 0.0
+    for _ in range(3):  # down to a bin of 1e-9
+        found = total(counts, model, lo, hi)[: 2 * len(GRID)].reshape(2, -1)
+        if lo == -REACH:
+            at = (np.arange(len(GRID)) + 0.5) * STEP - REACH
+            rows = found.sum(0) / n.sum()
+            model.width = float(rounded(max(1e-3, np.sqrt(rows @ (at - rows @ at) ** 2) / 4)))
+        up_to = below + np.cumsum(share_worse * found[0] / n[0] + (1 - share_worse) * found[1] / n[1])
+        k = min(int(np.searchsorted(up_to, share_worse - 1e-12)), len(GRID) - 1)
+        below = up_to[k - 1] if k else below
+        lo, hi = lo + (hi - lo) * k / len(GRID), lo + (hi - lo) * (k + 1) / len(GRID)
+    under, over = total(nearest, model, hi, join=np.maximum) * [1, -1]
+    model.edge = float(rounded((under + over) / 2 if np.isfinite([under, over]).all() else under if np.isfinite(under) else over))
     return model
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = SAMPLE_PER_LABEL
-) -> PairwiseRanker | None:
-    """A ranker from the labels 0 and 1 of ``labels``. At most ``per_label`` label rows of each, chosen by a hash of the key, meet the
-    documents, so the join sends a bounded table; of the documents that they meet, however many share a key, at most ``per_label`` of each
-    label train, chosen by a hash of key and text, each text of a key once. Null keys and labels take no part; None if either label is
-    missing."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+def fit(better: np.ndarray, worse: np.ndarray, share_worse: float, steps: int = 50) -> PairwiseRanker:
+    """:func:`fit_by` over features of better and worse documents that are here."""
+    x, good = np.concatenate([better, worse]), np.arange(len(better) + len(worse)) < len(better)
+    return fit_by(lambda part, *args, join=np.add: part(x, good, *args), share_worse, steps)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int | None = None) -> PairwiseRanker | None:
+    """A ranker from all labels 0 and 1 of ``labels`` and the documents they meet, each text of a key once. Null keys and labels take no
+    part; None if either label meets no document.
+
+    Features are made where the texts are and travel instead of them; the labelled ones are kept by Spark while passes over them sum
+    up what a step needs. A key with many rows is dealt over ``SPREAD`` tasks. With ``per_label`` at most so many documents of each
+    label train, chosen by a hash of key and text; without it, all."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     count = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    pick = F.xxhash64("_key")
-    total = F.when(F.col("_label") == 1, count.get(1, 0)).otherwise(count.get(0, 0))
-    nth = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod(pick, F.lit(1 << 30)), "_key"))
-    some = known.where(thinned(pick, per_label, total)).withColumn("_nth", nth).where(F.col("_nth") <= per_label)
+    if len(count) < 2:
+        return None
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches, "_text"):
-            x = text_features(as_bytes(batch, "_text"))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("_key", "_label", "_pick")] + [pa.array(list(x), pa.list_(pa.float64()))], names=["_key", "_label", "_pick", "x"])
-
-    own = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    rows = own.join(F.broadcast(some), F.col("_doc") == F.col("_key")).select("_key", "_label", "_text", F.xxhash64("_key", "_text").alias("_pick"))
-    kind = rows.schema["_key"].dataType.simpleString()
-    once = rows.mapInArrow(run, f"_key {kind}, _label int, _pick bigint, x array<double>").dropDuplicates(["_label", "_key", "_pick"])
-    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod("_pick", F.lit(1 << 30)), "_pick", "_key"))
-    kept = once.withColumn("_place", place).where(F.col("_place") <= per_label)
-    found = kept.orderBy("_label", "_key", "_pick").collect() if len(count) == 2 else []  # two times ``per_label`` rows
-    x, y = np.array([r.x for r in found]), np.array([r["_label"] for r in found])
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    return fit(x[y == 1], x[y == 0], count[0] / (count[0] + count[1]))
+            batch = batch.filter(pa.array([not (p in seen or seen.add(p)) for p in batch.column("_pick").to_pylist()], pa.bool_()))
+            x = text_features(as_bytes(batch, "_text")).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_pick"), pa.array([v.tobytes() for v in x], pa.binary())], names=["_doc", "_pick", "x"])
+
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.xxhash64(key, text).alias("_pick"), F.col(text).alias("_text"))
+    made = own.mapInArrow(run, f"_doc {own.schema['_doc'].dataType.simpleString()}, _pick bigint, x binary").withColumn("_part", F.pmod("_pick", F.lit(SPREAD)))
+    known = known.distinct().withColumn("_of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    rows = made.join(known, (F.col("_doc") == F.col("_key")) & (F.col("_part") == F.col("_of"))).dropDuplicates(["_key", "_of", "_label", "_pick"])
+    if per_label is not None:
+        place = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod("_pick", F.lit(1 << 30)), "_pick", "_key"))
+        rows = rows.withColumn("_place", place).where(F.col("_place") <= per_label)
+        found = rows.orderBy("_label", "_key", "_pick").select("_label", "x").collect()  # two times ``per_label`` rows
+        x, y = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float64), np.array([r["_label"] for r in found])
+        return fit(x[y == 1], x[y == 0], count[0] / (count[0] + count[1])) if 0 < y.sum() < len(y) else None
+    rows = rows.select("_label", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = 1 + sum(count.values()) // ROWS_PER_SUM
+
+    def total(part, *args, join=np.add):
+        def each(batches):
+            out = None
+            for batch in batches:
+                for block in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                    x = np.frombuffer(b"".join(block.column("x").to_pylist()), np.float32).reshape(block.num_rows, -1).astype(np.float64)
+                    got = part(x, block.column("_label").to_numpy() == 1, *args)
+                    out = got if out is None else join(out, got)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(out, np.float64).tobytes()], pa.binary())], names=["sums"])
+
+        return rows.coalesce(tasks).mapInArrow(each, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeReduce(join)
+
+    try:
+        if rows.select("_label").distinct().count() < 2:
+            return None
+        return fit_by(total, count[0] / (count[0] + count[1]))
+    finally:
+        rows.unpersist()
 
 
 def score(docs: DataFrame, model: PairwiseRanker | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +329,7 @@ def held_out(key: str = "doc_id"):
 def op10_quality_ranker(spark, sf_dir: str) -> DataFrame:
     """Operator 10 over the whole ``documents`` table, learnt from the labels that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+    model = train(docs.where(~held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

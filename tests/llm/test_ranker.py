@@ -91,3 +91,33 @@ def test_a_key_with_many_rows(spark, monkeypatch):
     assert seen == [(300, 19, 19 / 21)]
     qk.train(docs, labels, per_label=6000)
     assert seen[-1] == (5001, 19, 19 / 21)
+
+
+def test_every_labelled_document_teaches(spark):
+    good = [(i, f"a fine text of number {i} with {i % 7} words, and more to read. " * (1 + i % 3)) for i in range(1500)]
+    bad = [(i, f"BUY {i} now!!! $$$ {'x ' * (i % 5)} fine {i % 11}") for i in range(1500, 2700)]
+    labels = spark.createDataFrame([(i, int(i < 1500)) for i in range(2700)], "doc_id long, quality int").repartition(3)
+    own = spark.createDataFrame(good + bad, "doc_id long, text string").repartition(3)
+    copies = spark.range(4000).select(F.lit(2699).cast("bigint").alias("doc_id"), F.lit(bad[-1][1]).alias("text"))  # one text of a key
+    found = qk.train(own.unionByName(copies).unionByName(spark.createDataFrame([(None, "x"), (5000, "y")], "doc_id long, text string")), labels)
+    x = [qk.text_features([t.encode() for _, t in rows]).astype(np.float32).astype(float) for rows in (good, bad)]
+    want = qk.fit(*x, 1200 / 2700)
+    assert np.allclose(found.mean, np.concatenate(x).mean(0), atol=1e-6) and np.allclose(found.weights, want.weights, atol=1e-4)
+    assert abs(found.edge - want.edge) < 1e-3 and abs(found.width - want.width) < 1e-3
+
+
+def test_sums_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    x, good = rng.normal(0, 1, (300, 4)), np.arange(300) < 200
+    x[good] += 0.5
+    model = qk.PairwiseRanker(x.mean(0), x.std(0), np.array([1.0, -2, 0.5, 30]))
+    loss, curves = qk.pair_loss(qk.counts(x, good, model))
+    s, u = model.strengths(x), model.unit(x)
+    z = s[good][:, None] - s[~good][None]
+    p = 1 / (1 + np.exp(z))
+    assert np.abs(s).max() > qk.REACH and abs(loss - np.logaddexp(0, -np.clip(s[good], -64, 64)[:, None] + np.clip(s[~good], -64, 64)[None]).mean()) < 1e-3
+    found = qk.slopes(x, good, model, curves, np.array([100, 200]))
+    g, a, v = np.split(found[:18].reshape(2, -1), [4, 5], axis=1)
+    assert np.allclose(g[1], (p.mean(1)[:, None] * u[good]).mean(0), atol=2e-3) and np.allclose(g[0], (p.mean(0)[:, None] * u[~good]).mean(0), atol=2e-3)
+    assert abs(a[1, 0] - (p * (1 - p)).mean()) < 1e-3 and abs(a[0, 0] - a[1, 0]) < 1e-3 and len(found) == 18 + 10
+    assert abs(found[18] - sum(((p * (1 - p)).mean(k) * u[y, 0] ** 2).mean() for k, y in ((0, ~good), (1, good)))) < 1e-2
