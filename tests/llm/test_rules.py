@@ -6,6 +6,7 @@ from collections import Counter
 from edge import documents
 from folioforge.functions.text import pinned
 from folioforge.llm import quality_rules as qr
+from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +89,10 @@ def test_score_against_brute_force(spark):
 def test_every_trusted_document_counts(spark):
     docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id % 50) AS text")
     assert set(qr.log_ratios(docs, docs.select("doc_id"))) == {0.0}  # all are trusted, so both multinomials are the same
+
+
+def test_the_score_makes_no_struct_for_each_ngram(spark):
+    rows = spark.sql("SELECT explode(array(array(1, 0, 1), array(), null)) AS b").select(qr.ratio_score(F.col("b"), [0.5, 2.0]).alias("s"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and "struct(" not in plan
+    assert [r.s for r in rows.collect()] == [1.5, 0.0, 0.0]
