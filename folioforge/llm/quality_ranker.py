@@ -251,17 +251,11 @@ def fit(better: np.ndarray, worse: np.ndarray, share_worse: float, steps: int =
     return fit_by(lambda part, *args, join=np.add: part(x, good, *args), share_worse, steps)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int | None = None) -> PairwiseRanker | None:
-    """A ranker from all labels 0 and 1 of ``labels`` and the documents they meet, each text of a key once. Null keys and labels take no
-    part; None if either label meets no document.
+def labelled_features(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """``(_doc, _pick, x, _key, _label, _part, _of)``: features of each text of a key once, for each of its labels in ``known`` (_key, _label).
 
-    Features are made where the texts are and travel instead of them; the labelled ones are kept by Spark while passes over them sum
-    up what a step needs. A key with many rows is dealt over ``SPREAD`` tasks. With ``per_label`` at most so many documents of each
-    label train, chosen by a hash of key and text; without it, all."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    count = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    if len(count) < 2:
-        return None
+    The join is by shuffle at any size: labels are short rows, so a file that Spark takes for small enough to send around would be
+    ``SPREAD`` times millions of rows in the driver."""
 
     def run(batches):
         seen: set[int] = set()
@@ -273,7 +267,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.xxhash64(key, text).alias("_pick"), F.col(text).alias("_text"))
     made = own.mapInArrow(run, f"_doc {own.schema['_doc'].dataType.simpleString()}, _pick bigint, x binary").withColumn("_part", F.pmod("_pick", F.lit(SPREAD)))
     known = known.distinct().withColumn("_of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    rows = made.join(known, (F.col("_doc") == F.col("_key")) & (F.col("_part") == F.col("_of"))).dropDuplicates(["_key", "_of", "_label", "_pick"])
+    return made.join(known.hint("merge"), (F.col("_doc") == F.col("_key")) & (F.col("_part") == F.col("_of"))).dropDuplicates(["_key", "_of", "_label", "_pick"])
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int | None = None) -> PairwiseRanker | None:
+    """A ranker from all labels 0 and 1 of ``labels`` and the documents they meet, each text of a key once. Null keys and labels take no
+    part; None if either label meets no document.
+
+    Features are made where the texts are and travel instead of them; the labelled ones are kept by Spark while passes over them sum
+    up what a step needs. A key with many rows is dealt over ``SPREAD`` tasks. With ``per_label`` at most so many documents of each
+    label train, chosen by a hash of key and text; without it, all."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    count = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    if len(count) < 2:
+        return None
+    rows = labelled_features(docs, known, key, text)
     if per_label is not None:
         place = F.row_number().over(Window.partitionBy("_label").orderBy(F.pmod("_pick", F.lit(1 << 30)), "_pick", "_key"))
         rows = rows.withColumn("_place", place).where(F.col("_place") <= per_label)

@@ -121,3 +121,11 @@ def test_sums_of_all_pairs(spark):
     assert np.allclose(g[1], (p.mean(1)[:, None] * u[good]).mean(0), atol=2e-3) and np.allclose(g[0], (p.mean(0)[:, None] * u[~good]).mean(0), atol=2e-3)
     assert abs(a[1, 0] - (p * (1 - p)).mean()) < 1e-3 and abs(a[0, 0] - a[1, 0]) < 1e-3 and len(found) == 18 + 10
     assert abs(found[18] - sum(((p * (1 - p)).mean(k) * u[y, 0] ** 2).mean() for k, y in ((0, ~good), (1, good)))) < 1e-2
+
+
+def test_labels_meet_their_documents_by_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id int, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 2)], "_key int, _label int")
+    rows = qk.labelled_features(docs, known, "doc_id", "text")
+    assert sorted(r._key for r in rows.select("_key").collect()) == list(range(0, 20, 2))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
