@@ -93,3 +93,15 @@ def test_lengths_of_json_add_up(spark):
     rows = spark.createDataFrame([(1, "u", 'a"b'), (1, None, "é\n"), (2, "x", None), (None, "x", "y")], "k int, role string, text string")
     whole = {r.k: len(r.j) for r in rows.groupBy("k").agg(F.to_json(F.collect_list(F.struct("role", F.col("text").alias("content")))).alias("j")).collect()}
     assert {r.k: r.n_chars for r in telemetry.json_chars(rows, "k", {"role": "role", "content": "text"}).collect()} == whole
+
+
+def test_tasks_share_a_list_of_sources(spark):
+    groups = spark.createDataFrame([(t, t % 2, 1, "T", "time", v, f"in {v}", [f"s{v}", "s9"]) for t in range(4) for v in (1, 2)], "scope int, list int, seq int, topic string, kind string, variant int, text string, sources array<string>")
+    shared = spark.createDataFrame([(i % 2, f"s{i}", i, f"Title {i}") for i in range(1, 5)], "list int, source_id string, index int, title string")
+    own = groups.select("scope", "list").distinct().join(shared, "list")
+    chunks = groups.select("scope", "list", "variant", F.get("sources", F.lit(0)).alias("source"), F.lit("t").alias("title"), F.lit("p").alias("place"), "text")
+    for places in (False, True):
+        found, plain = (prompts.contradiction_lines(groups, r, "scope", places, by).collect() for r, by in ((shared, "list"), (own, None)))
+        assert len(found) == 4 and sorted(found) == sorted(plain)
+    found, plain = (prompts.numbered_materials(chunks, r, "scope", ["variant"], "source", "title", "place", "text", by).select("scope", "files", "materials").collect() for r, by in ((shared, "list"), (own, None)))
+    assert len(found) == 4 and sorted(found) == sorted(plain) and found[0].files
