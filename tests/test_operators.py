@@ -5,9 +5,11 @@ import time
 import random
 import zipfile
 
+import numpy as np
+import pytest
 from folioforge.functions import html as hx
 from folioforge.functions import text as tx
-from folioforge.operators import cdc, cluster, library, provenance, retrieval, telemetry
+from folioforge.operators import cdc, cluster, library, provenance, retrieval, set_blocks, telemetry
 from folioforge.operators.components import connected_components
 from folioforge.sources import files
 from folioforge.streaming import jobs
@@ -338,3 +340,39 @@ def test_progress_is_told(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[0][:3] == ("told", 0, 3)
+
+
+@pytest.mark.parametrize("bits", [set_blocks.BITS, 0])
+def test_blocks_of_sets_against_all_pairs(bits, monkeypatch):
+    monkeypatch.setattr(set_blocks, "BITS", bits)
+    monkeypatch.setattr(set_blocks, "DENSE", 20)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(90, rng.integers(1, 60))) for _ in range(120)]
+    sets += [np.union1d(s, [91]) for s in sets[:30]]
+    a, b = (set_blocks.Block(*set_blocks.Block.packed(x)) for x in (sets[:70], sets[70:]))
+    for least in (0.12, 0.5, 0.9, 1.0):
+        dice = lambda x, y: 2.0 * len(np.intersect1d(x, y)) / (len(x) + len(y))
+        expected = {(i, j, d) for i, x in enumerate(sets[:70]) for j, y in enumerate(sets[70:]) if (d := dice(x, y)) >= least}
+        assert {(i, j, d) for x, y, d in set_blocks.alike(a, b, least) for i, j, d in zip(x.tolist(), y.tolist(), d.tolist())} == expected
+        own = {(i, j) for i in range(70) for j in range(i + 1, 70) if dice(sets[i], sets[j]) >= least}
+        assert {p for x, y, _ in set_blocks.alike(a, a, least, same=True) for p in zip(x.tolist(), y.tolist())} == own
+
+
+def test_links_have_the_components_of_all_edges(spark, monkeypatch):
+    rng = random.Random(2)
+    sets = {i: rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(2, 5)) for i in range(80)}
+    lists = spark.createDataFrame(list(sets.items()), "id int, grams array<string>")
+    sources = lists.select("id")
+    for least in (0.5, 0.7):
+        edges = cluster.list_edges(lists, "id", least)
+        links = cluster.list_links(lists, "id", least)
+        assert sorted(cluster.topic_clusters(sources, links, "id").collect()) == sorted(cluster.topic_clusters(sources, edges, "id").collect())
+    assert cluster.list_links(lists.limit(0), "id").count() == 0
+
+
+def test_grams_of_a_source_in_one_row(spark):
+    chunks = spark.createDataFrame([(1, 2, "bcd"), (1, 1, "ab c"), (1, 3, "xy"), (2, 1, "a"), (3, 1, None), (4, 1, "\x00\U0001f600\x00")], "id int, n int, t string")
+    found = {r.id: sorted(r.grams) for r in cluster.gram_lists(chunks, "id", ["n"], "t", most=2).collect()}
+    assert found == {1: ["ab", "bc", "cd"], 4: ["\x00\U0001f600", "\U0001f600\x00"]}
+    plain = cluster.gram_sets(chunks, "id", ["n"], "t", most=2).groupBy("id").agg(F.array_sort(F.collect_list("gram")).alias("g"))
+    assert {r.id: sorted(r.g) for r in plain.collect()} == found
