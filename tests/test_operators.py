@@ -376,3 +376,28 @@ def test_grams_of_a_source_in_one_row(spark):
     assert found == {1: ["ab", "bc", "cd"], 4: ["\x00\U0001f600", "\U0001f600\x00"]}
     plain = cluster.gram_sets(chunks, "id", ["n"], "t", most=2).groupBy("id").agg(F.array_sort(F.collect_list("gram")).alias("g"))
     assert {r.id: sorted(r.g) for r in plain.collect()} == found
+
+
+def test_groups_of_a_scope_are_merged_in_order(spark):
+    v = lambda *x: [(t, list(r)) for t, r in x]
+    rows = [
+        (1, 3, "founding year", "time", v(("b", ["#3", "#1"]), ("a", ["#9"]))),
+        (1, 1, "founding year", None, v(("a", ["#1", "#2", "#1"]))),
+        (1, 2, "a", "fact", v(("x", ["#1"]))),
+        (1, 4, "a", "fact", v(("x", ["#2"]), (None, []))),
+        (1, 5, "founding  years", "data", v(("c", ["#4"]))),
+        (2, 1, "founding year", "", v(("a", ["#5"]))),
+        (None, 1, "other", "place", v(("a", ["#6"]))),
+    ]
+    df = spark.createDataFrame(rows, "draft int, id int, topic string, kind string, variants array<struct<text:string,sourceRefs:array<string>>>")
+    merged = cluster.merge_groups(df, "draft", "id")
+    assert "InPandas" not in merged._jdf.queryExecution().executedPlan().toString()  # a pandas frame for each scope
+    found = {(r.draft, r.nr): (r.topic, r.kind, [(x.text, x.sourceRefs) for x in r.variants]) for r in merged.collect()}
+    assert found == {
+        (1, 1): ("founding year", "time", [("a", ["#1", "#2", "#9"]), ("b", ["#3", "#1"]), ("c", ["#4"])]),
+        (1, 2): ("a", "fact", [("x", ["#1"])]),
+        (1, 3): ("a", "fact", [("x", ["#2"]), (None, [])]),
+        (2, 1): ("founding year", "", [("a", ["#5"])]),
+        (None, 1): ("other", "place", [("a", ["#6"])]),
+    }
+    assert cluster.merge_groups(df.limit(0), "draft", "id").count() == 0
