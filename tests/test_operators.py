@@ -401,3 +401,10 @@ def test_groups_of_a_scope_are_merged_in_order(spark):
         (None, 1): ("other", "place", [("a", ["#6"])]),
     }
     assert cluster.merge_groups(df.limit(0), "draft", "id").count() == 0
+
+
+def test_clusters_of_lists_without_rounds(spark):
+    sets = {1: ["ab", "bc"], 2: ["bc", "cd"], 3: ["xy", "yz"], 4: ["yz", "zz"], 5: ["qq", "rr"], 6: ["ab", "bc"]}
+    lists = spark.createDataFrame(list(sets.items()), "id int, grams array<string>")
+    found = {r.id: r.cluster for r in cluster.linked_lists(lists, "id", 0.5, rounds=0, pairs=True).collect()}
+    assert found == {1: 1, 2: 1, 6: 1, 3: 3, 4: 3, 5: 5}
